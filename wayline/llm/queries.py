@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, secrets, simhash, tokencount
+from wayline.llm import bpe, secrets, simhash, sketch, tokencount
 from wayline.llm.common import read
 
 
@@ -18,6 +18,16 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.edited_fingerprints(read(spark, sf_dir, "documents"))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.written(own).alias("fingerprint"), sketch.written(edited).alias("edited_fingerprint"),
+        sketch.likeness(own, edited).alias("near_edited"), sketch.likeness(own, following).alias("near_next"),
+    )
+
+
 def op4_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -47,6 +57,7 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tree": op2_bpe_tree,
+    "op3_scaled_sketch": op3_scaled_sketch,
     "op4_token_transducer": op4_token_transducer,
     "op6_simhash_gray": op6_simhash_gray,
     "op10_secret_trigrams": op10_secret_trigrams,

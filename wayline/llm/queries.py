@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, secrets, simhash, sketch, tokencount
-from wayline.llm.common import read
+from wayline.llm import bpe, quality, secrets, simhash, sketch, tokencount, toxicity
+from wayline.llm.common import crc_mod, read
 
 
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,22 @@ def op4_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op5_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 4) != 2))
+    return judged(toxicity.score(docs, model), crc_mod("doc_id", 4) == 2)
+
+
+def op7_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    voters = quality.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    return judged(quality.score(docs, voters), crc_mod("doc_id", 5) == 0)
+
+
+def judged(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -59,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_tree": op2_bpe_tree,
     "op3_scaled_sketch": op3_scaled_sketch,
     "op4_token_transducer": op4_token_transducer,
+    "op5_toxicity_nnpu": op5_toxicity_nnpu,
     "op6_simhash_gray": op6_simhash_gray,
+    "op7_quality_neighbours": op7_quality_neighbours,
     "op10_secret_trigrams": op10_secret_trigrams,
 }
 

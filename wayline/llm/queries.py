@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, quality, secrets, simhash, sketch, tokencount, toxicity
-from wayline.llm.common import crc_mod, read
+from wayline.llm import bpe, chat, decontaminate, quality, secrets, shards, simhash, sketch, tokencount, toxicity
+from wayline.llm.common import crc_mod, read, shared_dir
+
+
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +59,14 @@ def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", key=2024)
+
+
+def op9_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(read(spark, sf_dir, "conversations"))
+
+
 def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE]
@@ -72,12 +85,15 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op2_bpe_tree": op2_bpe_tree,
     "op3_scaled_sketch": op3_scaled_sketch,
     "op4_token_transducer": op4_token_transducer,
     "op5_toxicity_nnpu": op5_toxicity_nnpu,
     "op6_simhash_gray": op6_simhash_gray,
     "op7_quality_neighbours": op7_quality_neighbours,
+    "op8_training_order": op8_training_order,
+    "op9_role_repair": op9_role_repair,
     "op10_secret_trigrams": op10_secret_trigrams,
 }
 

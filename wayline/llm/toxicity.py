@@ -66,37 +66,43 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def document_counts(lists: list[list[int]]) -> np.ndarray:
-    """The number of texts that have each feature."""
-    total = np.zeros(DIMENSIONS, np.int64)
-    for x in lists:
-        total[np.unique(np.array(x, np.int64))] += 1
-    return total
+@dataclass
+class Lists:
+    """The features of some texts, one entry per distinct word that has it."""
+
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    def document_counts(self) -> np.ndarray:
+        """The number of texts that have each feature."""
+        total = np.zeros(DIMENSIONS, np.int64)
+        ends = np.cumsum(self.sizes)
+        for end, size in zip(ends.tolist(), self.sizes.tolist(), strict=True):
+            total[np.unique(self.flat[end - size : end])] += 1
+        return total
+
+    def rows(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and place of the features that have one."""
+        at = np.flatnonzero(place[self.flat] >= 0)
+        return np.searchsorted(np.cumsum(self.sizes), at, side="right"), place[self.flat[at]]
 
 
-def train(positive: list[list[int]], unlabelled: list[list[int]], prior: float) -> ToxicModel:
-    """Each list holds the features of a text, one entry per distinct word that has it."""
-    if not positive:
+def train(positive: Lists, unlabelled: Lists, prior: float) -> ToxicModel:
+    n_p, n_u = len(positive.sizes), max(1, len(unlabelled.sizes))
+    if not n_p:
         return ToxicModel({}, -30.0)
-    seen_p, seen_u = document_counts(positive), document_counts(unlabelled)
-    used = np.flatnonzero((seen_p >= LEAST) & (seen_p / len(positive) > LIFT * seen_u / max(1, len(unlabelled))))
+    seen_p, seen_u = positive.document_counts(), unlabelled.document_counts()
+    used = np.flatnonzero((seen_p >= LEAST) & (seen_p / n_p > LIFT * seen_u / n_u))
     place = np.full(DIMENSIONS, -1)
     place[used] = np.arange(len(used))
-
-    def rows(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate([np.array(x, np.int64) for x in lists] or [np.array([], np.int64)])
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        kept = place[flat] >= 0
-        return row[kept], place[flat][kept]
-
-    (rp, fp), (ru, fu) = rows(positive), rows(unlabelled)
-    n_p, n_u, d = len(positive), max(1, len(unlabelled)), len(used)
+    (rp, fp), (ru, fu) = positive.rows(place), unlabelled.rows(place)
+    d = len(used)
     w, bias = np.zeros(d), float(np.log(prior / (1 - prior)))
     m1, m2 = np.zeros(d + 1), np.zeros(d + 1)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, STEPS + 1):
         zp = np.bincount(rp, w[fp], n_p) + bias
-        zu = np.bincount(ru, w[fu], len(unlabelled)) + bias
+        zu = np.bincount(ru, w[fu], len(unlabelled.sizes)) + bias
         as_clean = lambda z: np.logaddexp(0, z)
         rest = as_clean(zu).mean() - prior * as_clean(zp).mean() if len(zu) else 0.0
         clean_p, clean_u = -prior * sigmoid(zp) / n_p, sigmoid(zu) / n_u
@@ -131,10 +137,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
                 rows = [sorted(f for w in words(t) for f in features(w)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array(rows, pa.list_(pa.int32()))], names=["label", "features"])
 
-    rows = found.mapInArrow(extract, "label int, features array<int>").limit(2 * (positives + unlabelled)).toArrow()
-    table = rows.to_pydict()
-    lists = sorted(zip(table["label"], table["features"], strict=True))
-    return train([f for y, f in lists if y == 1], [f for y, f in lists if y == 0], min(max(prior, 1e-3), 0.999))
+    table = found.mapInArrow(extract, "label int, features array<int>").limit(2 * (positives + unlabelled)).toArrow()
+    label, features_of = table["label"].combine_chunks().to_numpy(), table["features"].combine_chunks()
+
+    def of(y: int) -> Lists:
+        lists = features_of.take(pa.array(np.flatnonzero(label == y)))
+        return Lists(lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+
+    return train(of(1), of(0), min(max(prior, 1e-3), 0.999))
 
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:

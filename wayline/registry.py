@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from wayline.plans import base, board, geometry, journeys, names, relations, scalars, streams  # noqa: F401  (each registers its queries)
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "board"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "board_arrivals"
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES

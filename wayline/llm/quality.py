@@ -27,6 +27,8 @@ from wayline.llm.common import slices, texts
 
 #: Labelled documents of either label that the vectors are made from.
 SAMPLE = 2048
+#: Bytes of text whose characters are taken apart at a time.
+SLICE = 1 << 20
 TERMS, REPEATS, AXES, NEIGHBOURS, BLOCK = 2048, 4, 32, 25, 1024
 
 
@@ -143,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 text, term, n = term_counts(part.column("text").to_pylist())
                 cuts = np.searchsorted(text, np.arange(1, part.num_rows))
                 columns = [pa.array([x.tolist() for x in np.split(v, cuts)], pa.list_(pa.int32())) for v in (term, n)]
@@ -156,14 +158,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def score(docs: DataFrame, voters: Voters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in ``keep`` and ``score``, the likelihood of label 1, of every whole text."""
-    base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    base = docs.select(*keep, *(() if "text" in keep else ("text",)))
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                found = shared.value.scores(part.column("_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.float64())], names=[*keep, "score"])
+            for part in slices(batch, most=SLICE):
+                found = shared.value.scores([t or "" for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.float64())], names=[*keep, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return base.mapInArrow(vote, f"{kinds}, score double")

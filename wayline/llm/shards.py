@@ -18,6 +18,7 @@ writes no shard.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,11 @@ def slots(index: np.ndarray, total: int, keys: list[int]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def deflate(body: bytes) -> bytes:
+    packer = zlib.compressobj(3, zlib.DEFLATED, -zlib.MAX_WBITS)
+    return packer.compress(body) + packer.flush()
+
+
 def sequences(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, int]:
     """``doc_id``, ``seq``, ``n_tokens``, ``body`` (bytes) and ``index`` of each sequence, and their number."""
     base = texts(docs).withColumn("body", F.col("text").cast("binary"))
@@ -97,7 +103,8 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
         for batch in batches:
             slot = slots(batch.column("index").to_numpy(), total, keys)
             names = ["doc_id", "seq", "n_tokens", "body"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(slot), pa.array(slot // shard_rows)], names=[*names, "slot", "shard"])
+            packed = pa.array([deflate(x) for x in batch.column("body").to_pylist()], pa.binary())  # less to shuffle
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "seq", "n_tokens")), packed, pa.array(slot)], names=[*names, "slot"])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = pyarrow.fs.FileSystem.from_uri(folder)
@@ -112,9 +119,11 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
                 files.move(name, shard_path(at, now))
 
         for batch in batches:
-            shard, slot = batch.column("shard").to_numpy(), batch.column("slot").to_numpy()
+            slot = batch.column("slot").to_numpy()
+            shard = slot // shard_rows
             records = np.full((batch.num_rows, length), PAD, np.uint8)
-            for i, (body, n) in enumerate(zip(batch.column("body").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)):
+            for i, (packed, n) in enumerate(zip(batch.column("body").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)):
+                body = zlib.decompress(packed, -zlib.MAX_WBITS)
                 records[i, : len(body)] = np.frombuffer(body, np.uint8) + FIRST
                 if n > len(body):
                     records[i, len(body)] = END
@@ -132,7 +141,7 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns)], names=columns)
         close()
 
-    dealt = each.mapInArrow(placed, f"doc_id {kind}, seq bigint, n_tokens int, body binary, slot bigint, shard bigint").repartition("shard").sortWithinPartitions("slot")
+    dealt = each.mapInArrow(placed, f"doc_id {kind}, seq bigint, n_tokens int, body binary, slot bigint").repartition(F.floor(F.col("slot") / shard_rows)).sortWithinPartitions("slot")
     done = dealt.mapInArrow(written, f"doc_id {kind}, seq bigint, n_tokens int, slot bigint")
     return done.select("*", F.floor(F.col("slot") / shard_rows).alias("shard"), (F.col("slot") % shard_rows * length).alias("offset"))
 

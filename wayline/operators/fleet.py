@@ -13,6 +13,8 @@ from wayline.functions import geo
 
 MOVED_METRES, HALF_LIFE_MS, FASTEST_KMH = 12.0, 60_000.0, 90.0
 DEADBAND_MS, EASE = 20_000.0, 0.25
+#: A vehicle not seen, and an instant not published, for longer than this is forgotten.
+TRACK_TTL_MS, PUBLISHED_TTL_MS = 3_600_000, 900_000
 TRACK_SCHEMA = "event_id bigint, plate bigint, now_ms bigint, lat double, lon double, heading double, speed_kmh double, moved_ms bigint, seen_ms bigint, first_ms bigint"
 STATE_SCHEMA = "lat double, lon double, heading double, speed_kmh double, moved_ms bigint, seen_ms bigint, first_ms bigint"
 State = tuple[float, float, float | None, float | None, int, int, int]
@@ -31,7 +33,7 @@ def heading(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
 
 def observe(state: State | None, lat: float, lon: float, now: int) -> State:
     """A vehicle's state after a sample: speed decays while it stands, and is smoothed when it has moved."""
-    if state is None:
+    if state is None or now - state[5] > TRACK_TTL_MS:
         return (lat, lon, None, None, now, now, now)
     at_lat, at_lon, head, speed, moved, seen, first = state
     gone = metres(at_lat, at_lon, lat, lon)
@@ -54,6 +56,13 @@ def track(samples: DataFrame) -> DataFrame:
     return samples.select("event_id", "plate", "now_ms", "lat", "lon").groupBy("plate").applyInPandas(run, TRACK_SCHEMA)
 
 
+def eased(shown: float | None, raw: float) -> float:
+    """The instant to publish: sooner at once, a little later held, much later eased in."""
+    if shown is None or raw <= shown:
+        return raw
+    return shown if raw - shown < DEADBAND_MS else shown + EASE * (raw - shown)
+
+
 def ratchet(raw: DataFrame, key: str = "key") -> DataFrame:
     """Published instants: sooner at once, a little later held, much later eased in. raw: key, now_ms, raw_ms."""
     steps = F.sort_array(F.collect_list(F.struct("now_ms", F.col("raw_ms").cast("double").alias("raw_ms"))))

@@ -107,7 +107,7 @@ def to_cyrillic(name: Column) -> Column:
     tokens = F.filter(F.split(F.translate(name, "#", "№"), r"\s+"), lambda t: t != "")
     nouns = F.create_map(*(F.lit(x) for pair in NOUNS.items() for x in pair))
     leads = F.filter(tokens, lambda t: t.isin(*LEADING))
-    lead = F.when(F.size(leads) > 0, leads[0])
+    lead = F.get(leads, F.lit(0))
     at = F.coalesce(F.array_position(tokens, lead), F.lit(0))  # from 1; 0: none
 
     def rendered(token: Column, i: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from wayline.functions import geo
 from wayline.operators import distance
+from wayline.operators.stages import cut
 
 #: Metres a minute by bus, how much longer roads and walks are than straight lines, metres walked a minute.
 BUS, ROAD, DETOUR, PACE = 19.6 * 1000 / 60, 1.08, 1.25, 75.0
@@ -168,7 +169,7 @@ def two_changes(walk_in: DataFrame, egress: DataFrame, pattern_stops: DataFrame,
     for _ in range(2):
         left = best_of(ride(labels, pattern_stops), "query_id", "stop_id")
         moved = left.join(paths, "stop_id").select("query_id", F.col("to_stop").alias("stop_id"), (F.col("cost") + felt("path") + CHANGE).alias("cost"), "rides", F.concat("walks", F.array("path")).alias("walks"))
-        labels = best_of(moved, "query_id", "stop_id")
+        labels = cut(best_of(moved, "query_id", "stop_id"))
     return best_of(arrive(best_of(ride(labels, pattern_stops), "query_id", "stop_id"), egress), "query_id")
 
 
@@ -244,20 +245,21 @@ def plan(queries: DataFrame, legs: DataFrame) -> DataFrame:
     queries: query_id, from_lat, from_lon, to_lat, to_lon; legs as in ``build_patterns``. A query whose ends are within
     250 m is walked; one with no stop near either end has a walk of up to an hour or nothing.
     """
-    pattern_stops = build_patterns(legs)
+    pattern_stops = cut(build_patterns(legs))
     stops = legs.select("stop_id", "lat", "lon").dropDuplicates(["stop_id"])
-    paths = changes(build_footpaths(stops), stops)
+    paths = cut(changes(build_footpaths(stops), stops))
     foot = on_foot(queries)
     far = queries.join(foot.where(F.col("straight") > JUST_WALK).select("query_id"), "query_id", "left_semi")
-    walk_in, egress = access(far, stops, "from"), access(far, stops, "to")
-    fewer = direct(walk_in, egress, pattern_stops).unionByName(one_change(walk_in, egress, pattern_stops, paths))
+    walk_in, egress = cut(access(far, stops, "from")), cut(access(far, stops, "to"))
+    fewer = cut(direct(walk_in, egress, pattern_stops).unionByName(one_change(walk_in, egress, pattern_stops, paths)))
     served = fewer.select("query_id").distinct()
     rest_in, rest_out = (x.join(served, "query_id", "left_anti") for x in (walk_in, egress))
     found = fewer.unionByName(two_changes(rest_in, rest_out, pattern_stops, paths))
     kinds = dict(found.dtypes)
     walks = foot.where((F.col("straight") <= JUST_WALK) | (F.element_at("walks", 1)["minutes"] <= LONGEST_WALK))
     walks = walks.select("query_id", F.lit(0.0).alias("cost"), F.array().cast(kinds["rides"]).alias("rides"), F.col("walks").cast(kinds["walks"]).alias("walks"))
-    return rank(undominated(merge(affordable(price(found.unionByName(walks)))))).select("query_id", "place", "key", "minutes", "n_rides", "walk_minutes", "walk_metres", "cost", "also", "rides", "walks")
+    priced = cut(merge(affordable(price(found.unionByName(walks)))))
+    return rank(undominated(priced)).select("query_id", "place", "key", "minutes", "n_rides", "walk_minutes", "walk_metres", "cost", "also", "rides", "walks")
 
 
 def ends_without_stops(queries: DataFrame, stops: DataFrame) -> DataFrame:

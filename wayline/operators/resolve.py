@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
 from wayline.operators.distance import first_by, within
+from wayline.operators.stages import cut
 
 #: Short forms and numerals of the names' words, words for the kind of street, and others that name nothing.
 SHORT = {"წმ": "წმინდა", "გენ": "გენერალ", "ქ": "ქუჩა", "ქუჩ": "ქუჩა", "აკად": "აკადემიკოს", "გამზ": "გამზირი", "შეს": "შესახვევი"}
@@ -129,7 +130,7 @@ def clusters(points: DataFrame, metres: float, rounds: int = 40) -> DataFrame:
             after = now.join(heard, "point_id", "left").select("point_id", "name", F.least("cluster", "_c").alias("cluster"))
             # a cluster's own cluster is a shorter way to its smallest point
             after = after.join(after.select(F.col("point_id").alias("cluster"), F.col("cluster").alias("_r")), "cluster").select("point_id", "name", F.least("cluster", "_r").alias("cluster"))
-            after = _cut(after)
+            after = cut(after)
             changed = after.join(now.withColumnRenamed("cluster", "_was"), ["point_id", "name"]).where("cluster <> _was").limit(1).count()
             now = after
             if not changed:
@@ -139,17 +140,6 @@ def clusters(points: DataFrame, metres: float, rounds: int = 40) -> DataFrame:
         links.unpersist()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that all machines share."""
-    import tempfile
-
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='wayline-')}")
-    return df.checkpoint()
-
-
 def localities(points: DataFrame, boxes: DataFrame, villages: DataFrame, reach: float = 2500) -> DataFrame:
     """The locality of each point: the box that holds it (districts before towns), else the nearest village within reach, else a municipality's box, else -1.
 

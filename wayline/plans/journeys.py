@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import planner
+from wayline.operators.stages import cut
 from wayline.plans.base import haversine, query
 from wayline.sources.tables import stop_legs, table
 
@@ -52,7 +53,7 @@ def prepared(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataF
     own, asked = legs(spark, sf_dir), trips(spark, sf_dir, n)
     stops = own.select("stop_id", "lat", "lon")
     paths = planner.changes(planner.build_footpaths(stops), stops)
-    return planner.access(asked, stops, "from"), planner.access(asked, stops, "to"), planner.build_patterns(own), paths
+    return cut(planner.access(asked, stops, "from")), cut(planner.access(asked, stops, "to")), cut(planner.build_patterns(own)), cut(paths)
 
 
 @query("c05_patterns", f"with {PATTERNS} select pattern, cast(pos as bigint) as pos, stop_id, round(minutes, 6) as minutes, turns_at from ps")

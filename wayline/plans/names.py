@@ -184,8 +184,8 @@ def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k10_street_branch", f"""with q as ({TYPED}), t as (select query_id, case v when 0 then p_name when 1 then p_name[1:length(p_name)-2] when 2 then p_name else p_name[1:2] || p_name[4:] end as text, case when v = 2 then cast(p_size as varchar) end as house from q),
 s as (select p_name as name, min(p_partkey) as id from part group by p_name), h as (select p_name as name, cast(p_size as varchar) as number from part group by p_name, p_size),
 w as (select query_id, house, id, name, string_split(name, ' ') as own, unnest(string_split(text, ' ')) as term from t, s),
-c as (select query_id, house, id, name, case when list_contains(own, term) then 0e0 when len(list_filter(own, lambda x: starts_with(x, term))) > 0 then 1e0
-  when length(term) >= 5 and len(list_filter(own, lambda x: x[1] = term[1] and ((length(x) >= length(term)-1 and levenshtein(x[1:length(term)-1], term) <= 1) or (length(x) >= length(term) and levenshtein(x[1:length(term)], term) <= 1) or (length(x) >= length(term)+1 and levenshtein(x[1:length(term)+1], term) <= 1)))) > 0 then 1.5e0 end as cost from w where length(term) > 1),
+c as (select query_id, house, id, name, case when length(term) = 1 then case when len(list_filter(own, lambda x: starts_with(x, term))) > 0 then 0e0 else 0.5e0 end when list_contains(own, term) then 0e0 when len(list_filter(own, lambda x: starts_with(x, term))) > 0 then 1e0
+  when length(term) >= 5 and len(list_filter(own, lambda x: x[1] = term[1] and ((length(x) >= length(term)-1 and levenshtein(x[1:length(term)-1], term) <= 1) or (length(x) >= length(term) and levenshtein(x[1:length(term)], term) <= 1) or (length(x) >= length(term)+1 and levenshtein(x[1:length(term)+1], term) <= 1)))) > 0 then 1.5e0 end as cost from w),
 m as (select query_id, house, id, name, 4*(sum(cost) + case when house is not null then 0.5e0 else 0 end) as base from c group by query_id, house, id, name having count(*) = count(cost))
 select query_id, id, case when house is null then base + case when id % 2 = 1 then 1.25e0 else 1 end when exists (select 1 from h where h.name = m.name and h.number = house) then base else base + 4 end as score
 from m where house is null or exists (select 1 from h where h.name = m.name and h.number = house) or not exists (select 1 from h where h.name = m.name and starts_with(h.number, house))""")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wayline.operators import fleet
@@ -18,6 +19,14 @@ def ordered(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(by)
 
 
+def clocked(samples: DataFrame) -> DataFrame:
+    """The samples' own clock decides when state is forgotten; samples more than ten minutes late are dropped.
+
+    A millisecond is added, as a watermark begins at the epoch and takes only what is later.
+    """
+    return samples.withColumn("at", F.timestamp_millis(F.col("now_ms") + 1)).withWatermark("at", "10 minutes")
+
+
 def tracks(samples: DataFrame) -> DataFrame:
     """Every sample of a stream with its vehicle's state after it; the state of vehicles not seen for an hour goes.
 
@@ -34,11 +43,10 @@ def tracks(samples: DataFrame) -> DataFrame:
             now = fleet.observe(now, r.lat, r.lon, r.now_ms)
             rows.append((r.event_id, key[0], r.now_ms, *now))
         state.update(now)
-        state.setTimeoutDuration(fleet.TRACK_TTL_MS)
+        state.setTimeoutTimestamp(now[5] + fleet.TRACK_TTL_MS)
         yield pd.DataFrame(rows, columns=TRACK_COLUMNS).astype({"heading": "float64", "speed_kmh": "float64"})
 
-    chosen = samples.select("event_id", "plate", "now_ms", "lat", "lon")
-    return chosen.groupBy("plate").applyInPandasWithState(run, fleet.TRACK_SCHEMA, fleet.STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clocked(samples.select("event_id", "plate", "now_ms", "lat", "lon")).groupBy("plate").applyInPandasWithState(run, fleet.TRACK_SCHEMA, fleet.STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def published(raw: DataFrame) -> DataFrame:
@@ -55,7 +63,7 @@ def published(raw: DataFrame) -> DataFrame:
             at = int(r.now_ms)
             rows.append((key[0], at, float(r.raw_ms), shown))
         state.update((shown, at))
-        state.setTimeoutDuration(fleet.PUBLISHED_TTL_MS)
+        state.setTimeoutTimestamp(at + fleet.PUBLISHED_TTL_MS)
         yield pd.DataFrame(rows, columns=["key", "now_ms", "raw_ms", "shown_ms"])
 
-    return raw.groupBy("key").applyInPandasWithState(run, "key bigint, now_ms bigint, raw_ms double, shown_ms double", "shown double, at bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return clocked(raw).groupBy("key").applyInPandasWithState(run, "key bigint, now_ms bigint, raw_ms double, shown_ms double", "shown double, at bigint", "append", GroupStateTimeout.EventTimeTimeout)

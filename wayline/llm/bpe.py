@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wayline.llm.common import slices, texts
 
@@ -204,8 +205,6 @@ def join_pieces(tree: TreeEncoder, cuts: list[str], ids: list[np.ndarray]) -> np
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of ``encoded`` and ``decoded``, the text of its ``ids``; special tokens are kept."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = encoder(path)
         for batch in batches:
@@ -213,4 +212,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 found = [tree.decode(np.frombuffer(x or b"", dtype="<u4")) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(texts_of, f"{kinds}, decoded string")
+    return encoded.mapInArrow(texts_of, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wayline.llm.common import slices, texts
 
@@ -156,8 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return Voters.fit([(r["terms"], r["counts"]) for r in rows], [r["label"] for r in rows])
 
 
-def score(docs: DataFrame, voters: Voters, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` and ``score``, the likelihood of label 1, of every whole text."""
+def score(docs: DataFrame, voters: Voters, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns in ``keep`` and ``name``, the likelihood of label 1, of every whole text."""
     base = docs.select(*keep, *(() if "text" in keep else ("text",)))
     shared = docs.sparkSession.sparkContext.broadcast(voters)
 
@@ -165,7 +166,6 @@ def score(docs: DataFrame, voters: Voters, keep: tuple[str, ...] = ("doc_id",))
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 found = shared.value.scores([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.float64())], names=[*keep, name])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return base.mapInArrow(vote, f"{kinds}, score double")
+    return base.mapInArrow(vote, StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())]))

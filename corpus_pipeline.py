@@ -23,8 +23,8 @@ LEAST_QUALITY = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality vote rejects."""
     labels = read(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
-    scored = quality.score(docs, quality.fit(docs, labels), keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = quality.score(docs, quality.fit(docs, labels), keep=tuple(docs.columns), name="_quality")
+    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def keep_first_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

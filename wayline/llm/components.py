@@ -26,7 +26,7 @@ def small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component``, its smallest node, of every node with an edge to another; ``edges``: u, v."""
+    """``node`` and ``component``, the smallest node it is connected to, of every node that is not that itself; ``edges``: u, v."""
     now = checkpoint(edges.select("u", "v").where("u <> v").distinct())
     seen = None
     while True:

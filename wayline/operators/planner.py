@@ -209,15 +209,21 @@ def shape() -> Column:
 
 
 def merge(journeys: DataFrame) -> DataFrame:
-    """Lines that make the same rides in about the same time are one journey: adds ``also``, the other keys."""
+    """Lines that make the same rides in about the same time are one journey: adds ``also``, of each ride the other lines."""
     rows = journeys.withColumn("_shape", F.when(F.col("n_rides") == 0, F.lit("walk")).otherwise(shape()))
     same = Window.partitionBy("query_id", "_shape").orderBy(F.round("cost", 6), "key", F.col("rides"))
-    first = F.first("minutes").over(same)
-    rows = rows.withColumns({"_n": F.row_number().over(same), "_alike": (F.col("minutes") - first <= CLEARLY), "_best": F.first("key").over(same)})
-    every = Window.partitionBy("query_id", "_shape")
-    also = F.array_sort(F.collect_set(F.when(F.col("_alike") & (F.col("_n") > 1) & (F.col("key") != F.col("_best")), F.col("key"))).over(every))
-    rows = rows.withColumn("also", also).where((F.col("_n") == 1) | ~F.col("_alike"))
-    return rows.withColumn("also", F.when(F.col("_n") == 1, F.col("also")).otherwise(F.array().cast("array<string>"))).drop("_shape", "_n", "_alike", "_best")
+    rows = rows.withColumns({"_n": F.row_number().over(same), "_alike": F.col("minutes") - F.first("minutes").over(same) <= CLEARLY})
+    rest = F.when(F.col("_alike") & (F.col("_n") > 1), F.struct(F.round("cost", 6).alias("cost"), "key", "rides"))
+    rows = rows.withColumn("_rest", F.sort_array(F.collect_list(rest).over(Window.partitionBy("query_id", "_shape"))))
+    none = F.array().cast("array<string>")
+    line = lambda text: F.substring_index(text, ":", 1)
+
+    def others(ride: Column, i: Column) -> Column:
+        names = F.transform(F.filter("_rest", lambda a: a["rides"][i]["route_id"] != ride["route_id"]), lambda a: F.concat_ws(":", a["rides"][i]["route_id"], a["rides"][i]["direction"]))
+        return F.aggregate(names, none, lambda kept, x: F.when(F.exists(kept, lambda y: line(y) == line(x)), kept).otherwise(F.concat(kept, F.array(x))))
+
+    also = F.when(F.col("_n") == 1, F.transform("rides", others)).otherwise(F.transform("rides", lambda r: none))
+    return rows.where((F.col("_n") == 1) | ~F.col("_alike")).withColumn("also", also).drop("_shape", "_n", "_alike", "_rest")
 
 
 def undominated(journeys: DataFrame) -> DataFrame:

@@ -13,14 +13,14 @@ from wayline.sources.tables import departures, pings, running_times, stop_legs
 
 LEG = ["route_id", "direction"]
 NOW = 480
-SEQ = Window.partitionBy(*LEG).orderBy("seq")
 
 
 def along_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops with ``along``, metres from their direction's first stop, to the millimetre."""
     stops = stop_legs(spark, sf_dir)
-    hop = F.coalesce(geo.haversine(F.lag("lat").over(SEQ), F.lag("lon").over(SEQ), F.col("lat"), F.col("lon")), F.lit(0.0))
-    return stops.withColumn("hop", hop).withColumn("along", F.round(F.sum("hop").over(SEQ.rowsBetween(Window.unboundedPreceding, 0)), 3)).drop("hop")
+    line = Window.partitionBy(*LEG).orderBy("seq")
+    hop = F.coalesce(geo.haversine(F.lag("lat").over(line), F.lag("lon").over(line), F.col("lat"), F.col("lon")), F.lit(0.0))
+    return stops.withColumn("hop", hop).withColumn("along", F.round(F.sum("hop").over(line.rowsBetween(Window.unboundedPreceding, 0)), 3)).drop("hop")
 
 
 STOPS = f"""with along0 as (select *, coalesce({haversine("lag(lat) over w", "lag(lon) over w", "lat", "lon")}, 0e0) as hop from stop_leg window w as (partition by route_id, direction order by seq)),

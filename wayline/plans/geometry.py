@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from wayline.functions import geo
 from wayline.operators import distance, linear
@@ -12,25 +12,32 @@ from wayline.operators.timetable import upper_median
 from wayline.plans.base import SEGMENTS, bearing, foot, haversine, query
 from wayline.sources.tables import pings, shape_points, stop_legs
 
-LEG = Window.partitionBy("route_id", "direction").orderBy("seq")
-LAST = [F.lag("lat").over(LEG), F.lag("lon").over(LEG), F.col("lat"), F.col("lon")]
 SQL_LAST = ("lag(lat) over w", "lag(lon) over w", "lat", "lon")
 SQL_LEG = "from stop_leg window w as (partition by route_id, direction order by seq)"
 
 
+def leg() -> WindowSpec:
+    return Window.partitionBy("route_id", "direction").orderBy("seq")
+
+
+def hop() -> list[Column]:
+    """The places of the stop before and of this one."""
+    return [F.lag("lat").over(leg()), F.lag("lon").over(leg()), F.col("lat"), F.col("lon")]
+
+
 @query("g01_haversine", f"select stop_id, round({haversine(*SQL_LAST)}, 3) as metres {SQL_LEG}")
 def g01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stop_legs(spark, sf_dir).select("stop_id", F.round(geo.haversine(*LAST), 3).alias("metres"))
+    return stop_legs(spark, sf_dir).select("stop_id", F.round(geo.haversine(*hop()), 3).alias("metres"))
 
 
 @query("g03_flat_metres", f"select stop_id, round(sqrt(pow((lon - lag(lon) over w)*111320e0*cos(radians((lat + lag(lat) over w)/2)), 2) + pow((lat - lag(lat) over w)*111320e0, 2)), 3) as metres {SQL_LEG}")
 def g03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stop_legs(spark, sf_dir).select("stop_id", F.round(geo.flat_metres(*LAST), 3).alias("metres"))
+    return stop_legs(spark, sf_dir).select("stop_id", F.round(geo.flat_metres(*hop()), 3).alias("metres"))
 
 
 @query("g04_bearing", f"select stop_id, round({bearing(*SQL_LAST)}, 6) as degrees {SQL_LEG}")
 def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stop_legs(spark, sf_dir).select("stop_id", F.round(geo.bearing(*LAST), 6).alias("degrees"))
+    return stop_legs(spark, sf_dir).select("stop_id", F.round(geo.bearing(*hop()), 6).alias("degrees"))
 
 
 @query("g05_angle_between", "select event_id, least(d, 360 - d) as angle from (select event_id, cast(((event_id*37 - user_id*91) % 360 + 360) % 360 as double) as d from events)")

@@ -108,7 +108,7 @@ def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The options that a traveller is shown."""
     rows = planned(spark, sf_dir)
-    return rows.select("query_id", "place", "key", F.round("minutes", 3).alias("minutes"), "n_rides", F.round("walk_minutes", 3).alias("walk_minutes"), F.round("cost", 3).alias("cost"), F.array_join("also", ",").alias("also"))
+    return rows.select("query_id", "place", "key", F.round("minutes", 3).alias("minutes"), "n_rides", F.round("walk_minutes", 3).alias("walk_minutes"), F.round("cost", 3).alias("cost"), F.array_join(F.transform("also", lambda x: F.array_join(x, ",")), "|").alias("also"))
 
 
 @query("p19_leg_strip")
@@ -173,4 +173,4 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     foot = F.struct(F.lit(0.0).alias("minutes"), F.lit(0.0).alias("metres"))
     rows = table(spark, sf_dir, "orders").where(k < 3000).select((F.col("o_custkey") % 50).alias("query_id"), k.alias("id"), (F.col("o_totalprice") / 20000).alias("minutes"), F.array(ride).alias("rides"), F.array(foot, foot).alias("walks"))
     rows = rows.withColumns({"n_rides": F.lit(1), "cost": F.col("minutes") + 5, "key": F.concat((F.col("id") % 5).cast("string"), F.lit(":1"))})
-    return planner.merge(rows).select("query_id", "id", F.array_join("also", ",").alias("also"))
+    return planner.merge(rows).select("query_id", "id", F.array_join(F.array_sort(F.flatten("also")), ",").alias("also"))

@@ -15,7 +15,9 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type")
 
 
-KEY = F.col("p_partkey")
+def key() -> Column:
+    return F.col("p_partkey")
+
 
 #: Names in three scripts: Georgian and Cyrillic words stand where the tables have none.
 TRILINGUAL = ("რუსთაველის ქუჩა #14", "მე-18 საჯარო სკოლა", "ჯავახიშვილის გამზირი", "ძველი ბაზარი და პარკი", "Hotel Adjara", "26 მაისის მოედანი", "")
@@ -23,22 +25,22 @@ TRILINGUAL = ("რუსთაველის ქუჩა #14", "მე-18 ს
 
 @query("t20_clean", "select p_partkey, trim(regexp_replace(trim(regexp_replace('  ' || replace(p_name, ' ', '   ') || case when p_partkey % 3 = 0 then ' #' when p_partkey % 3 = 1 then '№ ' else ' №4' end, '\\s+', ' ', 'g')), '[№#]\\s*$', '')) as name from part")
 def t20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = F.when(KEY % 3 == 0, " #").when(KEY % 3 == 1, "№ ").otherwise(" №4")
+    end = F.when(key() % 3 == 0, " #").when(key() % 3 == 1, "№ ").otherwise(" №4")
     return parts(spark, sf_dir).select("p_partkey", text.clean(F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("   ")), end)).alias("name"))
 
 
 @query("t21_strip_code", "select p_partkey, case when p_partkey % 2 = 0 then p_name else (p_partkey + 1) || ' ' || p_name end as name from part")
 def t21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = F.concat_ws(" ", F.when(KEY % 2 == 0, KEY).otherwise(KEY + 1), "p_name")
-    return parts(spark, sf_dir).select("p_partkey", text.strip_code(full, KEY).alias("name"))
+    full = F.concat_ws(" ", F.when(key() % 2 == 0, key()).otherwise(key() + 1), "p_name")
+    return parts(spark, sf_dir).select("p_partkey", text.strip_code(full, key()).alias("name"))
 
 
 @query("t22_localised", "select p_partkey, case when p_partkey % 3 = 0 then 'known' when p_partkey % 3 = 1 then p_name else 'x' || p_partkey end as en, case when p_partkey % 3 = 0 then 'known' else 'x' || p_partkey end as other from part")
 def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's name, else a Latin one from the feed, else the name as it is."""
-    known = F.when(KEY % 3 == 0, "known")
-    latin = F.when(KEY % 3 == 1, F.col("p_name")).otherwise("რუსთაველი")
-    own = F.concat(F.lit("x"), KEY.cast("string"))
+    known = F.when(key() % 3 == 0, "known")
+    latin = F.when(key() % 3 == 1, F.col("p_name")).otherwise("რუსთაველი")
+    own = F.concat(F.lit("x"), key().cast("string"))
     feed = F.when(latin.rlike("[A-Za-z]") & ~latin.rlike(text.GEORGIAN_SCRIPT), latin)
     return parts(spark, sf_dir).select("p_partkey", F.coalesce(known, feed, own).alias("en"), F.coalesce(known, own).alias("other"))
 
@@ -51,7 +53,7 @@ def t23(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t24_lookup_name", "select p_partkey, case when p_size % 4 = 0 then null when p_partkey % 2 = 0 then 'ru-' || p_name || ' №' || p_size else 'ru-' || p_name end as ru from part")
 def t24(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name's translation by the whole name, or without its house number, which is put back."""
-    full = F.concat("p_name", F.when(KEY % 2 == 0, F.concat(F.lit(" №"), F.col("p_size").cast("string"))).otherwise(""))
+    full = F.concat("p_name", F.when(key() % 2 == 0, F.concat(F.lit(" №"), F.col("p_size").cast("string"))).otherwise(""))
     base, number = text.house_number(full)
     rows = parts(spark, sf_dir).withColumn("full", full).withColumn("base", base).withColumn("number", number)
     known = parts(spark, sf_dir).select(F.col("p_name").alias("k")).distinct().withColumn("ru", F.concat(F.lit("ru-"), "k"))
@@ -62,12 +64,12 @@ def t24(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t25_suffix_letters", "select p_partkey, p_size || ['a', 'b', 'c', 'd', 'z'][p_partkey % 5 + 1] as number from part")
 def t25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letter = F.element_at(F.array(*map(F.lit, "აბგდz")), (KEY % 5 + 1).cast("int"))
+    letter = F.element_at(F.array(*map(F.lit, "აბგდz")), (key() % 5 + 1).cast("int"))
     return parts(spark, sf_dir).select("p_partkey", F.translate(F.concat(F.col("p_size").cast("string"), letter), text.POLE_GEORGIAN, text.POLE_LATIN).alias("number"))
 
 
 def trilingual() -> Column:
-    return F.element_at(F.array(*map(F.lit, TRILINGUAL)), (KEY % len(TRILINGUAL) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, TRILINGUAL)), (key() % len(TRILINGUAL) + 1).cast("int"))
 
 
 @query("t26_to_cyrillic", "select p_partkey, ['Улица Руставели №14', '18-я публичная школа', 'Проспект Джавахишвили', 'Дзвели рынок и парк', 'Hotel Adjara', 'Площадь 26 Маиси', ''][p_partkey % 7 + 1] as ru from part")
@@ -104,7 +106,7 @@ def t32(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t37_house_numbers", "select p_partkey, lower(case when p_partkey % 4 = 0 then p_size || 'a' when p_partkey % 4 = 1 then p_size || '/2' when p_partkey % 4 = 2 then cast(p_size as varchar) end) as number from part")
 def t37(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    raw = F.when(KEY % 4 == 0, F.concat(size, F.lit(" A"))).when(KEY % 4 == 1, F.concat(size, F.lit(" / 2"))).when(KEY % 4 == 2, size).otherwise(F.concat(F.lit("no "), size))
+    raw = F.when(key() % 4 == 0, F.concat(size, F.lit(" A"))).when(key() % 4 == 1, F.concat(size, F.lit(" / 2"))).when(key() % 4 == 2, size).otherwise(F.concat(F.lit("no "), size))
     return parts(spark, sf_dir).select("p_partkey", text.valid_number(raw).alias("number"))
 
 
@@ -119,7 +121,7 @@ def t40(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t41_split_house_number", "select p_partkey, p_name as base, case when p_partkey % 3 > 0 then p_size || case when p_partkey % 3 = 2 then 'ა' else '' end end as number from part")
 def t41(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.concat(F.lit(" № "), F.col("p_size").cast("string"))
-    full = F.concat("p_name", F.when(KEY % 3 == 1, size).when(KEY % 3 == 2, F.concat(size, F.lit("ა"))).otherwise(""))
+    full = F.concat("p_name", F.when(key() % 3 == 1, size).when(key() % 3 == 2, F.concat(size, F.lit("ა"))).otherwise(""))
     base, number = text.house_number(full)
     return parts(spark, sf_dir).select("p_partkey", base.alias("base"), number.alias("number"))
 
@@ -127,7 +129,7 @@ def t41(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t42_overrides", "select p_partkey, coalesce(case when p_partkey % 10 = 0 then 'by hand' end, p_name) as name from part")
 def t42(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts(spark, sf_dir)
-    hand = rows.where(KEY % 10 == 0).select("p_partkey", F.lit("by hand").alias("hand"))
+    hand = rows.where(key() % 10 == 0).select("p_partkey", F.lit("by hand").alias("hand"))
     return rows.join(hand, "p_partkey", "left").select("p_partkey", F.coalesce("hand", "p_name").alias("name"))
 
 
@@ -138,7 +140,7 @@ def t43(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k03_number_key", "select p_partkey, p_size || ['а', 'б', 'г', 'г', 'а'][p_partkey % 5 + 1] as k from part")
 def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letter = F.element_at(F.array(*map(F.lit, ("ა", "b", "გ", "c", "A"))), (KEY % 5 + 1).cast("int"))
+    letter = F.element_at(F.array(*map(F.lit, ("ა", "b", "გ", "c", "A"))), (key() % 5 + 1).cast("int"))
     return parts(spark, sf_dir).select("p_partkey", text.number_key(F.concat(F.lit("№ "), F.col("p_size").cast("string"), F.lit(" "), letter)).alias("k"))
 
 
@@ -210,7 +212,7 @@ def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     houses = houses.select("street_id", F.col("p_partkey").alias("ord"), F.col("p_size").cast("string").alias("number"), "lat", "lon")
     areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.concat(F.lit("Small "), F.col("n_name")).alias("name"), F.lit(41.6).alias("lat"), F.lit(41.6).alias("lon"), (F.col("n_nationkey") % 2 == 0).alias("settlement"))
     areas = areas.withColumn("words", text.searchable(text.words(F.col("name"))))
-    places = parts(spark, sf_dir).where("p_partkey % 7 = 0").join(legs, "p_partkey").select(KEY.alias("id"), F.concat("p_name", F.lit(" hotel")).alias("name"), F.split(F.lower("p_type"), " ").alias("types"), "lat", "lon", (F.col("p_size") > 25).alias("prominent"))
+    places = parts(spark, sf_dir).where("p_partkey % 7 = 0").join(legs, "p_partkey").select(key().alias("id"), F.concat("p_name", F.lit(" hotel")).alias("name"), F.split(F.lower("p_type"), " ").alias("types"), "lat", "lon", (F.col("p_size") > 25).alias("prominent"))
     places = places.withColumn("words", text.searchable(text.words(F.col("name"))))
     return search.search(asked(spark, sf_dir), areas, rows, houses, places)
 
@@ -221,7 +223,7 @@ SPOILT = """feed as (select distinct case p_partkey % 6 when 0 then p_name when
 
 
 def feed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, n = F.col("p_name"), KEY % 6
+    name, n = F.col("p_name"), key() % 6
     last, first = F.regexp_extract(name, "[a-z]+$", 0), F.regexp_extract(name, "^[a-z]+", 0)
     spoilt = F.when(n == 0, name).when(n == 1, F.concat(F.upper(name), F.lit("!"))).when(n == 2, F.concat_ws(" ", last, first)).when(n == 3, F.concat(name, F.lit(" street")))
     spoilt = spoilt.when(n == 4, F.concat(F.substring(name, 1, 2), F.substring(name, F.lit(4), F.length(name)))).otherwise(F.concat(F.lit("zzqq "), name))
@@ -273,7 +275,7 @@ fold as (select p_brand, n, p_partkey, [lat] as kept, true as keep from o where
 select p_brand, p_partkey from fold where keep""")
 def j19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One house of each lot: none within 120 m of one kept before."""
-    rows = parts(spark, sf_dir).select("p_brand", "p_partkey", (F.lit(41.5) + KEY % 40 * F.lit(0.0007)).alias("lat"), F.lit(41.6).alias("lon"))
+    rows = parts(spark, sf_dir).select("p_brand", "p_partkey", (F.lit(41.5) + key() % 40 * F.lit(0.0007)).alias("lat"), F.lit(41.6).alias("lon"))
     return resolve.spread(rows, ["p_brand"], "p_partkey", 120).select("p_brand", "p_partkey")
 
 
@@ -315,6 +317,6 @@ def p18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p20_place_names", "select p_partkey, case p_partkey % 4 when 0 then 'Me' when 1 then p_name when 2 then case when p_size > 25 then p_name else 'A point' end else p_name || ' · ' || p_partkey end as name from part")
 def p20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = KEY % 4
-    name = F.when(n == 0, "Me").when(n == 1, F.col("p_name")).when(n == 2, F.coalesce(F.when(F.col("p_size") > 25, F.col("p_name")), F.lit("A point"))).otherwise(F.concat_ws(" · ", "p_name", KEY))
+    n = key() % 4
+    name = F.when(n == 0, "Me").when(n == 1, F.col("p_name")).when(n == 2, F.coalesce(F.when(F.col("p_size") > 25, F.col("p_name")), F.lit("A point"))).otherwise(F.concat_ws(" · ", "p_name", key()))
     return parts(spark, sf_dir).select("p_partkey", name.alias("name"))

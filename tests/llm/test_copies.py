@@ -68,6 +68,21 @@ def test_links_of_a_dense_group():
     assert [root(i) for i in range(len(order))] == linked(order)
 
 
+def test_large_groups_are_dealt_anew(spark):
+    rng = np.random.default_rng(6)
+    centre = int(rng.integers(0, 1 << 63))
+    prints = {centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(120)} | {int(x) for x in rng.integers(0, 1 << 63, 40)}
+    order = sorted(prints)
+    classes = spark.createDataFrame([(simhash.signed(x),) for x in order], "fingerprint bigint")
+    want = linked(order)
+    for hot in (3, 20, 1 << 16):
+        found = {r.node: r.component for r in components(simhash.links(classes, hot)).collect()}
+        groups = {}
+        for x, c in zip(order, want, strict=True):
+            groups.setdefault(c, set()).add(found.get(simhash.signed(x), simhash.signed(x)))
+        assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (1, 0)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()))

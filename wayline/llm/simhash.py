@@ -3,7 +3,8 @@
 Exact copies collapse to one fingerprint first. Two fingerprints of at most
 four differing bits agree on two of six blocks, so each is dealt to the tables
 of the fifteen block pairs; a table's key is the pattern that its whole group
-shares. In a group, fingerprints sorted by Gray rank are packed into pages, and
+shares. A group that is too large for a task is dealt again by pairs of blocks
+of its other bits. In a group, fingerprints sorted by Gray rank are packed into pages, and
 pages into upper nodes; a node holds the masked bits that all below it share.
 Pairs of nodes go down from the top, adding up differences on newly shared
 bits, and whole groups are pruned beyond the limit. Of the links that are found
@@ -31,8 +32,10 @@ from wayline.llm.common import checkpoint, slices, texts
 from wayline.llm.components import components
 
 SEED, WORDS, LIMIT = 42, 4, 4
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 PAGE, FAN = 32, 16
+#: Fingerprints of a group that one task takes; a larger group is dealt anew by more bits, and after three times has at
+#: most 20 bits left to differ.
+HOT, LEVELS = 1 << 16, 3
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> list[int]:
@@ -72,14 +75,24 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return base.mapInArrow(hashed, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fingerprint bigint")
 
 
-def block_keys(fp: Column) -> Column:
-    """The key of each pair of blocks: the pair's number over both blocks' bits."""
+def pair_masks(fixed: int = 0) -> list[int]:
+    """The bits left beside the fixed ones, cut into six blocks: the fixed bits with each pair of blocks."""
+    left = [i for i in range(64) if not fixed >> i & 1]
+    cuts = [round(len(left) * k / 6) for k in range(7)]
+    blocks = [sum(1 << i for i in left[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [fixed | a | b for a, b in combinations(blocks, 2)]
 
-    def bits(start: int, width: int) -> Column:
-        return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
 
-    pairs = enumerate(combinations(BLOCKS, 2))
-    return F.array(*(F.lit(t << 24) + F.shiftleft(bits(*a), b[1]).bitwiseOR(bits(*b)) for t, (a, b) in pairs)).cast("array<bigint>")
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def deeper(level: int) -> dict[int, list[int]]:
+    """Of each mask of a level the masks below it."""
+    masks = [0]
+    for _ in range(level):
+        masks = [m for x in masks for m in pair_masks(x)]
+    return {x: pair_masks(x) for x in masks}
 
 
 def gray_rank(fp: Column) -> Column:
@@ -191,38 +204,69 @@ def page_links(pages: Level, fps: np.ndarray, label: np.ndarray, a: np.ndarray,
     return label
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """``u``, ``v``: linked fingerprints, enough of them to connect all that are linked. classes: distinct ``fingerprint``."""
-    fp = F.col("fingerprint")
-    dealt = classes.select(fp, gray_rank(fp).alias("rank"), F.explode(block_keys(fp)).alias("key"))
-    dealt = dealt.repartition("key").sortWithinPartitions("key", "rank").select("key", "fingerprint")
+def dealt_links(dealt: DataFrame, hot: int) -> DataFrame:
+    """Links inside groups of equal ``key``: u, v, mask 0; and the rows of larger groups than ``hot``: fingerprint as u, their mask.
+
+    dealt: key, fingerprint, mask, by key and Gray rank. No more than ``hot`` rows and a batch are held.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []  # key, fingerprint, mask
+        large = None  # the key of the group that is being passed on
+
+        def out(u: np.ndarray, v: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(mask)], names=["u", "v", "mask"])
 
-        def found(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = group_links(keys, fps)
-            u, v = fps[a].view(np.int64), fps[b].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = group_links(rows[0], rows[1])
+            return out(rows[1][a], rows[1][b], np.zeros(len(a), np.int64))
 
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            fps = batch.column("fingerprint").to_numpy().view(np.uint64)
-            if not len(keys):
+            if not batch.num_rows:
                 continue
-            held.append((keys, fps))
-            cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last key's group may go on
-            if not cut and held[0][0][0] == keys[-1]:
-                continue
-            every = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = int(np.searchsorted(every[0], keys[-1], side="left"))
-            if end:
-                yield found(every[0][:end], every[1][:end])
-            held = [(every[0][end:], every[1][end:])]
+            held.append([batch.column("key").to_numpy(), batch.column("fingerprint").to_numpy().view(np.uint64), batch.column("mask").to_numpy()])
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            keys = rows[0]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            size = np.diff(np.append(first, len(keys)))
+            done = np.ones(len(first), bool)
+            done[-1] = False  # the last group may go on
+            passed = (size > hot) | (keys[first] == large) if large is not None else size > hot
+            send = np.repeat(passed, size)
+            take = np.repeat(done & ~passed, size)
+            if send.any():
+                yield out(rows[1][send], rows[1][send], rows[2][send])
+            if take.any():
+                yield linked([x[take] for x in rows])
+            large = keys[-1] if passed[-1] else None
+            held = [] if passed[-1] else [[x[first[-1] :] for x in rows]]
         if held:
-            yield found(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield linked(held[0])
+
+    return dealt.mapInArrow(find, "u bigint, v bigint, mask bigint")
+
 
-    return dealt.mapInArrow(find, "u bigint, v bigint")
+def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
+    """``u``, ``v``: linked fingerprints, enough of them to connect all that are linked. classes: distinct ``fingerprint``.
+
+    Two fingerprints that differ in four bits agree on two of six blocks, and then on two of six of what is left: each
+    level is exact, and only groups that are too large for a task go to the next.
+    """
+    spark = classes.sparkSession
+    fp = F.col("fingerprint")
+    rows, found = classes.select(fp, F.explode(F.array(*(F.lit(signed(m)) for m in pair_masks()))).alias("mask")), None
+    for level in range(1, LEVELS + 1):
+        dealt = rows.select(F.xxhash64("mask", fp.bitwiseAND(F.col("mask"))).alias("key"), gray_rank(fp).alias("rank"), fp, "mask")
+        dealt = dealt.repartition("key").sortWithinPartitions("key", "rank").select("key", "fingerprint", "mask")
+        out = checkpoint(dealt_links(dealt, hot if level < LEVELS else 1 << 62))
+        own = out.where("mask = 0").select("u", "v")
+        found = own if found is None else found.unionByName(own)
+        large = out.where("mask <> 0").select(F.col("u").alias("fingerprint"), F.col("mask").alias("was"))
+        if level == LEVELS or large.isEmpty():
+            return found
+        below = spark.createDataFrame([(signed(m), signed(x)) for m, xs in deeper(level).items() for x in xs], "was bigint, mask bigint")
+        rows = large.join(F.broadcast(below), "was").select("fingerprint", "mask")  # 225 or 3,375 masks
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

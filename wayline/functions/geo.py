@@ -29,7 +29,7 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 def angle_between(a: Column, b: Column) -> Column:
     """0 to 180."""
-    d = F.pmod(a - b, F.lit(360.0))
+    d = F.abs(F.pmod(a - b, F.lit(360.0)))  # not minus zero
     return F.least(d, 360 - d)
 
 

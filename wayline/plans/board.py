@@ -201,9 +201,9 @@ def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops.join(last, LEG, "left").select("stop_id", F.coalesce(F.concat(F.lit("Stop "), "end"), F.concat(F.lit("Route "), "route_id")).alias("headsign"))
 
 
-@query("a03_chains", f"{STOPS} select route_id, direction, count(*) as n, list(stop_id order by seq) as stop_ids, cast(floor(max(along) + 0.5) as bigint) as metres from stop group by route_id, direction")
+@query("a03_chains", f"{STOPS} select route_id, direction, count(*) as n, string_agg(cast(stop_id as varchar), ',' order by seq) as stop_ids, cast(floor(max(along) + 0.5) as bigint) as metres from stop group by route_id, direction")
 def a03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = F.transform(F.sort_array(F.collect_list(F.struct("seq", "stop_id"))), lambda x: x["stop_id"])
+    stops = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "stop_id"))), lambda x: x["stop_id"]), ",")
     return along_stops(spark, sf_dir).groupBy(*LEG).agg(F.count("*").alias("n"), stops.alias("stop_ids"), geo.nearest_whole(F.max("along")).alias("metres"))
 
 

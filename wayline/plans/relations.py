@@ -226,7 +226,7 @@ def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("least"), F.min(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice"))).alias("least_open"))
 
 
-@query("a11_coverage", "select case when p_size > 30 then 'exact' when p_size > 10 then 'near' else 'loose' end as tier, count(*) as n, sum(case when p_partkey % 2 = 0 then 1 else 0 end) as named from part group by tier")
+@query("a11_coverage", "select case when p_size > 30 then 'exact' when p_size > 10 then 'near' else 'loose' end as tier, count(*) as n, count(*) filter (where p_partkey % 2 = 0) as named from part group by tier")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = F.when(F.col("p_size") > 30, "exact").when(F.col("p_size") > 10, "near").otherwise("loose")
     return table(spark, sf_dir, "part").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if(F.col("p_partkey") % 2 == 0).alias("named"))
@@ -259,9 +259,9 @@ def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weight.withColumn("r", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("w").desc(), "name"))).where("r <= 2").select("p_brand", "name")
 
 
-@query("a19_pole_groups", "select p_name as base, sum(p_size) as poles, list(p_partkey order by p_partkey) as ids from part group by p_name")
+@query("a19_pole_groups", "select p_name as base, cast(sum(p_size) as bigint) as poles, string_agg(cast(p_partkey as varchar), ',' order by p_partkey) as ids from part group by p_name")
 def a19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("base")).agg(F.sum("p_size").alias("poles"), F.sort_array(F.collect_list("p_partkey")).alias("ids"))
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("base")).agg(F.sum("p_size").alias("poles"), F.array_join(F.sort_array(F.collect_list("p_partkey")), ",").alias("ids"))
 
 
 @query("w06_prefix_best", "select l_orderkey, l_linenumber, min(l_extendedprice) over (partition by l_orderkey order by l_linenumber, l_extendedprice, l_partkey, l_suppkey rows unbounded preceding) as best from lineitem")
@@ -349,10 +349,10 @@ def u06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.where("p_size < 10").select("p_brand").subtract(part.where("p_size > 49").select("p_brand"))
 
 
-@query("u07_joined_patterns", "select route_id, list_concat(list(stop_id order by seq) filter (where direction = 1), list(stop_id order by seq) filter (where direction = 2)) as stop_ids from stop_leg group by route_id")
+@query("u07_joined_patterns", "select route_id, string_agg(cast(stop_id as varchar), ',' order by direction, seq) as stop_ids from stop_leg group by route_id")
 def u07(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = lambda d: F.transform(F.sort_array(F.collect_list(F.when(F.col("direction") == d, F.struct("seq", "stop_id")))), lambda x: x["stop_id"])
-    return stop_legs(spark, sf_dir).groupBy("route_id").agg(F.concat(chain(1), chain(2)).alias("stop_ids"))
+    return stop_legs(spark, sf_dir).groupBy("route_id").agg(F.array_join(F.concat(chain(1), chain(2)), ",").alias("stop_ids"))
 
 
 @query("p01_route_summary", "select route_id, count(distinct direction) as directions, count(*) as n_stops from stop_leg group by route_id")

@@ -151,7 +151,7 @@ def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t33(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = parts(spark, sf_dir).select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
     close = (F.col("a") == F.col("b")) | ((F.least(F.length("a"), F.length("b")) >= 5) & (F.levenshtein("a", "b", 2) >= 0))
-    # words of names that part of one brand share no key; a vocabulary of tens is compared whole
+    # the parts' names are made of some tens of words, so each is compared with all
     return each.withColumnRenamed("w", "a").join(F.broadcast(each.withColumnRenamed("w", "b")), F.abs(F.length("a") - F.length("b")) <= 2).where(close)
 
 

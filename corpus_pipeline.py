@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, decontaminate, quality, secrets, simhash
+from wayline.llm import bpe, decontaminate, likeness, quality, secrets
 from wayline.llm.common import crc_mod, read, shared_dir
 
 LEAST_QUALITY = 0.3
@@ -28,8 +28,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each near-duplicate group, and rows without an id."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Keeps the document of the smallest id of each group of near copies (five-word Jaccard of 0.8), and rows without an id."""
+    first = likeness.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 

@@ -5,7 +5,8 @@ the shared folder. Passages of fixed length give document frequencies and, in
 one more pass, the sketch of a randomised singular value decomposition of the
 TF-IDF matrix of all passages and of the benchmark's items, which weigh as much
 as all documents together; its axes span the latent space. Overlapping windows
-whose latent vector is near an item's are candidates. Their longest common
+whose latent vector is near an item's are candidates, and for items that the
+space hardly holds those that share a run of words. Their longest common
 subsequence with the item decides, and below a clear match the item's answer,
 its last third, must be there too.
 
@@ -33,8 +34,10 @@ from wayline.llm.common import shared_dir, slices, texts
 GROUP_ITEMS, ITEM_WORDS = 2000, 64
 PASSAGE, STRIDE = 48, 24
 AXES, SPARE = 64, 8
-#: Terms in more than this share of the passages carry no weight.
-COMMON = 0.1
+#: Least weight of a term, however common: an item that many rows hold must not lose its own words.
+FLOOR = 0.1
+#: Items' parts of which the latent space holds less than this length are also looked up by runs of their words.
+WEAK, GRAM = 0.5, 5
 NEAR, CLEAR, LIKELY, ANSWER = 0.55, 0.8, 0.5, 0.6
 
 WORD = re.compile(r"\w+")
@@ -110,17 +113,40 @@ def gram_times(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int
     return out
 
 
+def run_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n words."""
+    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(out)].astype(np.uint64)
+    return out
+
+
 @dataclass
 class LatentItems:
     items: Items
     idf: np.ndarray
     terms: np.ndarray  #: weighed axes of each term
     vectors: np.ndarray  #: of the items' parts, of length 1
+    weak: list[int]  #: parts to look up by runs of words too
 
     def __post_init__(self) -> None:
         self.masks = [places(w) for w in self.items.words]
         self.answers = [w[-max(1, len(w) // 3) :] for w in self.items.words]
         self.answer_masks = [places(w) for w in self.answers]
+        self.runs: dict[int, dict[int, list[int]]] = {}  # by length and hash, the weak parts
+        for part in self.weak:
+            n = min(GRAM, len(self.items.words[part]))
+            for h in set(run_hashes(np.array(self.items.words[part]), n).tolist()):
+                self.runs.setdefault(n, {}).setdefault(h, []).append(part)
+        self.run_keys = {n: np.array(sorted(x), np.uint64) for n, x in self.runs.items()}
+
+    def shared_runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """First word and part of each run that a weak part holds too."""
+        out = []
+        for n, keys in self.run_keys.items():
+            hashes = run_hashes(ids, n)
+            out += [(at, part) for at in np.flatnonzero(np.isin(hashes, keys)).tolist() for part in self.runs[n][int(hashes[at])]]
+        return out
 
     def found(self, ids: np.ndarray) -> dict[int, tuple[float, float, float, int]]:
         """Of each matching item: similarity, common share, answer's share, first word of the window."""
@@ -134,9 +160,14 @@ class LatentItems:
         latent = (sums[high] - sums[low]).astype(np.float32)
         latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
         out: dict[int, tuple[float, float, float, int]] = {}
+        exact = {(min(at // STRIDE, len(starts) - 1), part) for at, part in self.shared_runs(ids)}
         for k in range(0, len(starts), 1024):
             near = latent[k : k + 1024] @ self.vectors.T
-            for row, part in zip(*np.nonzero(near >= NEAR), strict=True):
+            candidates = near >= NEAR
+            for row, part in exact:
+                if k <= row < k + 1024:
+                    candidates[row - k, part] = True
+            for row, part in zip(*np.nonzero(candidates), strict=True):
                 start = int(starts[k + row])
                 words = self.items.words[part]
                 around = max(STRIDE, len(words) // 2)
@@ -192,7 +223,7 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
     if not n_passages:
         return spark.createDataFrame([], schema)
     df = np.array([counts[t] for t in range(n_terms)], np.float64)
-    idf = np.where(df > COMMON * max(n_passages, 100), 0.0, np.log((n_passages + 1) / (df + 1)))
+    idf = np.maximum(np.log((n_passages + 1) / (df + 1)), FLOOR)
     test = np.random.default_rng(seed).standard_normal((n_terms, AXES + SPARE))
     shared = spark.sparkContext.broadcast((idf, test))
 
@@ -224,8 +255,10 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
     axes = basis @ turn[:, ::-1][:, :AXES]
     vectors = np.zeros((len(own), axes.shape[1]))
     np.add.at(vectors, passage, weight[:, None] * axes[term])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    latent = spark.sparkContext.broadcast(LatentItems(items, idf, (idf[:, None] * axes).astype(np.float32), vectors.astype(np.float32)))
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors /= np.maximum(length, 1e-9)
+    weak = np.flatnonzero(length[:, 0] < WEAK).tolist()
+    latent = spark.sparkContext.broadcast(LatentItems(items, idf, (idf[:, None] * axes).astype(np.float32), vectors.astype(np.float32), weak))
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = latent.value

@@ -34,8 +34,9 @@ from wayline.llm.common import shared_dir, slices, texts
 GROUP_ITEMS, ITEM_WORDS = 2000, 64
 PASSAGE, STRIDE = 48, 24
 AXES, SPARE = 64, 8
-#: Least weight of a term, however common: an item that many rows hold must not lose its own words.
-FLOOR = 0.1
+#: Terms in more than this share of the passages carry no weight, unless an item would lose over half its words by it:
+#: an item that many rows hold keeps all, with this least weight.
+COMMON, FLOOR = 0.1, 0.1
 #: Items' parts of which the latent space holds less than this length are also looked up by runs of their words.
 WEAK, GRAM = 0.5, 5
 NEAR, CLEAR, LIKELY, ANSWER = 0.55, 0.8, 0.5, 0.6
@@ -223,7 +224,11 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
     if not n_passages:
         return spark.createDataFrame([], schema)
     df = np.array([counts[t] for t in range(n_terms)], np.float64)
-    idf = np.maximum(np.log((n_passages + 1) / (df + 1)), FLOOR)
+    full = np.log((n_passages + 1) / (df + 1))
+    common = df > COMMON * max(n_passages, 100)
+    needed = sorted({w for x in items.words if common[x].mean() > 0.5 for w in x})
+    idf = np.where(common, 0.0, full)
+    idf[needed] = np.maximum(full[needed], FLOOR)
     test = np.random.default_rng(seed).standard_normal((n_terms, AXES + SPARE))
     shared = spark.sparkContext.broadcast((idf, test))
 

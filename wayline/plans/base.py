@@ -20,7 +20,7 @@ VIEWS = """with stop_leg as (
 shape_pt as (
   select route_id, case when route_id % 3 = 0 then -j else j end as i, lat, lon from (
     select route_id, case when direction = 1 then seq else 1000000 + seq end as j, 41.5e0 + route_id*0.003e0 as lat, lon from stop_leg) t),
-dep as (select distinct o_orderkey % 25 as route_id, 300 + (o_orderkey*37) % 900 as dep from orders where o_orderkey < 15000),
+dep as (select distinct o_orderkey % 25 as route_id, 300 + (o_orderkey*37) % 900 as dep from orders),
 offs as (select route_id, direction, seq, case when route_id % 8 = 3 then cast(floor(seq/20e0) as bigint) else seq*2 end as off from stop_leg),
 ping as (
   select event_id, user_id as plate, user_id % 25 as route_id, event_id*1000 as now_ms,

@@ -10,9 +10,6 @@ from wayline.operators.stages import cut
 from wayline.plans.base import haversine, query
 from wayline.sources.tables import stop_legs, table
 
-#: Trips asked for: start and end in the grid of lines.
-MANY, FEW = 60, 24
-
 PATTERNS = f"""hopped as (select *, count(*) over (partition by route_id, direction) as n, coalesce({haversine("lag(lat) over w", "lag(lon) over w", "lat", "lon")}, 0e0)*1.08e0 as hop from stop_leg window w as (partition by route_id, direction order by seq)),
 plain as (select *, sum(hop) over (partition by route_id, direction order by seq rows unbounded preceding) as metres from hopped where n > 1),
 turn as (select a.route_id, a.direction as before, b.direction as after, a.n - 1 as turn, a.metres + 1.08e0*{haversine("a.lat", "a.lon", "b.lat", "b.lon")} as beyond from plain a join plain b on a.route_id = b.route_id and a.direction <> b.direction and a.seq = a.n - 1 and b.seq = 0 where {haversine("a.lat", "a.lon", "b.lat", "b.lon")} <= 600),
@@ -20,8 +17,9 @@ ps as (select route_id || ':' || direction as pattern, route_id, direction, seq
  union all select p.route_id || ':' || p.direction || '+', p.route_id, p.direction, seq, stop_id, metres/(19.6e0*1000/60), turn from plain p join turn t on p.route_id = t.route_id and p.direction = t.before
  union all select p.route_id || ':' || t.before || '+', p.route_id, t.before, seq + turn + 1, stop_id, (metres + beyond)/(19.6e0*1000/60), turn from plain p join turn t on p.route_id = t.route_id and p.direction = t.after)"""
 
-TRIPS = """trip as (select c_custkey as query_id, 41.5e0 + (c_custkey*7 % 25)*0.003e0 + 0.0004e0 as from_lat, 41.5e0 + (c_custkey*11 % last)*0.003e0 + 0.0007e0 as from_lon,
-  41.5e0 + ((c_custkey*7 + c_custkey % 4*2) % 25)*0.003e0 - 0.0003e0 as to_lat, 41.5e0 + (c_custkey*17 % last)*0.003e0 - 0.0002e0 as to_lon from customer, (select max(seq) + 1 as last from stop_leg) where c_custkey < {n})"""
+#: A trip of each supplier, from a start to an end in the grid of lines.
+TRIPS = """trip as (select s_suppkey as query_id, 41.5e0 + (s_suppkey*7 % 25)*0.003e0 + 0.0004e0 as from_lat, 41.5e0 + (s_suppkey*11 % last)*0.003e0 + 0.0007e0 as from_lon,
+  41.5e0 + ((s_suppkey*7 + s_suppkey % 4*2) % 25)*0.003e0 - 0.0003e0 as to_lat, 41.5e0 + (s_suppkey*17 % last)*0.003e0 - 0.0002e0 as to_lon from supplier, (select max(seq) + 1 as last from stop_leg))"""
 
 
 def ends(end: str) -> str:
@@ -36,11 +34,11 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop_legs(spark, sf_dir).select("route_id", "direction", "seq", "stop_id", "lat", "lon")
 
 
-def trips(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What people ask: query_id, from_lat, from_lon, to_lat, to_lon."""
     last = F.broadcast(stop_legs(spark, sf_dir).agg((F.max("seq") + 1).alias("last")))  # one row
     k = F.col("query_id")
-    own = table(spark, sf_dir, "customer").where(F.col("c_custkey") < n).select(F.col("c_custkey").alias("query_id")).crossJoin(last)
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id")).crossJoin(last)
     at = lambda x, off: F.lit(41.5) + x * F.lit(0.003) + F.lit(off)
     return own.select(
         "query_id", at(k * 7 % 25, 0.0004).alias("from_lat"), at(k * 11 % F.col("last"), 0.0007).alias("from_lon"),
@@ -48,9 +46,9 @@ def trips(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     )
 
 
-def prepared(spark: SparkSession, sf_dir: str, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Access, egress, pattern stops and changes for the trips."""
-    own, asked = legs(spark, sf_dir), trips(spark, sf_dir, n)
+    own, asked = legs(spark, sf_dir), trips(spark, sf_dir)
     stops = own.select("stop_id", "lat", "lon")
     paths = planner.changes(planner.build_footpaths(stops), stops)
     return cut(planner.access(asked, stops, "from")), cut(planner.access(asked, stops, "to")), cut(planner.build_patterns(own)), cut(paths)
@@ -69,16 +67,16 @@ def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("pattern").agg(F.count_if(planner.can_board()).alias("board"), F.count_if(planner.can_alight()).alias("alight"))
 
 
-@query("j11_direct", f"""with {PATTERNS}, {TRIPS.format(n=MANY)}, {BOTH}
+@query("j11_direct", f"""with {PATTERNS}, {TRIPS}, {BOTH}
 select a.query_id, b.pattern, round(min(1.5e0*a.walk - b.minutes + e.minutes + 1.5e0*g.walk), 4) as felt from acc a join ps b on b.stop_id = a.stop_id and (b.turns_at is null or b.pos <= b.turns_at)
 join ps e on e.pattern = b.pattern and e.pos > b.pos and (e.turns_at is null or e.pos > e.turns_at) join egr g on g.query_id = a.query_id and g.stop_id = e.stop_id group by a.query_id, b.pattern""")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walk_in, egress, rows, _ = prepared(spark, sf_dir, MANY)
+    walk_in, egress, rows, _ = prepared(spark, sf_dir)
     found = planner.direct(walk_in, egress, rows)
     return found.select("query_id", F.col("rides")[0]["pattern"].alias("pattern"), F.round("cost", 4).alias("felt"))
 
 
-@query("j12_one_change", f"""with {PATTERNS}, {TRIPS.format(n=FEW)}, {BOTH},
+@query("j12_one_change", f"""with {PATTERNS}, {TRIPS}, {BOTH},
 first as (select a.query_id, b.pattern, e.route_id, e.stop_id, e.pos, min(1.5e0*a.walk - b.minutes) + min(e.minutes) as cost from acc a join ps b on b.stop_id = a.stop_id and (b.turns_at is null or b.pos <= b.turns_at)
  join ps e on e.pattern = b.pattern and e.pos > b.pos and (e.turns_at is null or e.pos > e.turns_at) group by a.query_id, b.pattern, e.route_id, e.stop_id, e.pos),
 second as (select g.query_id, b.pattern, b.route_id, b.stop_id, b.pos, min(e.minutes + 1.5e0*g.walk) - min(b.minutes) as cost from egr g join ps e on e.stop_id = g.stop_id and (e.turns_at is null or e.pos > e.turns_at)
@@ -87,7 +85,7 @@ path as (select stop_id, stop_id as to_stop, 0e0 as walk from stop_leg union all
  select s.stop_id, r.stop_id, {haversine("s.lat", "s.lon", "r.lat", "r.lon")}*1.25e0/75 from stop_leg s join stop_leg r on abs(s.lat - r.lat) < 0.005 and abs(s.lon - r.lon) < 0.006 and s.stop_id <> r.stop_id where {haversine("s.lat", "s.lon", "r.lat", "r.lon")} <= 400)
 select f.query_id, f.pattern as one, s.pattern as two, round(min(f.cost + 1.5e0*p.walk + s.cost), 4) as felt from first f join path p on p.stop_id = f.stop_id join second s on s.query_id = f.query_id and s.stop_id = p.to_stop and s.route_id <> f.route_id group by f.query_id, f.pattern, s.pattern""")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walk_in, egress, rows, paths = prepared(spark, sf_dir, FEW)
+    walk_in, egress, rows, paths = prepared(spark, sf_dir)
     found = planner.one_change(walk_in, egress, rows, paths)
     return found.select("query_id", F.col("rides")[0]["pattern"].alias("one"), F.col("rides")[1]["pattern"].alias("two"), F.round("cost", 4).alias("felt"))
 
@@ -95,13 +93,13 @@ def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j13_two_changes")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best journey with three rides of each trip."""
-    walk_in, egress, rows, paths = prepared(spark, sf_dir, FEW)
+    walk_in, egress, rows, paths = prepared(spark, sf_dir)
     found = planner.two_changes(walk_in, egress, rows, paths)
     return found.select("query_id", F.transform("rides", lambda r: r["pattern"]).alias("patterns"), F.round("cost", 4).alias("felt"))
 
 
 def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.plan(trips(spark, sf_dir, FEW), legs(spark, sf_dir))
+    return planner.plan(trips(spark, sf_dir), legs(spark, sf_dir))
 
 
 @query("c06_plan")
@@ -127,16 +125,16 @@ def p14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on.groupBy("query_id", "place", "leg").agg(F.array_join(line, ";").alias("line"))
 
 
-@query("c01_walk_only", f"with {TRIPS.format(n=MANY)} select query_id, round({haversine('from_lat', 'from_lon', 'to_lat', 'to_lon')}*1.25e0/75, 4) as minutes, {haversine('from_lat', 'from_lon', 'to_lat', 'to_lon')} <= 250 as just_walk from trip")
+@query("c01_walk_only", f"with {TRIPS} select query_id, round({haversine('from_lat', 'from_lon', 'to_lat', 'to_lon')}*1.25e0/75, 4) as minutes, {haversine('from_lat', 'from_lon', 'to_lat', 'to_lon')} <= 250 as just_walk from trip")
 def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = planner.on_foot(trips(spark, sf_dir, MANY))
+    rows = planner.on_foot(trips(spark, sf_dir))
     return rows.select("query_id", F.round(F.col("walks")[0]["minutes"], 4).alias("minutes"), (F.col("straight") <= planner.JUST_WALK).alias("just_walk"))
 
 
-@query("c02_ends_without_stops", f"with t as (select c_custkey as query_id, 41.5e0 + c_custkey % 3 as lat, 41.5e0 + c_custkey % 2 as lon from customer where c_custkey < {MANY}) select query_id, case when lat > 42 then 'from' when lon > 42 then 'to' end as none_near from t")
+@query("c02_ends_without_stops", f"with t as (select c_custkey as query_id, 41.5e0 + c_custkey % 3 as lat, 41.5e0 + c_custkey % 2 as lon from customer) select query_id, case when lat > 42 then 'from' when lon > 42 then 'to' end as none_near from t")
 def c02(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    asked = table(spark, sf_dir, "customer").where(k < MANY).select(k.alias("query_id"), (F.lit(41.5) + k % 3).alias("from_lat"), F.lit(41.5).alias("from_lon"), F.lit(41.5).alias("to_lat"), (F.lit(41.5) + k % 2).alias("to_lon"))
+    asked = table(spark, sf_dir, "customer").select(k.alias("query_id"), (F.lit(41.5) + k % 3).alias("from_lat"), F.lit(41.5).alias("from_lon"), F.lit(41.5).alias("to_lat"), (F.lit(41.5) + k % 2).alias("to_lon"))
     return planner.ends_without_stops(asked, legs(spark, sf_dir).select("stop_id", "lat", "lon"))
 
 
@@ -163,7 +161,7 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.rank(rows).select("query_id", "place", "o_orderkey")
 
 
-@query("a17_merged", """with t as (select o_custkey % 50 as query_id, o_orderkey as id, o_orderkey % 5 as line, o_orderkey % 3 as pole, o_totalprice/20000 as minutes from orders where o_orderkey < 3000),
+@query("a17_merged", """with t as (select o_custkey as query_id, o_orderkey as id, o_orderkey % 5 as line, o_orderkey % 3 as pole, o_totalprice/20000 as minutes from orders),
 g as (select *, first(line) over w as best_line, minutes - first(minutes) over w <= 2 as alike, row_number() over w as n from t window w as (partition by query_id, pole order by round(minutes + 5, 6), line || ':1', id))
 select query_id, id, array_to_string(case when n = 1 then coalesce((select list_sort(list_distinct(list(h.line || ':1'))) from g h where h.query_id = g.query_id and h.pole = g.pole and h.alike and h.n > 1 and h.line <> g.line), []) else [] end, ',') as also from g where n = 1 or not alike""")
 def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +169,6 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     ride = F.struct((k % 5).alias("route_id"), F.lit(1).alias("direction"), (k % 3).alias("from_stop"), (k % 3).alias("to_stop"), k.alias("id"))
     foot = F.struct(F.lit(0.0).alias("minutes"), F.lit(0.0).alias("metres"))
-    rows = table(spark, sf_dir, "orders").where(k < 3000).select((F.col("o_custkey") % 50).alias("query_id"), k.alias("id"), (F.col("o_totalprice") / 20000).alias("minutes"), F.array(ride).alias("rides"), F.array(foot, foot).alias("walks"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query_id"), k.alias("id"), (F.col("o_totalprice") / 20000).alias("minutes"), F.array(ride).alias("rides"), F.array(foot, foot).alias("walks"))
     rows = rows.withColumns({"n_rides": F.lit(1), "cost": F.col("minutes") + 5, "key": F.concat((F.col("id") % 5).cast("string"), F.lit(":1"))})
     return planner.merge(rows).select("query_id", "id", F.array_join(F.array_sort(F.flatten("also")), ",").alias("also"))

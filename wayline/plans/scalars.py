@@ -194,7 +194,7 @@ def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("turned"))
 
 
-@query("w15_bearing_average", """with recursive x as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n, cast(event_id*37 % 360 as double) as a from events where event_id < 3000),
+@query("w15_bearing_average", """with recursive x as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n, cast(event_id*37 % 360 as double) as a from events),
 run as (select user_id, n, event_id, a as shown from x where n = 1
  union all select x.user_id, x.n, x.event_id, round((((run.shown + (case when ((x.a - run.shown) % 360 + 360) % 360 > 180 then ((x.a - run.shown) % 360 + 360) % 360 - 360 else ((x.a - run.shown) % 360 + 360) % 360 end) * (1 - exp(-(x.event_id - run.event_id)/120e0))) % 360) + 360) % 360, 6) from run join x on x.user_id = run.user_id and x.n = run.n + 1)
 select event_id, shown as degrees from run""")
@@ -207,7 +207,7 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(x["event_id"].alias("at"), shown.alias("shown"), F.concat(state["out"], F.array(F.struct(x["event_id"].alias("event_id"), shown.alias("degrees")))).alias("out"))
 
     start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("double").alias("shown"), F.array().cast("array<struct<event_id:bigint,degrees:double>>").alias("out"))
-    rows = events(spark, sf_dir).where("event_id < 3000").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", modulo(37, 360).cast("double").alias("a")))).alias("s"))
+    rows = events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", modulo(37, 360).cast("double").alias("a")))).alias("s"))
     return rows.select(F.inline(F.aggregate("s", start, step)["out"]))
 
 

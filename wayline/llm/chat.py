@@ -1,26 +1,30 @@
 """Chat formatting by minimum-cost role repair.
 
 A legal chat is an optional system turn, then user and assistant turns in
-alternation from a user turn on. Each turn is kept, given another role, or
-merged into the turn before it; an empty turn may be put in before it. Dynamic
-programming over the automaton's states finds the cheapest way.
-
-Turns are dealt by conversation and by ranges of turn numbers, so one huge
-conversation is many groups. Each group gives its least costs between all pairs
-of states; these small matrices are combined from the end of a conversation to
-its beginning, then every group repairs and renders its own turns, knowing the
-states that it begins and ends in. The result has a row per turn, and the
-rendered pieces in order are the chat.
-
-Turns of equal number come by role, then text. A null or unknown role can only
-be relabelled; a null text is empty; null turns come first, and rows of a null
-conversation are one conversation. Other columns are ignored; an empty table
-gives an empty result.
+alternation from a user turn on; a system turn alone is legal too. Each turn is
+kept, given another role, or merged into the turn before it; an empty turn may
+be put in before it. Dynamic programming over the automaton's states finds the
+cheapest way.
+
+Turns are sorted by ranges and written once to the shared folder, numbered, and
+cut into chunks of so many rows, whatever their turn numbers: one huge
+conversation is many chunks, and many small ones share one. The turns that a
+conversation has in a chunk give the least costs between all pairs of states;
+these small matrices are combined from the end of a conversation to its
+beginning, then every chunk repairs and renders its own turns, knowing the
+states that each conversation begins and ends in. The result has a row per
+turn, and the rendered pieces in order are the chat.
+
+Turns of equal number come by role, then a hash of the text, then the text. A
+null or unknown role can only be relabelled; a null text is empty; null turns
+come first, and rows of a null conversation are one conversation. Other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.llm.common import per_task, shared_dir
+
+#: Rows of a chunk; a power of two.
 CHUNK = 1024
 SYSTEM, USER, ASSISTANT = "system", "user", "assistant"
 ROLES = (SYSTEM, USER, ASSISTANT)
@@ -119,35 +126,44 @@ def per_group(keys: list[str], f: Callable[[pa.Table], dict[str, list]], schema:
     return run
 
 
-def repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``conv_id``, ``turn``, ``role``, ``new_role``, ``action`` (keep, relabel, merge, relabel+merge), ``inserted`` and ``rendered`` of each turn."""
-    turns = conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 62))).cast("bigint").alias("chunk"),
-    )
-    ints = pa.list_(pa.int64())
-
-    def measured(group: pa.Table) -> dict[str, list]:
-        total = functools.reduce(combined, map(costs, group.column("role").to_pylist()))
-        return {"conv_id": group.column("conv_id").to_pylist()[:1], "chunk": group.column("chunk").to_pylist()[:1], "costs": [total.ravel().tolist()]}
-
-    def joined(group: pa.Table) -> dict[str, list]:
-        matrices = [np.array(x).reshape(STATES, STATES) for x in group.column("costs").to_pylist()]
-        rests = [np.zeros(STATES, np.int64)]
-        for m in reversed(matrices[1:]):
-            rests.append((m + rests[-1]).min(1))
-        states = [START]
-        for m, rest in zip(matrices, reversed(rests), strict=True):
-            states.append(int(np.argmin(m[states[-1]] + rest)))
-        n = len(matrices)
-        return {"conv_id": group.column("conv_id").to_pylist(), "chunk": group.column("chunk").to_pylist(), "entry": states[:-1], "leave": states[1:], "is_last": [False] * (n - 1) + [True]}
-
-    def rendered(group: pa.Table) -> dict[str, list]:
-        roles, texts = group.column("role").to_pylist(), group.column("text").to_pylist()
-        state = group.column("entry")[0].as_py()
-        ways = repair(roles, state, group.column("leave")[0].as_py())
-        out: dict[str, list] = {"new_role": [], "action": [], "inserted": [], "rendered": []}
-        for role, text, (r, how, empty) in zip(roles, texts, ways, strict=True):
+def runs(group: pa.Table) -> Iterator[tuple[int, int]]:
+    """The rows, from and up to, of each conversation in a chunk."""
+    own = group.column("conv_id").to_pylist()
+    cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def measured(group: pa.Table) -> dict[str, list]:
+    """The least costs of each conversation's turns in a chunk, and the number of the first of them."""
+    roles, places, own = (group.column(c).to_pylist() for c in ("role", "id", "conv_id"))
+    out: dict[str, list] = {"conv_id": [], "first_id": [], "costs": []}
+    for a, b in runs(group):
+        out["conv_id"].append(own[a])
+        out["first_id"].append(places[a])
+        out["costs"].append(functools.reduce(combined, map(costs, roles[a:b])).ravel().tolist())
+    return out
+
+
+def joined(group: pa.Table) -> dict[str, list]:
+    """The states that each part of a conversation begins and ends in."""
+    matrices = [np.array(x).reshape(STATES, STATES) for x in group.column("costs").to_pylist()]
+    rests = [np.zeros(STATES, np.int64)]
+    for m in reversed(matrices[1:]):
+        rests.append((m + rests[-1]).min(1))
+    states = [START]
+    for m, rest in zip(matrices, reversed(rests), strict=True):
+        states.append(int(np.argmin(m[states[-1]] + rest)))
+    return {"first_id": group.column("first_id").to_pylist(), "entry": states[:-1], "leave": states[1:], "is_last": [False] * (len(matrices) - 1) + [True]}
+
+
+def rendered(group: pa.Table) -> dict[str, list]:
+    """The repaired turns of a chunk. parts: of each of its conversations in order first_id, entry, leave, is_last."""
+    roles, texts = group.column("role").to_pylist(), group.column("text").to_pylist()
+    out: dict[str, list] = {"new_role": [], "action": [], "inserted": [], "rendered": []}
+    for (a, b), part in zip(runs(group), group.column("parts")[0].as_py(), strict=True):
+        state = part["entry"]
+        ways = repair(roles[a:b], state, part["leave"])
+        for role, text, (r, how, empty) in zip(roles[a:b], texts[a:b], ways, strict=True):
             new = ROLES[r - 1]
             if how == "merge":
                 piece = f"\n{text}"
@@ -159,18 +175,30 @@ def repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
             for n, v in zip(out, (new, action, ",".join(ROLES[e - 1] for e in empty), piece), strict=True):
                 out[n].append(v)
             state = r
-        if group.column("is_last")[0].as_py():
+        if part["is_last"]:
             out["rendered"][-1] += CLOSE
-        return {n: group.column(n).to_pylist() for n in ("conv_id", "turn", "role")} | out
-
-    key = ["conv_id", "chunk"]
-    small = turns.select("conv_id", "chunk", "turn", "role", F.xxhash64("text").alias("t")).repartition(*key).sortWithinPartitions(*key, "turn", "role", "t")
-    matrices = small.mapInArrow(per_group(key, measured, pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("costs", ints)])), "conv_id bigint, chunk bigint, costs array<bigint>")
-    plan = matrices.repartition("conv_id").sortWithinPartitions(*key)
-    plan_schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("entry", pa.int64()), ("leave", pa.int64()), ("is_last", pa.bool_())])
-    states = plan.mapInArrow(per_group(["conv_id"], joined, plan_schema), "conv_id bigint, chunk bigint, entry bigint, leave bigint, is_last boolean")
-    states = states.withColumnsRenamed({"conv_id": "_conv", "chunk": "_chunk"})
-    both = turns.join(states, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("chunk") == F.col("_chunk"))).drop("_conv", "_chunk")
-    both = both.repartition(*key).sortWithinPartitions(*key, "turn", "role", F.xxhash64("text"), "text")
-    result = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), *((n, pa.string()) for n in ("role", "new_role", "action", "inserted", "rendered"))])
-    return both.mapInArrow(per_group(key, rendered, result), "conv_id bigint, turn bigint, role string, new_role string, action string, inserted string, rendered string")
+    return {n: group.column(n).to_pylist() for n in ("conv_id", "turn", "role")} | out
+
+
+def repaired(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``conv_id``, ``turn``, ``role``, ``new_role``, ``action`` (keep, relabel, merge, relabel+merge), ``inserted`` and ``rendered`` of each turn."""
+    spark = conversations.sparkSession
+    turns = conversations.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")
+    )
+    order = ["conv_id", "turn", "role", "hash", "text"]
+    at = f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}"
+    ranged = turns.withColumn("hash", F.xxhash64("text")).repartitionByRange("conv_id", "turn", "role", "hash").sortWithinPartitions(*order)
+    ranged.drop("hash").withColumn("id", F.monotonically_increasing_id()).write.parquet(at)
+    placed = spark.read.parquet(at).withColumn("chunk", F.shiftright("id", chunk.bit_length() - 1))
+
+    small = placed.select("conv_id", "role", "id", "chunk").repartition("chunk").sortWithinPartitions("id")
+    schema = pa.schema([("conv_id", pa.int64()), ("first_id", pa.int64()), ("costs", pa.list_(pa.int64()))])
+    matrices = small.mapInArrow(per_task(per_group(["chunk"], measured, schema)), "conv_id bigint, first_id bigint, costs array<bigint>")
+    plan = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "first_id")
+    schema = pa.schema([("first_id", pa.int64()), ("entry", pa.int64()), ("leave", pa.int64()), ("is_last", pa.bool_())])
+    states = plan.mapInArrow(per_task(per_group(["conv_id"], joined, schema)), "first_id bigint, entry bigint, leave bigint, is_last boolean")
+    parts = states.groupBy(F.shiftright("first_id", chunk.bit_length() - 1).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("first_id", "entry", "leave", "is_last"))).alias("parts"))  # a chunk's
+    both = placed.join(parts, "chunk").sortWithinPartitions("chunk", "id")
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), *((n, pa.string()) for n in ("role", "new_role", "action", "inserted", "rendered"))])
+    return both.mapInArrow(per_task(per_group(["chunk"], rendered, schema)), "conv_id bigint, turn bigint, role string, new_role string, action string, inserted string, rendered string")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -14,6 +19,38 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+T = TypeVar("T")
+_resident: dict[Hashable, object] = {}
+
+
+def resident(key: Hashable, build: Callable[[], T]) -> T:
+    """What ``build`` makes, kept for this worker's next tasks. A reused worker holds one such thing: another key drops it."""
+    if key not in _resident:
+        _resident.clear()
+        give_back()
+        _resident[key] = build()
+        give_back()
+    return _resident[key]
+
+
+def give_back() -> None:
+    """Returns free memory to the system, so that what a reused worker once needed is not held by all later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def per_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of a task's batches; the memory it leaves free goes back at the end of the task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -28,11 +65,13 @@ def crc_mod(column: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; set only where the session names none."""
+    """The folder that the driver and all executors see. Where the session names none, a folder of this machine, if it is the only one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='wayline-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -46,6 +85,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows read from a table of their own in the shared folder, and its path.
+
+    Unlike a checkpoint it has a true size; the sizes that Spark guesses for joins of checkpoints multiply with every step of a loop.
+    """
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing depends on any more."""
+    context = spark.sparkContext
+    for path in map(context._jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of about ``most`` bytes of text; one row at least."""
     sizes = batch.column(column)

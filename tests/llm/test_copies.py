@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from wayline.llm import simhash, sketch
 from wayline.llm.components import components
@@ -89,20 +90,58 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert found == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 160), 100)}
 
 
+def shingles(spark, texts):
+    """The hashes of each text's distinct five-word runs, as Spark has them: of the words' own hashes."""
+    rows = []
+    for k, t in enumerate(texts):
+        w = re.sub(r"[ \t\n\x0B\f\r]+", " ", t.lower()).strip(" ").split(" ") if t.strip(" \t\n\x0B\f\r") else []
+        runs = [w[i : i + 5] for i in range(len(w) - 4)] or ([w] if w else [])
+        rows += [(k, r) for r in {tuple(r) for r in runs}]
+    df = spark.createDataFrame([(k, list(r)) for k, r in rows], "k int, w array<string>").withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    five = df.select("k", F.when(F.size("w") >= 5, F.xxhash64(*(F.get("h", F.lit(i)) for i in range(5)))).otherwise(F.xxhash64("h")).alias("h"))
+    found = [set() for _ in texts]
+    for r in five.collect():
+        found[r.k].add(r.h)
+    return found
+
+
 def test_sketches(spark, rows, tmp_path):
+    """Every value of the query against one worked out from all shingle hashes."""
     own = {r[0]: r for r in rows if r[0] is not None}
-    spark.createDataFrame([own[k] for k in own], "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, ids binary, row bigint, piece int, fingerprint string, spans string, sketch string, key string, rank int, item_id bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([own[k][:2] for k in own], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r for r in op3_scaled_sketch(spark, str(tmp_path)).collect()}
     ids = sorted(own, reverse=True)
-    prints = {}
+    plain = [own[d][1] or "" for d in ids]
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(plain, plain[1:] + plain[:1], strict=True)]
+    hashes = shingles(spark, plain + edited)
+    low = [{h for h in x if 0 <= h < 1 << 62} for x in hashes]
+
+    def alike(i, j):
+        if low[i] and low[j]:
+            return len(low[i] & low[j]) / min(len(low[i]), len(low[j]))
+        return float(not low[i] and not low[j] and min(hashes[i], default=None) == min(hashes[j], default=None))
+
+    def digits(i):
+        return "".join(f"{h:016x}" for h in sorted(low[i])) + (f"-{min(hashes[i]) & (1 << 64) - 1:016x}" if hashes[i] else "")
+
+    n = len(ids)
     for i, d in enumerate(ids):
-        a, b = own[d][1] or "", own[ids[(i + 1) % len(ids)]][1] or ""
-        edited = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
         r = found[d]
-        assert (r.n_chars, r.edited_sha256) == (len(a), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert prints.setdefault(a, r.fingerprint) == r.fingerprint
-    assert len(found) == len(ids)
+        assert (r.n_chars, r.edited_sha256) == (len(plain[i]), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (digits(i), digits(n + i))
+        assert abs(r.near_edited - alike(i, n + i)) < 1e-12 and abs(r.near_next - alike(i, (i + 1) % n)) < 1e-12
+    assert len(found) == n
+
+
+def test_order_of_repeated_and_null_ids(spark):
+    """A third of the rows have one id, a third none: each row's next is that of one sorted list."""
+    rng = np.random.default_rng(1)
+    rows = [(int(d), f"t{rng.integers(1 << 40)}") for d in (*range(300), *[77] * 300)] + [(None, f"t{rng.integers(1 << 40)}") for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = {r.text: r.o for r in df.select("text", F.shiftrightunsigned(F.xxhash64("text"), 33).alias("o")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, order[r[1]], r[1]), reverse=True)
+    found = {(r.doc_id, r.text): r.next_text for r in sketch.with_next(df.repartition(7), "text").collect()}
+    assert found == {w: want[(i + 1) % len(want)][1] for i, w in enumerate(want)}
 
 
 def test_sketches_with_nulls_repeats_and_nothing(docs, empty, rows):
@@ -110,10 +149,21 @@ def test_sketches_with_nulls_repeats_and_nothing(docs, empty, rows):
     assert sketch.edited_fingerprints(empty).count() == 0
 
 
+def test_merged_fingerprints_are_those_of_both_texts(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (3, 5, 6, 8, 40, 400)]
+    rows = [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    df = sketch.with_fingerprint(sketch.with_fingerprint(spark.createDataFrame(rows, "i int, j int, a string, b string"), "a", "x"), "b", "y")
+    one = shingles(spark, texts)
+    for r in df.select("i", "j", sketch.merged(F.col("x"), F.col("y")).alias("m")).collect():
+        both = one[r.i] | one[r.j]
+        assert set(r.m.sketch) == {h for h in both if 0 <= h < 1 << 62} and r.m.least == min(both)
+
+
 def test_containment_of_unequal_documents(spark):
     words = [f"w{i}" for i in range(4000)]
     rows = [(1, " ".join(words)), (2, " ".join(words[500:900])), (3, " ".join(f"z{i}" for i in range(400)))]
-    s = {r.doc_id: r.sketch for r in sketch.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    both = spark.createDataFrame([(s[1], s[2], s[3])], "a array<bigint>, b array<bigint>, c array<bigint>")
-    inside, apart = both.select(sketch.likeness(both.a, both.b), sketch.likeness(both.a, both.c)).first()
-    assert inside == 1 and apart == 0 and 800 < len(s[1]) < 1200
+    f = sketch.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "fingerprint")
+    a, b = f.select(F.col("doc_id").alias("d"), F.col("fingerprint").alias("a")), f.withColumnRenamed("fingerprint", "b")
+    found = {r.doc_id: (r.near, r.n) for r in a.where("d = 1").crossJoin(b).select("doc_id", sketch.likeness(F.col("a"), F.col("b")).alias("near"), F.size("a.sketch").alias("n")).collect()}
+    assert found[2][0] == 1 and found[3][0] == 0 and 800 < found[1][1] < 1200

@@ -25,7 +25,7 @@ def op2_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sketch.edited_fingerprints(read(spark, sf_dir, "documents"))
-    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    own, edited, following = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_fingerprint")
     return found.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         sketch.written(own).alias("fingerprint"), sketch.written(edited).alias("edited_fingerprint"),
@@ -60,7 +60,7 @@ def op6_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.materialise(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", key=2024)
+    return shards.materialise(read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}", key=2024, stable=True)
 
 
 def op9_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

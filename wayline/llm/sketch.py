@@ -1,16 +1,22 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame functions only.
 
-A sketch keeps every distinct hash of five-word shingles that lies in the
-lowest quarter of all hash values. Sketches merge by union, and the share of
-the smaller sketch that the larger holds estimates containment, however unequal
-the documents are. A text of fewer than five words is one shingle; where no
-hash is low enough, the lowest is kept, so equal texts are always told from
-most others. Texts without words have the empty sketch.
-
-Nulls are empty texts. Rows with equal ids follow each other by text. A
-document is compared with the next lower id by dealing documents to ranges of
-ids once; a range also gets the first document of the next range. Other columns
-are ignored; an empty table gives an empty result.
+A sketch keeps every distinct hash of five-word shingles that lies in the lowest
+quarter of all hash values, and nothing else, so the sketch of two texts
+together is the union of theirs. The share of the smaller sketch that the larger
+holds estimates containment, however unequal the documents are. A text of fewer
+than five words is one shingle.
+
+Beside the sketch, a fingerprint has the text's least hash, which merges by
+minimum: it tells texts apart of which no hash is low enough. Two empty sketches
+are as alike as their least hashes are equal; an empty sketch and another are
+not alike. Texts without words have neither, and are alike.
+
+Nulls are empty texts. Ids are whole numbers. Rows of equal ids follow each
+other by a hash of the text, then by text; rows without an id come last,
+likewise. A document is compared with the next in descending order by dealing
+documents once to ranges of (id, hash); a range also gets the first document of
+the next range, and an id with many rows is many ranges. Other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,32 +36,33 @@ LOW_BITS = 2
 RANGE_ROWS, QUANTILES, MOST_RANGES = 20_000, 256, 100_000
 
 
-def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the sorted sketch of a text column."""
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the fingerprint of a text column: its sorted ``sketch``, and its ``least`` hash."""
     words = F.array_remove(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), "")
     hashed = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
     w, n = F.col("_w"), F.size("_w")
     shingles = F.when(n >= WORDS, F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*(w[i + k] for k in range(WORDS))))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
     hashed = hashed.withColumn("_s", shingles)
     low = F.filter("_s", lambda h: F.shiftrightunsigned(h, 64 - LOW_BITS) == 0)
-    hashed = hashed.withColumn("_l", F.sort_array(F.array_distinct(low)))
-    kept = F.when((F.size("_l") > 0) | (F.size("_s") == 0), F.col("_l")).otherwise(F.array(F.array_min("_s")))
-    return hashed.withColumn(name, kept).drop("_w", "_s", "_l")
+    return hashed.withColumn(name, F.struct(F.sort_array(F.array_distinct(low)).alias("sketch"), F.array_min("_s").alias("least"))).drop("_w", "_s")
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of two texts together, but for shingles across the seam."""
-    return F.sort_array(F.array_union(a, b))
+    """The fingerprint of two texts together, but for shingles across the seam."""
+    return F.struct(F.sort_array(F.array_union(a["sketch"], b["sketch"])).alias("sketch"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller document's shingles that the larger holds; two empty ones are alike."""
-    smaller = F.least(F.size(a), F.size(b))
-    return F.when(smaller > 0, F.size(F.array_intersect(a, b)) / smaller).otherwise((F.size(a) == F.size(b)).cast("double"))
+    """Estimated share of the smaller document's shingles that the larger holds."""
+    n, m = F.size(a["sketch"]), F.size(b["sketch"])
+    shared = F.size(F.array_intersect(a["sketch"], b["sketch"])) / F.least(n, m)
+    return F.when(F.least(n, m) > 0, shared).otherwise(((n == m) & a["least"].eqNullSafe(b["least"])).cast("double"))
 
 
-def written(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def written(fingerprint: Column) -> Column:
+    """The sketch's hashes in hexadecimal, a stroke, and the least hash; equal for equal texts, and empty without words."""
+    digits = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    return F.coalesce(F.concat(F.array_join(F.transform(fingerprint["sketch"], digits), ""), F.lit("-"), digits(fingerprint["least"])), F.lit(""))
 
 
 def range_of(bounds: list[int], at: Column, splits: int) -> Column:
@@ -73,36 +80,52 @@ def range_of(bounds: list[int], at: Column, splits: int) -> Column:
 
 
 def with_next(docs: DataFrame, *columns: str) -> DataFrame:
-    """Adds ``next_<column>`` of the next lower ``doc_id`` (after the lowest: of the highest), in one shuffle."""
+    """Adds ``next_<column>`` of the next lower (``doc_id``, hash of text), after the lowest of the highest, in one shuffle.
+
+    Ranges are named (range, part): a range of ids, and a part by hash of an id that many quantiles fall on, or of no id.
+    """
     spark = docs.sparkSession
-    rows = docs.count()
+    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANGE_ROWS)))
-    parts = min(n, QUANTILES)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(parts + 1)], 10_000).alias("q")).first()["q"] or []
-    bounds = sorted(set(cuts))
-    own = range_of(bounds, F.col("doc_id"), math.ceil(n / parts))
-    first = sorted(tuple(r) for r in docs.groupBy(own.alias("range")).agg(F.max("doc_id")).where("max(doc_id) is not null").collect())
-    guests = [(head, after) for (_, head), (after, _) in zip(first, first[1:] + first[:1], strict=True)]
-    guest_of = spark.createDataFrame(guests, "doc_id bigint, guest bigint")  # at most MOST_RANGES rows
-    dealt = docs.join(F.broadcast(guest_of), "doc_id", "left").withColumn("range", own)
-    places = F.when(F.col("guest").isNull(), F.array(F.struct("range", F.lit(False).alias("is_guest")))).otherwise(
-        F.array(F.struct("range", F.lit(False).alias("is_guest")), F.struct(F.col("guest").alias("range"), F.lit(True).alias("is_guest")))
-    )
-    dealt = dealt.withColumn("place", F.explode(places)).select(*docs.columns, "place.range", "place.is_guest")
-    order = Window.partitionBy("range").orderBy("is_guest", F.col("doc_id").desc(), F.col("text").desc())
-    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("not is_guest").drop("range", "is_guest")
+    quantiles = min(n, QUANTILES)
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / quantiles for i in range(quantiles + 1)], 10_000).alias("q")).first()["q"] or []
+    bounds, splits = sorted(set(cuts)), math.ceil(n / quantiles)
+    heavy = {x: cuts.count(x) * splits for x in bounds if cuts.count(x) > 1}  # at most QUANTILES ids
+    if nulls:
+        heavy[None] = max(1, math.ceil(n * nulls / rows))
+    own_id, place = F.col("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 33)  # 31 bits
+    parts = F.lit(1)
+    for x, k in heavy.items():
+        parts = F.when(own_id.isNull() if x is None else own_id == x, k).otherwise(parts)
+    # an id of many rows is the lowest of its range, as it is a quantile: it has a range of its own, of odd number
+    alone = own_id.isNull() | own_id.isin(*[x for x in heavy if x is not None])
+    ranges = F.when(own_id.isNull(), F.lit(-1)).otherwise(2 * range_of(bounds, own_id, splits) + alone.cast("int")).cast("bigint")
+    placed = docs.withColumn("_order", place).withColumn("range", ranges).withColumn("part", F.floor(F.col("_order") * parts / F.lit(float(1 << 31))).cast("bigint"))
+    first = placed.groupBy("range", "part").agg(F.max("doc_id").alias("id"), F.max("_order").alias("order")).collect()  # at most MOST_RANGES, and one more for each heavy id's
+    first.sort(key=lambda r: (r["id"] is not None, r["id"] or 0, r["order"]))
+    guests = [(*r, after["range"], after["part"]) for r, after in zip(first, first[1:] + first[:1], strict=True)]
+    guest_of = F.broadcast(spark.createDataFrame(guests, "range bigint, part bigint, g_id bigint, g_order bigint, g_range bigint, g_part bigint"))
+    dealt = placed.join(guest_of, ["range", "part"])
+    is_head = own_id.eqNullSafe(F.col("g_id")) & ((F.col("range") % 2 == 0) | (F.col("_order") == F.col("g_order")))
+    home = F.struct("range", "part", F.lit(False).alias("is_guest"))
+    away = F.struct(F.col("g_range").alias("range"), F.col("g_part").alias("part"), F.lit(True).alias("is_guest"))
+    places = F.when(is_head, F.array(home, away)).otherwise(F.array(home))
+    dealt = dealt.withColumn("place", F.explode(places)).select(*docs.columns, "_order", "place.range", "place.part", "place.is_guest")
+    order = Window.partitionBy("range", "part").orderBy("is_guest", F.col("doc_id").desc(), F.col("_order").desc(), F.col("text").desc())
+    return dealt.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("not is_guest").drop("range", "part", "is_guest", "_order")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` and ``sketch`` of every whole text."""
-    return with_sketch(texts(docs), "text", "sketch")
+    """``doc_id``, ``text`` and ``fingerprint`` of every whole text."""
+    return with_fingerprint(texts(docs), "text", "fingerprint")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Every document with its next one and its edited text: its last half replaced by the next one's beginning."""
-    paired = with_next(fingerprints(docs), "text", "sketch")
+    paired = with_next(fingerprints(docs), "text", "fingerprint")
     n = F.length("text").cast("bigint")
     half = F.floor(n / 2)
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
-    paired = paired.select("doc_id", n.alias("n_chars"), "sketch", edited.alias("edited"), F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
-    return with_sketch(paired, "edited", "edited_sketch")
+    none = F.struct(F.array().cast("array<bigint>").alias("sketch"), F.lit(None).cast("bigint").alias("least"))
+    paired = paired.select("doc_id", n.alias("n_chars"), "fingerprint", edited.alias("edited"), F.coalesce("next_fingerprint", none).alias("next_fingerprint"))
+    return with_fingerprint(paired, "edited", "edited_fingerprint")

@@ -3,8 +3,11 @@
 from itertools import product
 
 import numpy as np
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from wayline.llm import chat, shards
+from wayline.llm import bpe, chat, shards
 
 
 def test_slots_are_a_permutation():
@@ -16,7 +19,8 @@ def test_shards_hold_every_sequence(docs, rows, empty, tmp_path):
     folder = f"file://{tmp_path}/out"
     placed = shards.materialise(docs, folder, key=3, length=128, shard_rows=200).collect()
     assert sorted(r.slot for r in placed) == list(range(len(placed)))
-    read = list(shards.read_slots(folder, 0, len(placed), 128, 200))
+    assert not shards.missing(folder) and shards.read_manifest(folder)["total"] == len(placed)
+    read = list(shards.read_slots(folder))
     texts = {}
     for r in placed:
         assert len(read[r.slot]) == r.n_tokens and (r.shard, r.offset) == (r.slot // 200, r.slot % 200 * 128)
@@ -25,9 +29,31 @@ def test_shards_hold_every_sequence(docs, rows, empty, tmp_path):
     for d, t, *_ in rows:
         if d is not None:
             assert b"".join(texts[d][k] for k in sorted(texts[d])).decode() == (t or "")
-    resumed = list(shards.read_slots(folder, 300, 310, 128, 200))
+    resumed = list(shards.read_slots(folder, 300, 310))
     assert [x.tolist() for x in resumed] == [x.tolist() for x in read[300:310]]
-    assert shards.materialise(empty, f"{folder}-none", key=3).count() == 0
+    (tmp_path / "out" / "shard-00000001.bin").unlink()
+    assert shards.missing(folder) == [1] and not any(p.name.startswith(".") and not p.name.endswith(".crc") for p in (tmp_path / "out").iterdir())
+    assert shards.materialise(empty, f"{folder}-none", key=3).count() == 0 and not shards.missing(f"{folder}-none")
+
+
+def test_shards_of_a_tokenizer(docs, pairs, tmp_path):
+    """The ids of op2, two bytes each, in training order."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(docs.where("doc_id is not null"), path)
+    short = F.expr("transform(sequence(0, length(ids) div 4 - 1), i -> substring(ids, i * 4 + 1, 2))")
+    two = encoded.withColumn("ids", F.when(F.col("n_tokens") > 0, F.array_join(F.transform(short, F.hex), "")).otherwise("")).withColumn("ids", F.unhex("ids"))
+    form = shards.Ids(2, 0, 65535, 65534)
+    placed = shards.materialise(two, f"file://{tmp_path}/ids", key=5, length=64, shard_rows=50, ids="ids", form=form).collect()
+    read = list(shards.read_slots(f"file://{tmp_path}/ids"))
+    own = {}
+    for r in placed:
+        assert r.offset == r.slot % 50 * 128 and len(read[r.slot]) == r.n_tokens
+        own.setdefault(r.doc_id, {})[r.seq] = read[r.slot]
+    tok = Tokenizer.from_file(path)
+    for d, t in pairs:
+        if d is not None:
+            ids = np.concatenate([own[d][k] for k in sorted(own[d])])
+            assert ids[-1] == 65534 and ids[:-1].tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 def least_cost(roles):

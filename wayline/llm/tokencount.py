@@ -9,6 +9,12 @@ It is compiled lazily, a transition when it is first met, and all words step
 through it together. A state holds what later tokens may depend on: for each
 suffix of the word that could begin a token, the last token before that suffix.
 
+A long word is cut into chunks that step together too. A chunk's map takes entry
+states to exit states and counts; as there is no end of states, it holds those
+entries that are likely, the state that the symbols just before it lead to from
+the beginning, and those that a neighbour's exits turn out to need. The maps are
+composed by prefix scan, until no entry on the way is unknown.
+
 Nulls are empty texts with no tokens. Special strings inside texts count as one
 token, as they do in the library. Repeated rows stay repeated; other columns
 are ignored; an empty table gives an empty result.
@@ -28,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.llm.bpe import byte_alphabet
-from wayline.llm.common import slices, texts
+from wayline.llm.common import per_task, resident, slices, texts
 
 CHUNK = 512
 #: The compiled transducer is dropped and begun anew beyond so many states.
 MOST_STATES = 150_000
+#: Symbols of a chunk of a long word, and symbols before it that its likely entry state is guessed from.
+PART, BEFORE_PART = 256, 48
 #: Fixed value: the word pattern of the tokenizer file. A tokenizer with another one is refused.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -117,10 +125,15 @@ def word_starts(kinds: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return starts
 
 
+class Full(Exception):
+    """The transducer has as many states as it may."""
+
+
 class TokenTransducer:
     """The BPE of a tokenizer file; symbols are bytes, and 256 + byte for a word's last byte."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_states: int = MOST_STATES):
+        self.most_states = most_states
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         end, alphabet = model["end_of_word_suffix"], byte_alphabet()
@@ -187,26 +200,74 @@ class TokenTransducer:
                 self.adds = np.pad(self.adds, ((0, 0), (0, 32)))
                 self.width += 32
         key, adds = self.follow(self.states[state], symbol)
+        self.step[state, column], self.adds[state, column] = self.enter(key), adds
+
+    def enter(self, key: tuple) -> int:
+        """The number of a state."""
         if key not in self.number:
+            if len(self.states) >= self.most_states:
+                raise Full
             self.number[key] = len(self.states)
             self.states.append(key)
             if len(self.states) > len(self.step):
                 more = len(self.step) // 2
                 self.step = np.pad(self.step, ((0, more), (0, 0)), constant_values=-1)
                 self.adds = np.pad(self.adds, ((0, more), (0, 0)))
-        self.step[state, column], self.adds[state, column] = self.number[key], adds
+        return self.number[key]
 
     def counts(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Tokens of each word symbols[start:start + size]."""
-        if len(self.states) > MOST_STATES:
+        try:
+            return self.counts_at_once(symbols, starts, sizes)
+        except Full:
             self.clear()
+        if len(sizes) > 1:
+            half = len(sizes) // 2
+            return np.concatenate((self.counts(symbols, starts[:half], sizes[:half]), self.counts(symbols, starts[half:], sizes[half:])))
+        return np.array([self.count_in_turn(symbols[starts[0] : starts[0] + sizes[0]])])
+
+    def count_in_turn(self, word: np.ndarray) -> int:
+        """The same of one word with more states than there may be: they are dropped on the way."""
+        key, total = self.states[0], 0
+        for symbol in word.tolist():
+            key, adds = self.follow(key, symbol)
+            total += adds
+        return total
+
+    def counts_at_once(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        n_parts = np.maximum(1, -(-sizes // PART))
+        word = np.repeat(np.arange(len(sizes)), n_parts)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+        first, size = starts[word] + place * PART, np.minimum(PART, sizes[word] - place * PART)
+        entry = np.zeros((len(word), 1), np.int64)  # the entry states of each chunk's map; a word's first chunk has state 0
+        later = np.flatnonzero(place > 0)
+        if len(later):
+            entry[later, 0], _ = self.walk(symbols, first[later] - BEFORE_PART, np.full(len(later), BEFORE_PART), np.zeros(len(later), np.int64))
+        leave, count = (x[:, None] for x in self.walk(symbols, first, size, entry[:, 0]))
+        while len(later):
+            state = composed(entry, leave, place, later)  # where each chunk ends on the word's way, or -1
+            ends = state[later - 1]
+            lost = later[(ends >= 0) & ~(entry[later] == ends[:, None]).any(1)]
+            if not len(lost):
+                break
+            more, tokens = self.walk(symbols, first[lost], size[lost], state[lost - 1])
+            entry, leave, count = (np.pad(x, ((0, 0), (0, 1)), constant_values=-1) for x in (entry, leave, count))
+            entry[lost, -1], leave[lost, -1], count[lost, -1] = state[lost - 1], more, tokens
+        own = np.zeros(len(word), np.int64)
+        if len(later):
+            own[later] = state[later - 1]
+        slot = (entry == own[:, None]).argmax(1)
+        return np.bincount(word, weights=count[np.arange(len(word)), slot], minlength=len(sizes)).astype(np.int64)
+
+    def walk(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each run of symbols from its entry state, and the tokens that it adds."""
         order = np.argsort(sizes, kind="stable")[::-1]
         first, longest = starts[order], sizes[order]
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        state, total = entry[order].astype(np.int32), np.zeros(len(order), np.int32)
         active, at = len(order), 0
         while True:
             active = int(np.searchsorted(-longest[:active], -at, side="left"))  # those with more than at symbols
-            if active <= 4:
+            if not active:
                 break
             read = symbols[first[:active] + at]
             now = state[:active]
@@ -222,19 +283,28 @@ class TokenTransducer:
             total[:active] += self.adds.ravel()[place]
             state[:active] = found
             at += 1
-        for i in range(active):  # the few longest words
-            now, n = int(state[i]), int(total[i])
-            for symbol in symbols[first[i] + at : first[i] + longest[i]].tolist():
-                column = self.column[symbol]
-                if column < 0 or self.step[now, column] < 0:
-                    self.fill(now, symbol)
-                    column = self.column[symbol]
-                n += int(self.adds[now, column])
-                now = int(self.step[now, column])
-            total[i] = n
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        states, tokens = np.empty_like(state), np.empty_like(total)
+        states[order], tokens[order] = state, total
+        return states, tokens
+
+
+def composed(entry: np.ndarray, leave: np.ndarray, place: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """The state that each chunk ends in, from its word's first state on, by a prefix scan over the chunks' maps; -1: not known.
+
+    A row of entry and leave is a chunk's map; places count the chunks of a word.
+    """
+    n, k = entry.shape
+    own, out = entry.copy(), leave.copy()  # row i: the map of chunks i - reach + 1 to i of its word
+    reach = 1
+    while reach <= place.max():
+        rows = later[place[later] >= reach]
+        before = rows - reach
+        middle = out[before]  # of each entry of the earlier map its exit, looked up in the later one
+        hit = (middle[:, :, None] == own[rows][:, None, :]) & (middle >= 0)[:, :, None]
+        after = np.where(hit.any(2), np.take_along_axis(out[rows], hit.argmax(2), axis=1), -1)
+        own[rows], out[rows] = own[before], after
+        reach *= 2
+    return np.where(own == 0, out, -1).max(1, initial=-1) if k > 1 else np.where(own[:, 0] == 0, out[:, 0], -1)
 
 
 class TokenCounter:
@@ -290,9 +360,8 @@ class TokenCounter:
         return special + np.bincount(text_of, weights=tokens, minlength=len(block)).astype(np.int64)
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return resident(("counter", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
@@ -307,4 +376,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 n = own.count(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return base.withColumn("n_bytes", F.octet_length("text").cast("bigint")).mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    return base.withColumn("n_bytes", F.octet_length("text").cast("bigint")).mapInArrow(per_task(count), f"doc_id {kind}, n_bytes bigint, n_tokens bigint")

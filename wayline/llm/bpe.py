@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from wayline.llm.common import slices, texts
+from wayline.llm.common import per_task, resident, slices, texts
 
 LEAF_CHARS = 2048
 PIECE_CHARS = 1 << 16
@@ -46,20 +46,32 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes of every token of a tokenizer file."""
+    alphabet = byte_alphabet()
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    plain = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
+    return plain | {i: t.encode() for t, i in special.items()}
+
+
+def is_space(c: str) -> bool:
+    """White space as the pre-tokenizer has it; Python adds four control characters."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
 class TreeEncoder:
     def __init__(self, path: str, leaf_chars: int = LEAF_CHARS):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        alphabet = byte_alphabet()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: bytes(alphabet[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.tokens |= {i: t.encode() for t, i in self.special.items()}
+        tokens = token_bytes(spec)
+        self.chars = np.zeros(max(tokens) + 1, np.int64)  # characters that begin in each token
+        self.opens = np.zeros(max(tokens) + 1, bool)  # whether it begins with one
+        for i, t in tokens.items():
+            self.chars[i], self.opens[i] = sum(b & 0xC0 != 0x80 for b in t), t[0] & 0xC0 != 0x80
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         vocab = spec["model"]["vocab"]
@@ -68,9 +80,19 @@ class TreeEncoder:
         self.leaf_chars = leaf_chars
         self.ranks = None
         if ordered:
-            ranks = {t: i for i, t in self.tokens.items() if i not in self.special.values()}
+            ranks = {t: i for i, t in tokens.items() if i not in self.special.values()}
             self.ranks = tiktoken.Encoding("leaves", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def library(self):
+        """For texts outside the plain scripts; most workers never need it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_padding()
+        found.no_truncation()
+        return found
+
     def leaf(self, text: str) -> list[int]:
         if self.ranks is not None and PLAIN.fullmatch(text):
             return self.ranks.encode_ordinary(text)
@@ -86,7 +108,7 @@ class TreeEncoder:
     def tree(self, text: str) -> np.ndarray:
         if len(text) <= self.leaf_chars:
             return np.array(self.leaf(text), dtype="<u4")
-        cut = self.safe_cut(text, len(text) // 2)
+        cut = self.safe_cut(text, max(1, len(text) // 2 // self.leaf_chars) * self.leaf_chars)  # whole leaves: repeated letters stay in step
         if cut is None:
             return np.array(self.leaf(text), dtype="<u4")
         return self.join(text, cut, self.tree(text[:cut]), self.tree(text[cut:]))
@@ -107,43 +129,51 @@ class TreeEncoder:
         """Ids of text from the ids of text[:cut] and text[cut:]."""
         k = FIRST_WINDOW
         while True:
-            n, start = self.back(text, cut, left, min(k, len(left)))
-            m, end = self.ahead(text, cut, right, min(k, len(right)))
+            n, start = self.back(text, cut, left, k)
+            m, end = self.ahead(text, cut, right, k)
             window = np.array(self.leaf(text[start:end]), dtype="<u4")
             left_agrees = n == len(left) or (len(window) and window[0] == left[-n])
             right_agrees = m == len(right) or (len(window) and window[-1] == right[m - 1])
             if left_agrees and right_agrees:
                 return np.concatenate((left[: len(left) - n], window, right[m:]))
-            k *= 2
+            k *= 4
 
     def back(self, text: str, cut: int, ids: np.ndarray, n: int) -> tuple[int, int]:
         """At least n of the last tokens, and the place in text where they start, at a safe character boundary."""
+        start = cut - int(self.chars[ids[len(ids) - n :]].sum()) if n < len(ids) else 0
         while n < len(ids):
-            tail = b"".join(map(self.tokens.__getitem__, ids[-n:].tolist()))
-            if tail[0] & 0xC0 != 0x80:
-                start = cut - len(tail.decode())
-                if self.safe(text, start):
-                    return n, start
+            if self.opens[ids[-n]] and self.safe(text, start):
+                return n, start
             n += 1
+            start -= int(self.chars[ids[-n]])
         return len(ids), 0
 
     def ahead(self, text: str, cut: int, ids: np.ndarray, n: int) -> tuple[int, int]:
-        """The same to the right; not after white space, whose last character may belong to the next word."""
+        """The same to the right; not where white space ends, as its last character may belong to the next word."""
+        end = cut + int(self.chars[ids[:n]].sum())
         while n < len(ids):
-            if self.tokens[int(ids[n])][0] & 0xC0 != 0x80:
-                end = cut + len(b"".join(map(self.tokens.__getitem__, ids[:n].tolist())).decode())
-                if not text[end - 1].isspace() and self.safe(text, end):
-                    return n, end
+            if self.opens[ids[n]] and not (is_space(text[end - 1]) and not is_space(text[end])) and self.safe(text, end):
+                return n, end
+            end += int(self.chars[ids[n]])
             n += 1
         return len(ids), len(text)
 
+
+class Decoder:
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            self.tokens = token_bytes(json.load(f))
+
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.tokens.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
-    return TreeEncoder(path, leaf_chars)
+    return resident(("encoder", path, leaf_chars), lambda: TreeEncoder(path, leaf_chars))
+
+
+def decoder(path: str) -> Decoder:
+    return resident(("decoder", path), lambda: Decoder(path))
 
 
 def encode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, piece_chars: int = PIECE_CHARS) -> DataFrame:
@@ -183,14 +213,14 @@ def encode(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, piece_chars
             ids = join_pieces(tree, cuts, [np.frombuffer(x, dtype="<u4") for x in pdf["ids"]])
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n_tokens": [len(ids)], "ids": [ids.tobytes()]})
 
-    short = base.where(F.length("text") <= piece_chars).mapInArrow(whole, schema)
+    short = base.where(F.length("text") <= piece_chars).mapInArrow(per_task(whole), schema)
     cut = base.where(F.length("text") > piece_chars).select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     n = F.ceil(F.length("text") / F.lit(piece_chars)).cast("int")
     part = cut.select(
         "doc_id", "row",
         F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * piece_chars + 1, F.lit(piece_chars)))).alias("piece", "text"),
     )
-    encoded = part.repartition(F.col("row"), F.col("piece")).mapInArrow(pieces, f"doc_id {kind}, row bigint, piece int, text string, ids binary")
+    encoded = part.repartition(F.col("row"), F.col("piece")).mapInArrow(per_task(pieces), f"doc_id {kind}, row bigint, piece int, text string, ids binary")
     return short.unionByName(encoded.groupBy("row").applyInPandas(joined, schema))
 
 
@@ -206,10 +236,10 @@ def join_pieces(tree: TreeEncoder, cuts: list[str], ids: list[np.ndarray]) -> np
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of ``encoded`` and ``decoded``, the text of its ``ids``; special tokens are kept."""
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = encoder(path)
+        own = decoder(path)
         for batch in batches:
             for part in slices(batch, "ids"):
-                found = [tree.decode(np.frombuffer(x or b"", dtype="<u4")) for x in part.column("ids").to_pylist()]
+                found = [own.decode(np.frombuffer(x or b"", dtype="<u4")) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(texts_of, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
+    return encoded.mapInArrow(per_task(texts_of), StructType([*encoded.schema.fields, StructField("decoded", StringType())]))

@@ -1,10 +1,12 @@
-"""Benchmark items that a large share of the rows hold, and items that the latent space does not."""
+"""Recall by kind of item: held by a large share of the rows, of common words, changed, or hardly in the latent space."""
 
 import random
+from collections import Counter
 
 import numpy as np
 
 from wayline.llm import decontaminate
+from wayline.llm.common import read
 
 WORDS = [f"w{i}" for i in range(2000)]
 
@@ -32,3 +34,34 @@ def test_a_weak_item_is_found_by_its_runs():
     assert set(latent.found(np.array([*filler, *items.words[0], *filler], np.int32))) == {7}
     assert set(latent.found(np.array([*filler, *items.words[1]], np.int32))) == {8}
     assert not latent.found(np.array([*filler, *items.words[0][:6]], np.int32))
+
+
+def test_recall_by_kind(spark):
+    """Items planted in real documents: verbatim and of common words, with a fifth or a third of the words replaced, with swapped halves."""
+    rng = random.Random(7)
+    docs = [(r.doc_id, r.text or "") for r in read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    seen = Counter(w for _, t in docs for w in set(decontaminate.WORD.findall(t.lower()))).most_common(3000)
+    usual, common = [w for w, _ in seen], [w for w, _ in seen[:40]]
+    items = []
+
+    def add(kind, n, source, change=lambda x: x):
+        words = [rng.choice(source) for _ in range(n)]
+        items.append((kind, " ".join(words), " ".join(change(words))))
+
+    replaced = lambda share: lambda x: [rng.choice(usual) if rng.random() < share else w for w in x]
+    for _ in range(20):
+        add("common", 20, common)
+        add("a fifth", rng.randint(18, 40), usual, replaced(0.2))
+        add("a third", rng.randint(18, 40), usual, replaced(0.35))
+        add("swapped", 24, usual, lambda x: x[12:] + x[:12])
+        add("verbatim", rng.randint(5, 60), usual)
+    hosts = [t.split() for _, t in docs if 60 < len(t.split()) < 800]
+    planted = []
+    for i, ((_, _, held), host) in enumerate(zip(items, rng.sample(hosts, len(items)), strict=True)):
+        at = rng.randint(0, len(host))
+        planted.append((100_000 + i, " ".join([*host[:at], held, *host[at:]])))
+    found = decontaminate.matches(spark.createDataFrame(docs + planted, "doc_id bigint, text string"), spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(items)], "item_id bigint, text string"))
+    pairs = {(r.doc_id, r.item_id) for r in found.collect()}
+    hit = Counter(k for i, (k, _, _) in enumerate(items) if (100_000 + i, i) in pairs)
+    assert all(hit[k] >= 18 for k in ("common", "a fifth", "a third", "swapped")) and hit["verbatim"] == 20, hit
+    assert len(pairs) <= sum(hit.values()) + 2

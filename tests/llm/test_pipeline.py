@@ -5,8 +5,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_copies import linked, simhash_of
-from wayline.llm import secrets
+from tests.llm.conftest import PASSAGE
+from wayline.llm import likeness, secrets
 from wayline.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -38,10 +38,41 @@ def test_quality_goes_by_the_score(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     before = sorted(stages[0][1], key=lambda r: r.doc_id)
-    label = linked([simhash_of(r.text or "") for r in before])
+    sets = [set(likeness.runs(r.text or "").tolist()) for r in before]
+    label = list(range(len(before)))
+
+    def alike(i, j):
+        return sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0
+
+    links = [(i, j) for j in range(len(before)) for i in range(j) if alike(i, j)]
+    for _ in before:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
     assert sorted(r.doc_id for r in stages[1][1]) == [before[i].doc_id for i in sorted(set(label))]
 
 
+def test_awkward_rows_go_through(spark, docs, rows, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names; and an empty table."""
+    now = docs.withColumn("_quality", docs["score"])
+    labels = tmp_path / "labels.parquet", spark.createDataFrame([(r[0], 1) for r in rows if r[0] is not None], "doc_id bigint, quality int")
+    items = tmp_path / "benchmark.parquet", spark.createDataFrame([(1, PASSAGE), (2, None), (3, "")], "item_id bigint, text string")
+    for at, df in (labels, items):
+        df.write.parquet(str(at))
+    sizes = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        assert k == 4 or out.columns == now.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        sizes.append(now.count())
+    # six copies, an upper-case one, one with a word more, the repeated row, and two of the three texts without words go
+    assert sizes[0] == len(rows) and sizes[1] == len(rows) - 11 and sizes[2] == sizes[1] - 1 and sizes[3] == sizes[4] == sizes[2]
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing_left = stage(spark, nothing, str(tmp_path))
+        assert nothing_left.count() == 0
+
+
 def test_benchmark_items_are_gone(spark, stages):
     items = [r.text for r in read(spark, SF, "benchmark").collect()]
     before, after = stages[1][1], stages[2][1]

@@ -4,8 +4,8 @@ Documents become word numbers over the benchmark's vocabulary, written once to
 the shared folder. Passages of fixed length give document frequencies and, in
 one more pass, the sketch of a randomised singular value decomposition of the
 TF-IDF matrix of all passages and of the benchmark's items, which weigh as much
-as all documents together; its axes span the latent space. Overlapping windows
-whose latent vector is near an item's are candidates, and for items that the
+as all documents together; its axes span the latent space. Overlapping windows,
+about as long as an item, whose latent vector is near the item's are candidates, and for items that the
 space hardly holds those that share a run of words. Their longest common
 subsequence with the item decides, and below a clear match the item's answer,
 its last third, must be there too.
@@ -28,18 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import shared_dir, slices, texts
+from wayline.llm.common import per_task, shared_dir, slices, texts
 
 #: Items of a group, and words of an item that retrieval looks at together.
 GROUP_ITEMS, ITEM_WORDS = 2000, 64
 PASSAGE, STRIDE = 48, 24
+#: Words of a block; windows that are compared with an item begin at each block and have as many as are about its length.
+BLOCK, NARROWEST, WIDEST, AT_ONCE = 12, 2, 5, 12 << 12
 AXES, SPARE = 64, 8
 #: Terms in more than this share of the passages carry no weight, unless an item would lose over half its words by it:
 #: an item that many rows hold keeps all, with this least weight.
 COMMON, FLOOR = 0.1, 0.1
 #: Items' parts of which the latent space holds less than this length are also looked up by runs of their words.
 WEAK, GRAM = 0.5, 5
-NEAR, CLEAR, LIKELY, ANSWER = 0.55, 0.8, 0.5, 0.6
+#: Least cosine of candidates; a share of the item in order that is enough, one that is with some of its answer, and one with nearly all of it.
+NEAR, CLEAR, LIKELY, ANSWER, HALF, SURE = 0.45, 0.8, 0.55, 0.4, 0.5, 0.9
 
 WORD = re.compile(r"\w+")
 
@@ -132,6 +135,12 @@ class LatentItems:
 
     def __post_init__(self) -> None:
         self.masks = [places(w) for w in self.items.words]
+        self.terms = np.vstack([self.terms, np.zeros((1, self.terms.shape[1]), np.float32)])  # a word that is in no item, of number -1, adds nothing
+        widths = [min(WIDEST, max(NARROWEST, round(len(w) / BLOCK))) for w in self.items.words]
+        self.scales = {}  # by blocks of a window: the parts of about that length, and their vectors
+        for width in sorted(set(widths)):
+            parts = [i for i, x in enumerate(widths) if x == width]
+            self.scales[width] = parts, np.ascontiguousarray(self.vectors[parts].T)
         self.answers = [w[-max(1, len(w) // 3) :] for w in self.items.words]
         self.answer_masks = [places(w) for w in self.answers]
         self.runs: dict[int, dict[int, list[int]]] = {}  # by length and hash, the weak parts
@@ -146,43 +155,49 @@ class LatentItems:
         out = []
         for n, keys in self.run_keys.items():
             hashes = run_hashes(ids, n)
-            out += [(at, part) for at in np.flatnonzero(np.isin(hashes, keys)).tolist() for part in self.runs[n][int(hashes[at])]]
+            hits = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
+            out += [(at, part) for at in hits.tolist() for part in self.runs[n][int(hashes[at])]]
         return out
 
+    def windows(self, ids: np.ndarray) -> np.ndarray:
+        """Sums of the words' vectors up to each block, from none on."""
+        blocks = [np.add.reduceat(self.terms[ids[i : i + AT_ONCE]], np.arange(0, len(ids[i : i + AT_ONCE]), BLOCK)) for i in range(0, len(ids), AT_ONCE)]
+        return np.vstack([np.zeros((1, self.terms.shape[1])), np.cumsum(np.vstack(blocks), axis=0, dtype=np.float64)])
+
     def found(self, ids: np.ndarray) -> dict[int, tuple[float, float, float, int]]:
         """Of each matching item: similarity, common share, answer's share, first word of the window."""
-        starts = np.arange(0, max(1, len(ids) - PASSAGE + STRIDE), STRIDE)
-        known = np.flatnonzero(ids >= 0)
-        if not len(known):
+        if not (ids >= 0).any():
             return {}
-        sums = np.cumsum(self.terms[ids[known]], axis=0, dtype=np.float64)
-        sums = np.vstack([np.zeros((1, sums.shape[1])), sums])
-        low, high = np.searchsorted(known, starts), np.searchsorted(known, starts + PASSAGE)
-        latent = (sums[high] - sums[low]).astype(np.float32)
-        latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+        sums = self.windows(ids)
+        exact: dict[int, set[int]] = {}
+        for at, part in self.shared_runs(ids):
+            exact.setdefault(part, set()).add(at // BLOCK)
         out: dict[int, tuple[float, float, float, int]] = {}
-        exact = {(min(at // STRIDE, len(starts) - 1), part) for at, part in self.shared_runs(ids)}
-        for k in range(0, len(starts), 1024):
-            near = latent[k : k + 1024] @ self.vectors.T
-            candidates = near >= NEAR
-            for row, part in exact:
-                if k <= row < k + 1024:
-                    candidates[row - k, part] = True
-            for row, part in zip(*np.nonzero(candidates), strict=True):
-                start = int(starts[k + row])
-                words = self.items.words[part]
-                around = max(STRIDE, len(words) // 2)
-                context = ids[max(0, start - around) : start + PASSAGE + around].tolist()
-                share = common_length(self.masks[part], len(words), context) / len(words)
-                if share < LIKELY:
-                    continue
-                answer = self.answers[part]
-                answered = common_length(self.answer_masks[part], len(answer), context) / len(answer)
-                if share >= CLEAR or answered >= ANSWER:
-                    item = self.items.item[part]
-                    out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (share, answered, float(near[row, part]), -start))
+        for width, (parts, vectors) in self.scales.items():
+            n = max(1, len(sums) - width)
+            named = {(min(row, n - 1), k) for k, part in enumerate(parts) for row in exact.get(part, ())}
+            for first in range(0, n, 1024):
+                rows = np.arange(first, min(n, first + 1024))
+                latent = (sums[np.minimum(rows + width, len(sums) - 1)] - sums[rows]).astype(np.float32)
+                near = latent @ vectors / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+                candidates = set(zip(*(x.tolist() for x in np.nonzero(near >= NEAR)), strict=True)) | {(row - first, k) for row, k in named if first <= row < first + 1024}
+                for row, k in sorted(candidates):
+                    self.check(ids, (first + row) * BLOCK, width * BLOCK, parts[k], float(near[row, k]), out)
         return {i: (near, share, answered, -start) for i, (share, answered, near, start) in out.items()}
 
+    def check(self, ids: np.ndarray, start: int, size: int, part: int, near: float, out: dict[int, tuple[float, float, float, int]]) -> None:
+        """Keeps the part's item in out if the words around the window hold enough of it, and of its answer."""
+        words, answer = self.items.words[part], self.answers[part]
+        around = max(STRIDE, len(words) // 2)
+        context = ids[max(0, start - around) : start + size + around].tolist()
+        share = common_length(self.masks[part], len(words), context) / len(words)
+        if share < HALF:
+            return
+        answered = common_length(self.answer_masks[part], len(answer), context) / len(answer)
+        if share >= CLEAR or answered >= (ANSWER if share >= LIKELY else SURE):
+            item = self.items.item[part]
+            out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (share, answered, near, -start))
+
 
 def read_ids(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
@@ -207,7 +222,7 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     at = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
-    base.mapInArrow(numbered, f"doc_id {kind}, ids binary").write.parquet(at)
+    base.mapInArrow(per_task(numbered), f"doc_id {kind}, ids binary").write.parquet(at)
     words = spark.read.parquet(at)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +234,7 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
                 passages += n
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, n_terms), pa.int64()), pa.array([passages, *total.tolist()], pa.int64())], names=["term", "n"])
 
-    counts = dict(words.select("ids").mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect())
+    counts = dict(words.select("ids").mapInArrow(per_task(counted), "term bigint, n bigint").groupBy("term").agg(F.sum("n")).collect())
     n_passages = counts.get(-1, 0)
     if not n_passages:
         return spark.createDataFrame([], schema)
@@ -243,7 +258,7 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
         flat = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), total.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(range(n_terms), pa.int64()), flat.cast(pa.list_(pa.float64()))], names=["term", "row"])
 
-    partial = words.select("ids").mapInArrow(sketched, "term bigint, row array<double>")
+    partial = words.select("ids").mapInArrow(per_task(sketched), "term bigint, row array<double>")
     rows_of = partial.groupBy("term").agg(*(F.sum(F.col("row")[j]).alias(f"c{j}") for j in range(AXES + SPARE))).collect()
     product = np.zeros_like(test)
     for r in rows_of:
@@ -278,7 +293,7 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
                 columns += [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "similarity", "common_share", "answer_share", "first_word"])
 
-    return words.mapInArrow(matched, schema)
+    return words.mapInArrow(per_task(matched), schema)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, seed: int = 7) -> DataFrame:

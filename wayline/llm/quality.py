@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from wayline.llm.common import slices, texts
+from wayline.llm.common import per_task, resident, slices, texts
 
 #: Labelled documents of either label that the vectors are made from.
 SAMPLE = 2048
@@ -49,16 +49,10 @@ def character_classes() -> np.ndarray:
     return every
 
 
-_classes: np.ndarray | None = None
-
-
 def term_counts(block: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, term, count) of a block, by text and term."""
-    global _classes
-    if _classes is None:
-        _classes = character_classes()
     points = np.frombuffer("\n".join([*block, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _classes[points]
+    kinds = resident("classes", character_classes)[points]
     solid = kinds != 0
     before = np.concatenate(([False], solid[:-1]))
     starts = np.flatnonzero(solid & ~before)
@@ -142,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     chosen = [r for y in (0, 1) for r in known.where(F.col("_label") == y).orderBy(order, "doc_id").limit(sample).collect()]
     spark = docs.sparkSession
     some = F.broadcast(spark.createDataFrame(chosen, known.schema))  # at most 2 x sample rows
-    found = texts(docs).join(some, "doc_id").select("_label", "text")
+    found = texts(docs).join(some, "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))  # of repeated ids the first text
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 columns = [pa.array([x.tolist() for x in np.split(v, cuts)], pa.list_(pa.int32())) for v in (term, n)]
                 yield pa.RecordBatch.from_arrays([part.column("_label"), *columns], names=["label", "terms", "counts"])
 
-    rows = found.mapInArrow(count, "label int, terms array<int>, counts array<int>").limit(4 * sample).collect()
+    rows = found.mapInArrow(per_task(count), "label int, terms array<int>, counts array<int>").collect()  # at most 2 x sample
     rows.sort()
     return Voters.fit([(r["terms"], r["counts"]) for r in rows], [r["label"] for r in rows])
 
@@ -168,4 +162,4 @@ def score(docs: DataFrame, voters: Voters, keep: tuple[str, ...] = ("doc_id",),
                 found = shared.value.scores([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.float64())], names=[*keep, name])
 
-    return base.mapInArrow(vote, StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())]))
+    return base.mapInArrow(per_task(vote), StructType([*(docs.schema[c] for c in keep), StructField(name, DoubleType())]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import slices, texts
+from wayline.llm.common import per_task, resident, slices, texts
 
 
 @dataclass(frozen=True)
@@ -136,16 +136,23 @@ class TrigramIndex:
     def __init__(self, queries: list[Query | None]):
         grams = sorted({g for q in queries if q for part in q for option in part for g in option})
         self.slot = {g: i + 1 for i, g in enumerate(grams)}
-        self.slots = np.zeros(1 << 24, dtype=np.uint16)
+        letters = sorted({b for g in grams for b in g})
+        self.letter = np.zeros(256, np.uint32)  # the number of each byte that some trigram has; 0: none
+        self.letter[letters] = np.arange(1, len(letters) + 1)
+        self.width = np.uint32(len(letters) + 1)
+        self.slots = np.zeros(int(self.width) ** 3, dtype=np.uint16)
         for g, i in self.slot.items():
-            self.slots[g[0] << 16 | g[1] << 8 | g[2]] = i
+            self.slots[self.place(*(self.letter[b] for b in g))] = i
+
+    def place(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (a * self.width + b) * self.width + c
 
     def postings(self, encoded: list[bytes]) -> dict[int, np.ndarray]:
         block = np.frombuffer(b"\0".join(encoded) + b"\0", dtype=np.uint8)
         if len(block) < 3:
             return {}
-        wide = block.astype(np.uint32)
-        found = self.slots[wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]]
+        wide = self.letter[block]
+        found = self.slots[self.place(wide[:-2], wide[1:-1], wide[2:])]
         at = np.flatnonzero(found)
         ends = np.cumsum(np.array([len(x) + 1 for x in encoded]))
         text = np.searchsorted(ends, at, side="right")
@@ -184,9 +191,8 @@ class Scanner:
         return found
 
 
-@functools.lru_cache(maxsize=4)
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
-    return Scanner(rules)
+    return resident(("scanner", rules), lambda: Scanner(rules))
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -205,7 +211,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, SPAN)], names=["doc_id", "spans"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(find, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return base.mapInArrow(per_task(find), f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
@@ -230,5 +236,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
                 new = [x if x is None else masked(x, s, mask) for x, s in zip(text, found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else part.column(n) for n in names], names=names)
 
-    cleaned = docs.mapInArrow(clean, docs.schema)
+    cleaned = docs.mapInArrow(per_task(clean), docs.schema)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cleaned

@@ -13,7 +13,8 @@ are not compared again, so a dense group costs no square of its size in rows.
 Components are joined up by Spark.
 
 Null texts are empty; a text without words has fingerprint zero, linked like
-any other. Repeated rows stay repeated; other columns are ignored; an empty
+any other. Rows without an id take part; the component of such rows alone is
+null. Repeated rows stay repeated; other columns are ignored; an empty
 table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import checkpoint, slices, texts
+from wayline.llm.common import checkpoint, per_task, slices, texts
 from wayline.llm.components import components
 
 SEED, WORDS, LIMIT = 42, 4, 4
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 found = [fingerprint(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
 
-    return base.mapInArrow(hashed, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fingerprint bigint")
+    return base.mapInArrow(per_task(hashed), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, fingerprint bigint")
 
 
 def pair_masks(fixed: int = 0) -> list[int]:
@@ -243,7 +244,7 @@ def dealt_links(dealt: DataFrame, hot: int) -> DataFrame:
         if held:
             yield linked(held[0])
 
-    return dealt.mapInArrow(find, "u bigint, v bigint, mask bigint")
+    return dealt.mapInArrow(per_task(find), "u bigint, v bigint, mask bigint")
 
 
 def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
@@ -269,11 +270,19 @@ def links(classes: DataFrame, hot: int = HOT) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def least_ids(classes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``name`` and ``component_id`` of every class. classes: ``name``, ``first_id``; found: ``node``, ``component``.
+
+    The least id of a component is summed up first and cut, so that Spark may split the join of a component with many classes.
+    """
+    roots = classes.join(found.withColumnRenamed("node", name), name, "left").select(name, "first_id", F.coalesce("component", name).alias("root"))
+    least = checkpoint(roots.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    return roots.join(least, "root").select(name, "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``fingerprint`` and ``component_id``, the smallest ``doc_id`` that links lead to, of every row."""
-    every = checkpoint(fingerprints(docs))
+    every = checkpoint(fingerprints(docs, words))
     classes = checkpoint(every.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
     found = components(links(classes.select("fingerprint")))
-    roots = classes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return every.join(roots.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return every.join(least_ids(classes, found, "fingerprint"), "fingerprint").select("doc_id", "fingerprint", "component_id")

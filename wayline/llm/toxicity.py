@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.llm.common import slices, texts
+from wayline.llm.common import per_task, slices, texts
 
 POSITIVES, UNLABELLED = 3000, 9000
 DIMENSIONS, BEGINNINGS = 1 << 20, (4, 5, 6)
@@ -127,17 +127,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
         return ToxicModel({}, -30.0)
     toxic = known.where("_label = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("_label"))
     other = docs.where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("_label"))
-    chosen = [tuple(r) for r in toxic.unionByName(other).distinct().collect()]
+    chosen = [tuple(r) for r in toxic.unionByName(other.distinct()).collect()]
     some = F.broadcast(spark.createDataFrame(chosen, toxic.schema))  # at most positives + unlabelled rows
-    found = texts(docs).join(some, "doc_id").select("_label", "text")
+    found = texts(docs).join(some, "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).withColumn("key", F.xxhash64("doc_id"))  # of repeated ids the first text
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 rows = [sorted(f for w in words(t) for f in features(w)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array(rows, pa.list_(pa.int32()))], names=["label", "features"])
+                yield pa.RecordBatch.from_arrays([part.column("_label"), part.column("key"), pa.array(rows, pa.list_(pa.int32()))], names=["label", "key", "features"])
 
-    table = found.mapInArrow(extract, "label int, features array<int>").limit(2 * (positives + unlabelled)).toArrow()
+    table = found.mapInArrow(per_task(extract), "label int, key bigint, features array<int>").toArrow().sort_by("key")  # at most positives + unlabelled rows
     label, features_of = table["label"].combine_chunks().to_numpy(), table["features"].combine_chunks()
 
     def of(y: int) -> Lists:
@@ -159,4 +159,4 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 found = [own.score(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return base.mapInArrow(scored, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")
+    return base.mapInArrow(per_task(scored), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double")

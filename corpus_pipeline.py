@@ -4,6 +4,10 @@
 its result is written as Parquet and read again as the next one's docs. All but
 the last return the columns of ``documents``. The stages are written in Python
 and numpy, so there is no SQL for the whole; tests hold each against brute force.
+
+Null texts count as empty and stay null; rows without an id are never dropped as
+copies or as benchmark items. An empty table goes through as one. Further
+columns are carried along up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +25,29 @@ LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality vote rejects."""
+    """Drops the documents that the quality vote rejects; null and empty texts get the share of good labels as their score."""
     labels = read(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
-    scored = quality.score(docs, quality.fit(docs, labels), keep=tuple(docs.columns), name="_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    name = next(n for n in ("_quality", *(f"_quality{i}" for i in range(len(docs.columns)))) if n not in docs.columns)
+    scored = quality.score(docs, quality.fit(docs, labels), keep=tuple(docs.columns), name=name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def keep_first_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies (five-word Jaccard of 0.8), and rows without an id."""
-    first = likeness.near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps the document of the smallest id of each group of near copies, and rows without an id.
+
+    Candidates come from op6's index over SimHash fingerprints of five-word runs, and from min-hash bands, as 64 bits can't
+    tell a likeness of 0.8 from a lesser one; a Jaccard likeness of 0.8 of the sets of runs decides. Rows of one id are
+    one document; of equal texts among them the first row by the other columns stays.
+    """
+    later = likeness.near_copies(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(later, "doc_id", "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if others:
+        first = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_first"))
+        kept = first.select("doc_id", "text", *(F.col("_first")[c].alias(c) for c in others)).select(*docs.columns)
+    else:
+        kept = kept.distinct()
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

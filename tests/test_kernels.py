@@ -150,3 +150,26 @@ def test_next_departure_and_labels(spark):
         f=clock.distance_label(F.lit(1549.0)),
     )
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == (20, 1360, "00:10", "1 h 2 min", "112th", "1.5 km")
+
+
+def test_clusters_of_a_long_shuffled_chain(spark):
+    """A thousand points in a line with ids in no order are one cluster; another name beside them is another."""
+    rng = random.Random(5)
+    ids = list(range(1000))
+    rng.shuffle(ids)
+    rows = [(i, "a", 41.5, 41.5 + k * 0.001) for k, i in enumerate(ids)] + [(5000, "b", 41.5, 41.5), (5001, "a", 42.5, 41.5)]
+    found = {r.point_id: r.cluster for r in resolve.clusters(spark.createDataFrame(rows, "point_id bigint, name string, lat double, lon double"), 260).collect()}
+    assert found == {**dict.fromkeys(range(1000), 0), 5000: 5000, 5001: 5001}
+
+
+@pytest.mark.parametrize("at", [0.0, 41.5, 69.6, -85.0, 89.5])
+def test_pairs_in_reach_at_any_latitude(spark, at):
+    """Also over the line where longitudes begin anew."""
+    rng = random.Random(3)
+    points = [(i, at + rng.uniform(-0.02, 0.02), rng.choice([-180, 179.9, 0, 20]) + rng.uniform(0, 0.1)) for i in range(150)]
+    points = [(i, min(90.0, lat), lon) for i, lat, lon in points]
+    want = {(a, b) for a, x, y in points for b, u, v in points if fleet.metres(x, y, u, v) <= 900}
+    left = spark.createDataFrame(points, "a bigint, lat double, lon double")
+    right = spark.createDataFrame(points, "b bigint, r_lat double, r_lon double")
+    found = [(r.a, r.b) for r in distance.within(left, right, 900).collect()]
+    assert len(found) == len(set(found)) and set(found) == want

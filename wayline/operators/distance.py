@@ -12,14 +12,20 @@ from wayline.functions import geo
 def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """Pairs of (lat, lon) and (r_lat, r_lon) rows at most so far apart, with ``metres``.
 
-    Both sides meet in grid cells at least that wide; the left row goes to its own and the eight around, so the join
-    is an equi-join of cells and no pair is missed or made twice.
+    Both sides meet in grid cells at least that wide, whose degrees of longitude grow with the band's latitude; the left
+    row goes to its own and the eight around, round the globe, so the join is an equi-join of cells and no pair is missed
+    or made twice.
     """
-    size = metres / 70_000  # degrees that are at least so many metres, up to 50 degrees of latitude
-    cell = lambda c: F.floor(c / size)
-    near = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
-    l_ = left.withColumn("_y", near(F.col("lat"))).withColumn("_x", near(F.col("lon")))
-    r_ = right.withColumn("_y", cell(F.col("r_lat"))).withColumn("_x", cell(F.col("r_lon")))
+    size = metres / 110_000  # degrees of latitude that are at least so many metres
+    band = lambda lat: F.floor(lat / size)
+    poleward = lambda y: F.least(F.lit(89.9), (F.abs(y + 0.5) + 1.5) * size)  # noqa: E731  the latitude farthest north or south that the band or the next reaches
+    width = lambda y: F.least(F.lit(360.0), size / F.cos(F.radians(poleward(y))))
+    last = F.floor(F.lit(180.0) / width(F.col("_y")))
+    x = lambda lon: F.floor(lon / width(F.col("_y")))
+    around = F.flatten(F.transform(F.array(F.col("lon") - 360, F.col("lon"), F.col("lon") + 360), lambda lon: F.sequence(x(lon) - 1, x(lon) + 1)))
+    around = F.array_distinct(F.filter(around, lambda c: (c >= -last - 1) & (c <= last)))
+    l_ = left.withColumn("_y", F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1))).withColumn("_x", F.explode(around))
+    r_ = right.withColumn("_y", band(F.col("r_lat"))).withColumn("_x", x(F.col("r_lon")))
     both = l_.join(r_, ["_y", "_x"]).drop("_y", "_x")
     return both.withColumn("metres", geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("metres") <= metres)
 

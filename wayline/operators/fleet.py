@@ -8,6 +8,7 @@ from math import asin, atan2, cos, degrees, radians, sin, sqrt
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayline.functions import geo
 
@@ -43,8 +44,15 @@ def observe(state: State | None, lat: float, lon: float, now: int) -> State:
     return (lat, lon, heading(at_lat, at_lon, lat, lon), kmh if speed is None else 0.6 * speed + 0.4 * kmh, now, now, first)
 
 
+def sessions(samples: DataFrame) -> DataFrame:
+    """Adds ``session``: where a vehicle is not seen for so long that its state is forgotten, another begins."""
+    w = Window.partitionBy("plate").orderBy("now_ms", "event_id")
+    gap = F.col("now_ms") - F.lag("now_ms").over(w) > TRACK_TTL_MS
+    return samples.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("bigint")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def track(samples: DataFrame) -> DataFrame:
-    """Every sample with its vehicle's state after it; a vehicle's samples are one ordered group."""
+    """Every sample with its vehicle's state after it; its samples without an hour's gap between them are one ordered group."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         state, rows = None, []
@@ -53,7 +61,7 @@ def track(samples: DataFrame) -> DataFrame:
             rows.append((r.event_id, r.plate, r.now_ms, *state))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_SCHEMA.split(", ")]).astype({"heading": "float64", "speed_kmh": "float64"})
 
-    return samples.select("event_id", "plate", "now_ms", "lat", "lon").groupBy("plate").applyInPandas(run, TRACK_SCHEMA)
+    return sessions(samples.select("event_id", "plate", "now_ms", "lat", "lon")).groupBy("plate", "session").applyInPandas(run, TRACK_SCHEMA)
 
 
 def eased(shown: float | None, raw: float) -> float:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from wayline.functions import geo
 
 CELL = 0.005
-METRES_TO_DEGREES = 1 / 80_000  #: at least, for padding boxes by metres at these latitudes
+METRES_A_DEGREE = 110_000  #: of latitude, at most so many are padded for
 
 
 def cumulative(points: DataFrame, key: str = "route_id") -> DataFrame:
@@ -43,9 +43,10 @@ def project(points: DataFrame, segs: DataFrame, reach: float, key: str = "route_
     Points and segments meet in grid cells, so a line's far segments are never compared. At equal offset, to the
     millimetre, the first segment wins.
     """
-    pad = reach * METRES_TO_DEGREES
+    pad = reach / METRES_A_DEGREE
+    wide = pad / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs(F.col("a_lat")), F.abs(F.col("b_lat"))) + pad)))
     rows = F.explode(F.sequence(cell(F.least("a_lat", "b_lat") - pad), cell(F.greatest("a_lat", "b_lat") + pad)))
-    cols = F.explode(F.sequence(cell(F.least("a_lon", "b_lon") - pad), cell(F.greatest("a_lon", "b_lon") + pad)))
+    cols = F.explode(F.sequence(cell(F.least("a_lon", "b_lon") - wide), cell(F.greatest("a_lon", "b_lon") + wide)))
     dealt = segs.withColumn("cell_y", rows).withColumn("cell_x", cols)
     placed = points.withColumn("cell_y", cell(F.col("lat"))).withColumn("cell_x", cell(F.col("lon")))
     both = placed.join(dealt, [key, "cell_y", "cell_x"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
 from wayline.operators.distance import first_by, within
-from wayline.operators.stages import cut
+from wayline.operators.stages import tabled
 
 #: Short forms and numerals of the names' words, words for the kind of street, and others that name nothing.
 SHORT = {"წმ": "წმინდა", "გენ": "გენერალ", "ქ": "ქუჩა", "ქუჩ": "ქუჩა", "აკად": "აკადემიკოს", "გამზ": "გამზირი", "შეს": "შესახვევი"}
@@ -116,28 +116,26 @@ def match_names(names: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("name", F.when(swap, F.col("o_id")).otherwise(F.col("k_id")).alias("k_id"), F.when(swap, F.concat("tier", F.lit("/loose"))).otherwise(F.col("tier")).alias("tier"))
 
 
-def clusters(points: DataFrame, metres: float, rounds: int = 40) -> DataFrame:
+def clusters(points: DataFrame, metres: float) -> DataFrame:
     """Points of one name that chains of short hops connect: point_id, name, cluster (its smallest point).
 
-    points: point_id, name, lat, lon. Smallest ids spread along the links until nothing changes.
+    points: point_id (one row each), name, lat, lon. Every cluster takes the smallest label of those that links lead to,
+    and then that label's own, until no link stands between two; a chain of n points takes some log n rounds.
     """
     other = points.select(F.col("point_id").alias("r_id"), F.col("name").alias("r_name"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    links = within(points, other, metres).where("name = r_name and point_id <> r_id").select("point_id", "r_id").persist()
+    links = tabled(within(points, other, metres).where("name = r_name and point_id < r_id").select("point_id", "r_id"))
     now = points.select("point_id", "name", F.col("point_id").alias("cluster"))
-    try:
-        for _ in range(rounds):
-            heard = links.join(now.select(F.col("point_id").alias("r_id"), F.col("cluster").alias("_c")), "r_id").groupBy("point_id").agg(F.min("_c").alias("_c"))
-            after = now.join(heard, "point_id", "left").select("point_id", "name", F.least("cluster", "_c").alias("cluster"))
-            # a cluster's own cluster is a shorter way to its smallest point
-            after = after.join(after.select(F.col("point_id").alias("cluster"), F.col("cluster").alias("_r")), "cluster").select("point_id", "name", F.least("cluster", "_r").alias("cluster"))
-            after = cut(after)
-            changed = after.join(now.withColumnRenamed("cluster", "_was"), ["point_id", "name"]).where("cluster <> _was").limit(1).count()
-            now = after
-            if not changed:
-                break
-        return now
-    finally:
-        links.unpersist()
+    while True:
+        label = now.select("point_id", "cluster")
+        ends = links.join(label, "point_id").join(label.select(F.col("point_id").alias("r_id"), F.col("cluster").alias("other")), "r_id")
+        hooks = ends.where("cluster <> other").groupBy(F.greatest("cluster", "other").alias("cluster")).agg(F.min(F.least("cluster", "other")).alias("_less"))
+        hooks = tabled(hooks)
+        if hooks.isEmpty():
+            return now
+        after = now.join(hooks, "cluster", "left").select("point_id", "name", F.coalesce("_less", "cluster").alias("cluster"))
+        # a label's own label is a shorter way to its smallest point
+        own = after.select(F.col("point_id").alias("cluster"), F.col("cluster").alias("_own"))
+        now = tabled(after.join(own, "cluster").select("point_id", "name", F.col("_own").alias("cluster")))
 
 
 def localities(points: DataFrame, boxes: DataFrame, villages: DataFrame, reach: float = 2500) -> DataFrame:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayline.operators.stages import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all machines see; a local one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='wayline-')}"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder that all machines see."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def json_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 def appended(stream: DataFrame) -> DataFrame:
     """All that an append-only stream gives until its input is used up, from a table in the shared folder."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -41,7 +41,7 @@ def appended(stream: DataFrame) -> DataFrame:
 def upserted(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The last version of each key that an updating stream gives until its input is used up."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/{number:08d}")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from wayline.functions import clock, geo
 from wayline.operators import distance, fleet, linear, timetable
-from wayline.plans.base import haversine, query
+from wayline.plans.base import bearing, haversine, query
 from wayline.sources.tables import departures, pings, running_times, stop_legs
 
 LEG = ["route_id", "direction"]
@@ -226,19 +226,39 @@ def w02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return along_stops(spark, sf_dir).select("stop_id", F.round(road, 2).alias("metres"), F.round(road / (19.6 * 1000 / 60), 4).alias("minutes"))
 
 
-@query("w08_tracks")
+TRACK = f"""with recursive x as (select *, row_number() over (partition by plate order by now_ms, event_id) as n from ping),
+run as (
+  select plate, n, event_id, now_ms, lat, lon, cast(null as double) as heading, cast(null as double) as speed, now_ms as moved, now_ms as seen, now_ms as began from x where n = 1
+  union all
+  select plate, n, event_id, now_ms,
+    case when fresh or gone >= 12 then lat else at_lat end, case when fresh or gone >= 12 then lon else at_lon end,
+    case when fresh then null when gone >= 12 then {bearing("at_lat", "at_lon", "lat", "lon")} else heading end,
+    case when fresh then null when gone < 12 then speed*pow(0.5e0, (now_ms - seen)/60000e0)
+      when speed is null then least(90e0, gone/greatest(1e0, (now_ms - moved)/1000e0)*3.6e0)
+      else 0.6e0*speed + 0.4e0*least(90e0, gone/greatest(1e0, (now_ms - moved)/1000e0)*3.6e0) end,
+    case when fresh or gone >= 12 then now_ms else moved end, now_ms, case when fresh then now_ms else began end
+  from (
+    select x.plate, x.n, x.event_id, x.now_ms, x.lat, x.lon, run.lat as at_lat, run.lon as at_lon, run.heading, run.speed, run.moved, run.seen, run.began,
+      x.now_ms - run.seen > 3600000 as fresh, {haversine("run.lat", "run.lon", "x.lat", "x.lon")} as gone
+    from run join x on x.plate = run.plate and x.n = run.n + 1) step)"""
+
+
+@query("w08_tracks", f"""{TRACK}
+select event_id, plate, now_ms, lat, lon, round(heading, 3) as heading, round(speed, 3) as speed_kmh, moved as moved_ms, seen as seen_ms, began as first_ms from run""")
 def w08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each vehicle after every sample."""
-    return fleet.track(pings(spark, sf_dir))
+    return fleet.track(pings(spark, sf_dir)).withColumns({"heading": F.round("heading", 3), "speed_kmh": F.round("speed_kmh", 3)})
 
 
-@query("p07_heading_speed")
+@query("p07_heading_speed", f"""{TRACK}
+select event_id, (cast(floor(heading + 0.5e0) as bigint) % 360 + 360) % 360 as heading, cast(floor(speed + 0.5e0) as bigint) as kmh from run""")
 def p07(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fleet.track(pings(spark, sf_dir))
     return t.select("event_id", F.pmod(geo.nearest_whole(F.col("heading")), F.lit(360)).alias("heading"), geo.nearest_whole(F.col("speed_kmh")).alias("kmh"))
 
 
-@query("p08_in_service")
+@query("p08_in_service", f"""{TRACK}
+select event_id, (now_ms - moved)/1000e0 < 600 or (now_ms - began)/1000e0 < 120 as in_service, (now_ms - moved)/1000e0 as standing from run""")
 def p08(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fleet.track(pings(spark, sf_dir))
     standing, age = (F.col("now_ms") - F.col("moved_ms")) / 1000, (F.col("now_ms") - F.col("first_ms")) / 1000

@@ -87,7 +87,30 @@ def forward_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape_points(spark, sf_dir).withColumn("i", F.abs("i"))
 
 
-@query("g08_match_chain")
+#: The forward match as a fold over each route's stops; of a step's segments the first of least score.
+CHAIN = SEGMENTS.replace("with hop as", "with recursive hop as").replace("from shape_pt window", "from (select route_id, abs(i) as i, lat, lon from shape_pt) forward window") + """,
+chain as (select route_id, ord, lat, lon, row_number() over (partition by route_id order by ord) as n
+  from (select route_id, case when direction = 1 then seq else 1000000 + seq end as ord, lat, lon from stop_leg) o),
+run as (
+  select distinct route_id, cast(0 as bigint) as n, cast(null as bigint) as ord, 0e0 as along, 0e0 as off from chain
+  union all
+  select route_id, n, ord, case when isinf(score) then previous else along end, case when isinf(score) then 'infinity'::double else off end
+  from (
+    select *, row_number() over (partition by route_id order by score, seg) as r
+    from (
+      select *, case when along >= previous - 60 then round(off + 0.02e0*greatest(0e0, along - previous), 6) else 'infinity'::double end as score
+      from (
+        select *, cum_a + t*(cum_b - cum_a) as along, sqrt(pow(px - bx*t, 2) + pow(py - by_*t, 2)) as off
+        from (
+          select *, case when bx*bx + by_*by_ = 0 then 0e0 else greatest(0e0, least(1e0, (px*bx + py*by_)/(bx*bx + by_*by_))) end as t
+          from (
+            select c.route_id, c.n, c.ord, run.along as previous, s.seg, s.cum_a, s.cum_b, (s.b_lon - s.a_lon)*s.scale as bx, (s.b_lat - s.a_lat)*111320e0 as by_,
+              (c.lon - s.a_lon)*s.scale as px, (c.lat - s.a_lat)*111320e0 as py
+            from run join chain c on c.route_id = run.route_id and c.n = run.n + 1 join seg s on s.route_id = c.route_id) p) q) u) v) w
+  where r = 1)"""
+
+
+@query("g08_match_chain", f"{CHAIN} select route_id, ord, round(along, 3) as along, round(off, 3) as metres_off from run where n > 0")
 def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linear.match_chain(chain_of(spark, sf_dir), linear.segments(forward_points(spark, sf_dir)))
     return found.select("route_id", "ord", F.round("along", 3).alias("along"), F.round("offset", 3).alias("metres_off"))
@@ -98,7 +121,8 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.align(shape_points(spark, sf_dir), chain_of(spark, sf_dir))
 
 
-@query("a06_bands")
+@query("a06_bands", f"""{CHAIN} select route_id, case when ord < 1000000 then 1 else 2 end as direction, round(min(along), 3) as first, round(max(along), 3) as last,
+  round(list_sort(list(off))[cast(floor(count(*)/2e0) as bigint) + 1], 3) as fit from run where n > 0 group by all""")
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of places along the line, and the fit, of each direction."""
     found = linear.match_chain(chain_of(spark, sf_dir), linear.segments(forward_points(spark, sf_dir)))

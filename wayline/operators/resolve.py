@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
+from wayline.operators import areas
 from wayline.operators.distance import first_by, within
 from wayline.operators.stages import tabled
 
@@ -150,6 +151,18 @@ def localities(points: DataFrame, boxes: DataFrame, villages: DataFrame, reach:
     return all_.select("point_id", F.coalesce(F.when(F.col("level") >= 8, F.col("box")), "village", "box", F.lit(-1)).alias("area_id"))
 
 
+def localities_of_areas(points: DataFrame, edges: DataFrame, levels: DataFrame, villages: DataFrame, reach: float = 2500) -> DataFrame:
+    """The locality of each point: the smallest district or town whose border holds it, else the nearest village within reach, else a municipality, else -1.
+
+    points: point_id, lat, lon; edges as in ``areas``; levels: area_id, level (10, 8 or 6); villages: area_id, r_lat, r_lon.
+    """
+    inside = areas.holding(points, edges).join(levels, "area_id")
+    held = first_by(inside, ["point_id"], F.col("level").desc(), "area_id").select("point_id", F.col("area_id").alias("held"), "level")
+    near = first_by(within(points.select("point_id", "lat", "lon"), villages.withColumnRenamed("area_id", "v_id"), reach), ["point_id"], F.round("metres", 3), "v_id").select("point_id", F.col("v_id").alias("village"))
+    all_ = points.select("point_id").join(held, "point_id", "left").join(near, "point_id", "left")
+    return all_.select("point_id", F.coalesce(F.when(F.col("level") >= 8, F.col("held")), "village", "held", F.lit(-1)).alias("area_id"))
+
+
 def same_street(a: Column, b: Column) -> Column:
     """Two sorted arrays of stems: each word of the shorter is close to one of the longer."""
     close = lambda x, y: (x == y) | ((F.least(F.length(x), F.length(y)) >= 5) & (F.levenshtein(x, y, 2) >= 0))

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wayline.functions import clock
+
 #: Georgian letters, their sounds in Cyrillic, and the two that take two letters.
 GEORGIAN, CYRILLIC = "აბგდევზთიკლმნოპჟრსტუფქღყშჩცწჭხჰ", "абгдевзтиклмнопжрстуфкгкшчццчхх"
 CYRILLIC_PAIRS = {"ძ": "дз", "ჯ": "дж"}
@@ -18,6 +20,15 @@ NOUNS = {
     "არენა": "арена", "სტადიონი": "стадион", "და": "и",
 }
 LEADING = ("ქუჩა", "გამზირი", "გზატკეცილი", "მოედანი", "ჩიხი", "ხიდი")
+#: Georgian letters in Latin ones, and street types in English.
+GEORGIAN_LATIN, LATIN = "აბგდევზთიკლმნოპრსტუფქყჯჰ", "abgdevztiklmnoprstupkqjh"
+LATIN_PAIRS = {"ჟ": "zh", "ღ": "gh", "შ": "sh", "ჩ": "ch", "ც": "ts", "ძ": "dz", "წ": "ts", "ჭ": "ch", "ხ": "kh"}
+LATIN_NOUNS = {"ქუჩა": "Street", "გამზირი": "Avenue", "გზატკეცილი": "Highway", "მოედანი": "Square", "ჩიხი": "Lane", "შესახვევი": "Lane", "ხეივანი": "Alley"}
+#: Words for the kind of street that translated names are compared without.
+TRANSLATED_TYPES = (
+    "street", "st", "str", "avenue", "ave", "av", "lane", "ln", "road", "rd", "highway", "hwy", "square", "sq", "alley",
+    "улица", "ул", "проспект", "пр", "просп", "переулок", "пер", "тупик", "туп", "шоссе", "площадь", "пл", "проезд",
+)
 #: How Cyrillic letters sound in Latin ones.
 HEARD, HEARD_AS = "абвгдезийклмнопрстуфхыэ", "abvgdeziiklmnoprstufhie"
 HEARD_PAIRS = {"ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": "", "ь": "", "ю": "yu", "я": "ya"}
@@ -121,6 +132,32 @@ def to_cyrillic(name: Column) -> Column:
     return F.when(name.rlike(GEORGIAN_SCRIPT), F.array_join(F.concat(first, body), " ")).otherwise(name)
 
 
+def respelled(name: Column) -> Column:
+    """A Georgian name with its first ordinal and its words for a lane as ``to_cyrillic`` knows them."""
+    first = F.regexp_replace(name, r"(^|\s)1[-–—]ლი(?=\s|$)", "$1მე-1")
+    return F.regexp_replace(first, r"(^|\s)(?:შესახვევი|ჩასახვევი|შეს\.?)(?=\s|$)", "$1ჩიხი")
+
+
+def to_latin(name: Column) -> Column:
+    """A Georgian name in Latin letters: street types and ordinals in English, a street's owner no longer in the genitive."""
+    tokens = F.split(name, " ")
+    nouns = F.create_map(*(F.lit(x) for pair in LATIN_NOUNS.items() for x in pair))
+
+    def rendered(token: Column, i: Column) -> Column:
+        number = F.coalesce(F.nullif(F.regexp_extract(token, r"^მე[-–—]\s*(\d+)$", 1), F.lit("")), F.nullif(F.regexp_extract(token, r"^(1)[-–—]ლი$", 1), F.lit("")))
+        owner = F.try_element_at(nouns, F.get(tokens, i + 1)).isNotNull() & F.endswith(token, F.lit("ის"))
+        stem = F.when(owner, F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+        spelled = capital(replaced(F.translate(stem, GEORGIAN_LATIN, LATIN), LATIN_PAIRS))
+        return F.coalesce(F.try_element_at(nouns, token), clock.ordinal(number.cast("int")), spelled)
+
+    return F.when(name.rlike(GEORGIAN_SCRIPT), F.array_join(F.transform(tokens, rendered), " ")).otherwise(name)
+
+
+def translated_words(name: Column) -> Column:
+    """The words of an English or Russian street name without those for the kind of street."""
+    return F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*TRANSLATED_TYPES))
+
+
 def sounded(word: Column) -> Column:
     return replaced(F.translate(word, GEORGIAN, CYRILLIC), CYRILLIC_PAIRS)
 

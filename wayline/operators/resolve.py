@@ -170,6 +170,15 @@ def same_street(a: Column, b: Column) -> Column:
     return F.when(F.least(F.size(a), F.size(b)) == 0, False).when(F.size(a) <= F.size(b), covers(a, b)).otherwise(covers(b, a))
 
 
+def same_words(a: Column, b: Column) -> Column:
+    """Two translated names: the same numbers, and each other word of the shorter is close to one of the longer."""
+    own, other = text.translated_words(a), text.translated_words(b)
+    is_number = lambda w: w.rlike(r"^\d")
+    numbers = lambda words: F.array_join(F.filter(words, is_number), ",")
+    rest = lambda words: F.filter(words, lambda w: ~is_number(w))
+    return (numbers(own) == numbers(other)) & same_street(rest(own), rest(other))
+
+
 def streets_of(houses: DataFrame, vertices: DataFrame, exact: float = 1500, respelled: float = 400) -> DataFrame:
     """The street of each house: the nearest of its very name, else the nearest of a like name, else one of its own.
 

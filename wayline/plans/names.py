@@ -77,6 +77,42 @@ def t26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("p_partkey", text.to_cyrillic(trilingual()).alias("ru"))
 
 
+#: Georgian names, in Latin letters, and in Cyrillic after respelling.
+SIGNS = (
+    ("რუსთაველის ქუჩა", "Rustaveli Street", "Улица Руставели"), ("მე-2 ჩიხი", "2nd Lane", "Переулок 2-я"), ("1-ლი შესახვევი", "1st Lane", "Переулок 1-я"),
+    ("მე–13 ქუჩა", "13th Street", "Улица 13-я"), ("ციხისძირი", "Tsikhisdziri", "Цихисдзири"), ("Hotel Adjara", "Hotel Adjara", "Hotel Adjara"),
+    ("ღვინის ბაზარი", "Ghvinis Bazari", "Гвинис рынок"), ("მე-103 გამზირი", "103rd Avenue", "Проспект 103-я"), ("აღმაშენებლის შეს.", "Aghmasheneblis Shes.", "Переулок Агмашенебли"),
+)
+
+
+def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts(spark, sf_dir).select("p_partkey", F.element_at(F.array(*(F.lit(x) for x, _, _ in SIGNS)), (key() % len(SIGNS) + 1).cast("int")).alias("name"))
+
+
+def expected(which: int) -> str:
+    return "[" + ", ".join(f"'{x[which]}'" for x in SIGNS) + f"][p_partkey % {len(SIGNS)} + 1]"
+
+
+@query("t27_to_latin", f"select p_partkey, {expected(1)} as latin from part")
+def t27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signs(spark, sf_dir).select("p_partkey", text.to_latin(F.col("name")).alias("latin"))
+
+
+@query("t28_respelled", f"select p_partkey, {expected(2)} as ru from part")
+def t28(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signs(spark, sf_dir).select("p_partkey", text.to_cyrillic(text.respelled(F.col("name"))).alias("ru"))
+
+
+@query("t36_same_words", """with p as (select p_partkey, p_partkey % 5 as v, string_split(p_name, ' ') as w from part)
+select p_partkey, case v when 0 then true when 1 then true when 2 then false when 3 then length(w[2]) >= 5 else false end as same from p""")
+def t36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A translated name beside: itself with a kind of street; its words turned round; another number; one letter more in the last word; no words."""
+    v, name = key() % 5, F.col("p_name")
+    turned = F.concat_ws(" ", F.reverse(F.split(name, " ")))
+    other = F.when(v == 0, F.concat(F.lit("ул. "), F.upper(name), F.lit(", 7"))).when(v == 1, F.concat(F.lit("7 "), turned)).when(v == 2, F.concat(name, F.lit(" 8"))).when(v == 3, F.concat(name, F.lit("s 7 st"))).otherwise(F.lit("Street 7"))
+    return parts(spark, sf_dir).select("p_partkey", resolve.same_words(F.concat(name, F.lit(" Street 7")), other).alias("same"))
+
+
 @query("t29_fold", "select doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}/]+', ' ', 'g')) as folded from documents")
 def t29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))

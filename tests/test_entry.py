@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLES = entry.oracle_sql()
 #: Long plans or streams, one after the other in other tests or slow to start; the rest is compared here.
-SLOW = {"j12_one_change"}
+SLOW = {"j12_one_change", "j12_one_change_nations"}
 
 
 @pytest.fixture(scope="module")

@@ -17,9 +17,18 @@ ps as (select route_id || ':' || direction as pattern, route_id, direction, seq
  union all select p.route_id || ':' || p.direction || '+', p.route_id, p.direction, seq, stop_id, metres/(19.6e0*1000/60), turn from plain p join turn t on p.route_id = t.route_id and p.direction = t.before
  union all select p.route_id || ':' || t.before || '+', p.route_id, t.before, seq + turn + 1, stop_id, (metres + beyond)/(19.6e0*1000/60), turn from plain p join turn t on p.route_id = t.route_id and p.direction = t.after)"""
 
-#: A trip of each supplier, from a start to an end in the grid of lines.
-TRIPS = """trip as (select s_suppkey as query_id, 41.5e0 + (s_suppkey*7 % 25)*0.003e0 + 0.0004e0 as from_lat, 41.5e0 + (s_suppkey*11 % last)*0.003e0 + 0.0007e0 as from_lon,
-  41.5e0 + ((s_suppkey*7 + s_suppkey % 4*2) % 25)*0.003e0 - 0.0003e0 as to_lat, 41.5e0 + (s_suppkey*17 % last)*0.003e0 - 0.0002e0 as to_lon from supplier, (select max(seq) + 1 as last from stop_leg))"""
+#: A trip of each supplier, or of each nation, from a start to an end in the grid of lines.
+ASKING = {"supplier": "s_suppkey", "nation": "n_nationkey"}
+
+
+def trip_sql(who: str) -> str:
+    return f"""trip as (
+  select k as query_id, 41.5e0 + (k*7 % 25)*0.003e0 + 0.0004e0 as from_lat, 41.5e0 + (k*11 % last)*0.003e0 + 0.0007e0 as from_lon,
+    41.5e0 + ((k*7 + k % 4*2) % 25)*0.003e0 - 0.0003e0 as to_lat, 41.5e0 + (k*17 % last)*0.003e0 - 0.0002e0 as to_lon
+  from (select cast({ASKING[who]} as bigint) as k from {who}) w, (select max(seq) + 1 as last from stop_leg) l)"""
+
+
+TRIPS = trip_sql("supplier")
 
 
 def ends(end: str) -> str:
@@ -34,11 +43,11 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stop_legs(spark, sf_dir).select("route_id", "direction", "seq", "stop_id", "lat", "lon")
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trips(spark: SparkSession, sf_dir: str, who: str = "supplier") -> DataFrame:
     """What people ask: query_id, from_lat, from_lon, to_lat, to_lon."""
     last = F.broadcast(stop_legs(spark, sf_dir).agg((F.max("seq") + 1).alias("last")))  # one row
     k = F.col("query_id")
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id")).crossJoin(last)
+    own = table(spark, sf_dir, who).select(F.col(ASKING[who]).cast("bigint").alias("query_id")).crossJoin(last)
     at = lambda x, off: F.lit(41.5) + x * F.lit(0.003) + F.lit(off)
     return own.select(
         "query_id", at(k * 7 % 25, 0.0004).alias("from_lat"), at(k * 11 % F.col("last"), 0.0007).alias("from_lon"),
@@ -46,9 +55,9 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def prepared(spark: SparkSession, sf_dir: str, who: str = "supplier") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Access, egress, pattern stops and changes for the trips."""
-    own, asked = legs(spark, sf_dir), trips(spark, sf_dir)
+    own, asked = legs(spark, sf_dir), trips(spark, sf_dir, who)
     stops = own.select("stop_id", "lat", "lon")
     paths = planner.changes(planner.build_footpaths(stops), stops)
     return cut(planner.access(asked, stops, "from")), cut(planner.access(asked, stops, "to")), cut(planner.build_patterns(own)), cut(paths)
@@ -76,20 +85,28 @@ def j11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rides")[0]["pattern"].alias("pattern"), F.round("cost", 4).alias("felt"))
 
 
-@query("j12_one_change", f"""with {PATTERNS}, {TRIPS}, {BOTH},
+ONE_CHANGE = f"""with {PATTERNS}, {TRIPS}, {BOTH},
 first as (select a.query_id, b.pattern, e.route_id, e.stop_id, e.pos, min(1.5e0*a.walk - b.minutes) + min(e.minutes) as cost from acc a join ps b on b.stop_id = a.stop_id and (b.turns_at is null or b.pos <= b.turns_at)
  join ps e on e.pattern = b.pattern and e.pos > b.pos and (e.turns_at is null or e.pos > e.turns_at) group by a.query_id, b.pattern, e.route_id, e.stop_id, e.pos),
 second as (select g.query_id, b.pattern, b.route_id, b.stop_id, b.pos, min(e.minutes + 1.5e0*g.walk) - min(b.minutes) as cost from egr g join ps e on e.stop_id = g.stop_id and (e.turns_at is null or e.pos > e.turns_at)
  join ps b on b.pattern = e.pattern and e.pos > b.pos and (b.turns_at is null or b.pos <= b.turns_at) group by g.query_id, b.pattern, b.route_id, b.stop_id, b.pos),
 path as (select stop_id, stop_id as to_stop, 0e0 as walk from stop_leg union all
  select s.stop_id, r.stop_id, {haversine("s.lat", "s.lon", "r.lat", "r.lon")}*1.25e0/75 from stop_leg s join stop_leg r on abs(s.lat - r.lat) < 0.005 and abs(s.lon - r.lon) < 0.006 and s.stop_id <> r.stop_id where {haversine("s.lat", "s.lon", "r.lat", "r.lon")} <= 400)
-select f.query_id, f.pattern as one, s.pattern as two, round(min(f.cost + 1.5e0*p.walk + s.cost), 4) as felt from first f join path p on p.stop_id = f.stop_id join second s on s.query_id = f.query_id and s.stop_id = p.to_stop and s.route_id <> f.route_id group by f.query_id, f.pattern, s.pattern""")
-def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walk_in, egress, rows, paths = prepared(spark, sf_dir)
+select f.query_id, f.pattern as one, s.pattern as two, round(min(f.cost + 1.5e0*p.walk + s.cost), 4) as felt from first f join path p on p.stop_id = f.stop_id join second s on s.query_id = f.query_id and s.stop_id = p.to_stop and s.route_id <> f.route_id group by f.query_id, f.pattern, s.pattern"""
+
+
+@query("j12_one_change", ONE_CHANGE)
+def j12(spark: SparkSession, sf_dir: str, who: str = "supplier") -> DataFrame:
+    walk_in, egress, rows, paths = prepared(spark, sf_dir, who)
     found = planner.one_change(walk_in, egress, rows, paths)
     return found.select("query_id", F.col("rides")[0]["pattern"].alias("one"), F.col("rides")[1]["pattern"].alias("two"), F.round("cost", 4).alias("felt"))
 
 
+@query("j12_one_change_nations", ONE_CHANGE.replace(TRIPS, trip_sql("nation")))
+def j12_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return j12(spark, sf_dir, "nation")
+
+
 @query("j13_two_changes")
 def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best journey with three rides of each trip."""
@@ -98,17 +115,22 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.transform("rides", lambda r: r["pattern"]).alias("patterns"), F.round("cost", 4).alias("felt"))
 
 
-def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planner.plan(trips(spark, sf_dir), legs(spark, sf_dir))
+def planned(spark: SparkSession, sf_dir: str, who: str = "supplier") -> DataFrame:
+    return planner.plan(trips(spark, sf_dir, who), legs(spark, sf_dir))
 
 
 @query("c06_plan")
-def c06(spark: SparkSession, sf_dir: str) -> DataFrame:
+def c06(spark: SparkSession, sf_dir: str, who: str = "supplier") -> DataFrame:
     """The options that a traveller is shown."""
-    rows = planned(spark, sf_dir)
+    rows = planned(spark, sf_dir, who)
     return rows.select("query_id", "place", "key", F.round("minutes", 3).alias("minutes"), "n_rides", F.round("walk_minutes", 3).alias("walk_minutes"), F.round("cost", 3).alias("cost"), F.array_join(F.transform("also", lambda x: F.array_join(x, ",")), "|").alias("also"))
 
 
+@query("c06_plan_nations")
+def c06_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return c06(spark, sf_dir, "nation")
+
+
 @query("p19_leg_strip")
 def p19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The legs of each option in order; walks under a minute are hidden."""

@@ -31,9 +31,9 @@ def test_a_weak_item_is_found_by_its_runs():
     n = len(items.number)
     latent = decontaminate.LatentItems(items, np.ones(n), np.zeros((n, 4), np.float32), np.zeros((2, 4), np.float32), [0, 1])
     filler = [-1] * 100
-    assert set(latent.found(np.array([*filler, *items.words[0], *filler], np.int32))) == {7}
-    assert set(latent.found(np.array([*filler, *items.words[1]], np.int32))) == {8}
-    assert not latent.found(np.array([*filler, *items.words[0][:6]], np.int32))
+    docs = [[*filler, *items.words[0], *filler], [], [*filler, *items.words[1]], items.words[1][:2], items.words[1][2:], [*filler, *items.words[0][:6]]]
+    found = latent.found_in([np.array(x, np.int32) for x in docs])
+    assert [set(x) for x in found] == [{7}, set(), {8}, set(), set(), set()]
 
 
 def test_recall_by_kind(spark):

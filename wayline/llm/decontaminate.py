@@ -34,15 +34,17 @@ from wayline.llm.common import per_task, shared_dir, slices, texts
 GROUP_ITEMS, ITEM_WORDS = 2000, 64
 PASSAGE, STRIDE = 48, 24
 #: Words of a block; windows that are compared with an item begin at each block and have as many as are about its length.
-BLOCK, NARROWEST, WIDEST, AT_ONCE = 12, 2, 5, 12 << 12
+BLOCK, NARROWEST, WIDEST, AT_ONCE = 12, 2, 4, 12 << 12
 AXES, SPARE = 64, 8
 #: Terms in more than this share of the passages carry no weight, unless an item would lose over half its words by it:
 #: an item that many rows hold keeps all, with this least weight.
 COMMON, FLOOR = 0.1, 0.1
 #: Items' parts of which the latent space holds less than this length are also looked up by runs of their words.
 WEAK, GRAM = 0.5, 5
-#: Least cosine of candidates; a share of the item in order that is enough, one that is with some of its answer, and one with nearly all of it.
-NEAR, CLEAR, LIKELY, ANSWER, HALF, SURE = 0.45, 0.8, 0.55, 0.4, 0.5, 0.9
+#: Least cosine of candidates; a share of the item in order that is enough, one that is with some of its answer if it comes to
+#: that many words, and the share of the answer that is enough where it doesn't; below a clear match also a share of the
+#: item's weight by TF-IDF, so that words of every text don't make one.
+NEAR, CLEAR, LIKELY, ANSWER, FEW, SURE, WEIGHT = 0.45, 0.8, 0.5, 0.4, 8, 0.9, 0.4
 
 WORD = re.compile(r"\w+")
 
@@ -141,6 +143,7 @@ class LatentItems:
         for width in sorted(set(widths)):
             parts = [i for i, x in enumerate(widths) if x == width]
             self.scales[width] = parts, np.ascontiguousarray(self.vectors[parts].T)
+        self.weights = [self.idf[w].tolist() for w in self.items.words]
         self.answers = [w[-max(1, len(w) // 3) :] for w in self.items.words]
         self.answer_masks = [places(w) for w in self.answers]
         self.runs: dict[int, dict[int, list[int]]] = {}  # by length and hash, the weak parts
@@ -150,13 +153,13 @@ class LatentItems:
                 self.runs.setdefault(n, {}).setdefault(h, []).append(part)
         self.run_keys = {n: np.array(sorted(x), np.uint64) for n, x in self.runs.items()}
 
-    def shared_runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """First word and part of each run that a weak part holds too."""
+    def shared_runs(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """First word, number of words and part of each run that a weak part holds too."""
         out = []
         for n, keys in self.run_keys.items():
             hashes = run_hashes(ids, n)
             hits = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
-            out += [(at, part) for at in hits.tolist() for part in self.runs[n][int(hashes[at])]]
+            out += [(at, n, part) for at in hits.tolist() for part in self.runs[n][int(hashes[at])]]
         return out
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
@@ -164,39 +167,75 @@ class LatentItems:
         blocks = [np.add.reduceat(self.terms[ids[i : i + AT_ONCE]], np.arange(0, len(ids[i : i + AT_ONCE]), BLOCK)) for i in range(0, len(ids), AT_ONCE)]
         return np.vstack([np.zeros((1, self.terms.shape[1])), np.cumsum(np.vstack(blocks), axis=0, dtype=np.float64)])
 
-    def found(self, ids: np.ndarray) -> dict[int, tuple[float, float, float, int]]:
-        """Of each matching item: similarity, common share, answer's share, first word of the window."""
-        if not (ids >= 0).any():
-            return {}
-        sums = self.windows(ids)
-        exact: dict[int, set[int]] = {}
-        for at, part in self.shared_runs(ids):
-            exact.setdefault(part, set()).add(at // BLOCK)
-        out: dict[int, tuple[float, float, float, int]] = {}
+    def found_in(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, float, float, int]]]:
+        """Of each document the matching items: similarity, common share, answer's share, first word of the window."""
+        out: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in docs]
+        batch: list[int] = []
+        held = 0
+        for i, ids in enumerate(docs):
+            if (ids >= 0).any():
+                batch.append(i)
+                held += len(ids)
+            if batch and (held >= AT_ONCE or i == len(docs) - 1):
+                self.search([docs[k] for k in batch], [out[k] for k in batch])
+                batch, held = [], 0
+        return [{i: (near, share, answered, -start) for i, (share, answered, near, start) in x.items()} for x in out]
+
+    def search(self, docs: list[np.ndarray], out: list[dict[int, tuple[float, float, float, int]]]) -> None:
+        """The same of some documents, laid one after the other, each from a new block on."""
+        sizes = np.array([len(x) for x in docs])
+        n_blocks = -(-sizes // BLOCK)
+        begin = np.cumsum(n_blocks) - n_blocks
+        ids = np.full(n_blocks.sum() * BLOCK, -1, np.int32)
+        ids[np.repeat(begin * BLOCK - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = np.concatenate(docs)
+        sums, listed = self.windows(ids), ids.tolist()
+        low, high = (begin * BLOCK).tolist(), (begin * BLOCK + sizes).tolist()
+        exact: dict[int, set[tuple[int, int]]] = {}  # of each part the documents and blocks that hold a run of it
+        for at, n, part in self.shared_runs(ids):
+            doc = int(np.searchsorted(begin, at // BLOCK, side="right")) - 1
+            if at + n <= high[doc]:
+                exact.setdefault(part, set()).add((doc, at // BLOCK))
         for width, (parts, vectors) in self.scales.items():
-            n = max(1, len(sums) - width)
-            named = {(min(row, n - 1), k) for k, part in enumerate(parts) for row in exact.get(part, ())}
-            for first in range(0, n, 1024):
-                rows = np.arange(first, min(n, first + 1024))
-                latent = (sums[np.minimum(rows + width, len(sums) - 1)] - sums[rows]).astype(np.float32)
-                near = latent @ vectors / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-                candidates = set(zip(*(x.tolist() for x in np.nonzero(near >= NEAR)), strict=True)) | {(row - first, k) for row, k in named if first <= row < first + 1024}
-                for row, k in sorted(candidates):
-                    self.check(ids, (first + row) * BLOCK, width * BLOCK, parts[k], float(near[row, k]), out)
-        return {i: (near, share, answered, -start) for i, (share, answered, near, start) in out.items()}
-
-    def check(self, ids: np.ndarray, start: int, size: int, part: int, near: float, out: dict[int, tuple[float, float, float, int]]) -> None:
-        """Keeps the part's item in out if the words around the window hold enough of it, and of its answer."""
-        words, answer = self.items.words[part], self.answers[part]
-        around = max(STRIDE, len(words) // 2)
-        context = ids[max(0, start - around) : start + size + around].tolist()
+            n = np.maximum(1, n_blocks - width + 1)
+            doc = np.repeat(np.arange(len(docs)), n)
+            first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n - begin, n)
+            last = np.minimum(first + width, (begin + n_blocks)[doc])
+            for i in range(0, len(doc), 4096):
+                latent = (sums[last[i : i + 4096]] - sums[first[i : i + 4096]]).astype(np.float32)
+                length = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+                product = latent @ vectors
+                row, k = np.nonzero(product >= NEAR * length[:, None])
+                near = product[row, k] / length[row]
+                for d, b, j, x in zip(doc[i + row].tolist(), first[i + row].tolist(), k.tolist(), near.tolist(), strict=True):
+                    self.check(listed, low[d], high[d], b * BLOCK, width * BLOCK, parts[j], x, out[d])
+            for j, part in enumerate(parts):
+                for d, b in exact.get(part, ()):
+                    end = min(b + width, int(begin[d] + n_blocks[d]))
+                    start = max(int(begin[d]), end - width)
+                    own = sums[end] - sums[start]
+                    self.check(listed, low[d], high[d], start * BLOCK, width * BLOCK, part, float(own @ vectors[:, j] / max(np.linalg.norm(own), 1e-9)), out[d])
+
+    def check(self, ids: list[int], low: int, high: int, start: int, size: int, part: int, near: float, out: dict[int, tuple[float, float, float, int]]) -> None:
+        """Keeps the part's item in out if the document's words (low to high) around the window hold enough of it, and of its answer."""
+        words = self.items.words[part]
+        margin = max(STRIDE, len(words) // 2)
+        context = ids[max(low, start - margin) : min(high, start + size + margin)]
+        there = set(context)
+        held = [w in there for w in words]
+        if sum(held) < LIKELY * len(words):  # no more of them can be in order
+            return
+        weights = self.weights[part]
+        light = sum(x for x, y in zip(weights, held, strict=True) if y) < WEIGHT * sum(weights)
+        if light and sum(held) < CLEAR * len(words):
+            return
         share = common_length(self.masks[part], len(words), context) / len(words)
-        if share < HALF:
+        if share < LIKELY or light and share < CLEAR:
             return
+        answer = self.answers[part]
         answered = common_length(self.answer_masks[part], len(answer), context) / len(answer)
-        if share >= CLEAR or answered >= (ANSWER if share >= LIKELY else SURE):
+        if share >= CLEAR or answered >= (ANSWER if share * len(words) >= FEW else SURE):
             item = self.items.item[part]
-            out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (share, answered, near, -start))
+            out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (share, answered, near, low - start))
 
 
 def read_ids(column: pa.Array) -> list[np.ndarray]:
@@ -285,8 +324,8 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
         for batch in batches:
             for part in slices(batch, "ids"):
                 which, out = [], []
-                for i, ids in enumerate(read_ids(part.column("ids"))):
-                    for item, (near, share, answered, start) in search.found(ids).items():
+                for i, found in enumerate(search.found_in(read_ids(part.column("ids")))):
+                    for item, (near, share, answered, start) in found.items():
                         which.append(i)
                         out.append((item, near, share, answered, start))
                 columns = [part.column("doc_id").take(pa.array(which, pa.int64()))]

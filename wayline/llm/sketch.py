@@ -33,7 +33,7 @@ WORDS = 5
 #: Hashes whose highest bits are all zero are kept: one in four.
 LOW_BITS = 2
 #: Documents to a range of ids; splits by quantile; most ranges, whose first ids go through the driver.
-RANGE_ROWS, QUANTILES, MOST_RANGES = 20_000, 256, 100_000
+RANGE_ROWS, QUANTILES, MOST_RANGES = 5_000, 256, 100_000
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -86,7 +86,7 @@ def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     """
     spark = docs.sparkSession
     rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
-    n = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANGE_ROWS)))
+    n = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANGE_ROWS)))  # several to a task, so that tasks are even
     quantiles = min(n, QUANTILES)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / quantiles for i in range(quantiles + 1)], 10_000).alias("q")).first()["q"] or []
     bounds, splits = sorted(set(cuts)), math.ceil(n / quantiles)

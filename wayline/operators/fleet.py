@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import asin, atan2, cos, degrees, radians, sin, sqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,17 +73,25 @@ def eased(shown: float | None, raw: float) -> float:
 
 
 def ratchet(raw: DataFrame, key: str = "key") -> DataFrame:
-    """Published instants: sooner at once, a little later held, much later eased in. raw: key, now_ms, raw_ms."""
-    steps = F.sort_array(F.collect_list(F.struct("now_ms", F.col("raw_ms").cast("double").alias("raw_ms"))))
+    """Published instants: sooner at once, a little later held, much later eased in. raw: key, now_ms, raw_ms.
 
-    def step(state: Column, x: Column) -> Column:
-        shown = state["shown"]
-        drift = x["raw_ms"] - shown
-        now = F.when(shown.isNull() | (drift <= 0), x["raw_ms"]).when(drift < DEADBAND_MS, shown).otherwise(shown + EASE * drift)
-        return F.struct(now.alias("shown"), F.concat(state["out"], F.array(F.struct(x["now_ms"].alias("now_ms"), x["raw_ms"].alias("raw_ms"), now.alias("shown_ms")))).alias("out"))
+    A task streams its keys' rows in order and holds one key's last instant, however many rows it has. A null instant is
+    published as null and changes nothing.
+    """
+    kind = raw.schema[key].dataType.simpleString()
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shown = None, None
+        for batch in batches:
+            out = []
+            for k, value in zip(batch.column(key).to_pylist(), batch.column("raw_ms").to_pylist(), strict=True):
+                before = shown if k == own else None
+                own, shown = k, before if value is None else eased(before, value)
+                out.append(None if value is None else shown)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("now_ms"), batch.column("raw_ms"), pa.array(out, pa.float64())], names=[key, "now_ms", "raw_ms", "shown_ms"])
 
-    start = F.struct(F.lit(None).cast("double").alias("shown"), F.array().cast("array<struct<now_ms:bigint,raw_ms:double,shown_ms:double>>").alias("out"))
-    return raw.groupBy(key).agg(steps.alias("s")).select(key, F.inline(F.aggregate("s", start, step)["out"]))
+    rows = raw.select(key, "now_ms", F.col("raw_ms").cast("double").alias("raw_ms")).repartition(key).sortWithinPartitions(key, "now_ms", "raw_ms")
+    return rows.mapInArrow(publish, f"{key} {kind}, now_ms {raw.schema['now_ms'].dataType.simpleString()}, raw_ms double, shown_ms double")
 
 
 def in_service(standing_s: Column, age_s: Column) -> Column:
@@ -96,14 +105,28 @@ def estimate_seconds(distance: Column, kmh: Column, between: Column, standing_s:
 
 
 def asof_along(stops: DataFrame, vehicles: DataFrame, on: list[str], passed: float = 40.0) -> DataFrame:
-    """For each stop the vehicle of its line that is nearest and has not passed it: adds ``plate`` and ``distance``.
+    """For each stop the vehicle of its line that is nearest and has not passed it: adds the vehicle's columns and ``distance``.
 
-    stops: on, stop_id, along; vehicles: on, plate, v_along and more. Ties go to the first plate.
+    stops: on, along and more; vehicles: on, plate, v_along and more. Ties go to the first plate. Stops and vehicles lie in one
+    order along the line, and each stop takes the last vehicle before it: no pairs are made.
     """
-    both = stops.join(vehicles, on).withColumn("distance", F.col("along") - F.col("v_along")).where(F.col("distance") >= -passed)
     rest = [c for c in vehicles.columns if c not in on]
-    best = F.min(F.struct(F.round("distance", 3).alias("_d"), *rest, "distance")).alias("b")
-    return both.groupBy(*on, "stop_id", "along").agg(best).select(*on, "stop_id", "along", *(f"b.{c}" for c in rest), "b.distance")
+    own = [c for c in stops.columns if c not in on]
+    points = stops.select(*on, (F.col("along") + passed).alias("_pos"), F.lit(1).alias("_kind"), F.struct(*own).alias("_stop"))
+    moving = vehicles.select(*on, F.col("v_along").alias("_pos"), F.lit(0).alias("_kind"), F.struct(*rest).alias("_vehicle"))
+    order = Window.partitionBy(*on).orderBy("_pos", "_kind", F.col("_vehicle.plate").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(moving, allowMissingColumns=True).withColumn("_last", F.last("_vehicle", ignorenulls=True).over(order))
+    found = both.where("_kind = 1 and _last is not null").select(*on, "_stop.*", "_last.*")
+    return found.withColumn("distance", F.col("along") - F.col("v_along"))
+
+
+def stops_up_to(stops: DataFrame, vehicles: DataFrame, on: list[str]) -> DataFrame:
+    """The vehicles with ``n_passed``, the stops of their line at their place or before."""
+    points = stops.select(*on, F.col("along").alias("_pos"), F.lit(0).alias("_kind"))
+    moving = vehicles.select(*on, F.col("v_along").alias("_pos"), F.lit(1).alias("_kind"), F.struct(*vehicles.columns).alias("_vehicle"))
+    order = Window.partitionBy(*on).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = points.unionByName(moving, allowMissingColumns=True).withColumn("n_passed", F.count_if(F.col("_kind") == 0).over(order))
+    return both.where("_kind = 1").select("_vehicle.*", "n_passed")
 
 
 def replay(samples: Iterator[tuple[float, float, int]]) -> list[State]:

@@ -148,10 +148,9 @@ BETWEEN = f"""{ASOF}, between_ as (select n.stop_id, count(s.stop_id) as stops f
 def stops_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of matches with ``between``, the stops strictly between vehicle and stop; counted by rank in one merged order."""
     stops = along_stops(spark, sf_dir).select(*LEG, "stop_id", "along")
-    found = fleet.asof_along(stops, vehicles(spark, sf_dir), LEG)
-    other = stops.select(*LEG, F.col("along").alias("s_along"))
-    counts = found.join(other, LEG, "left").groupBy("stop_id").agg(F.count_if((F.col("s_along") > F.col("v_along")) & (F.col("s_along") < F.col("along"))).alias("between"))
-    return found.join(counts, "stop_id")
+    ranked = stops.withColumn("n_before", F.rank().over(Window.partitionBy(*LEG).orderBy("along")) - 1)
+    found = fleet.asof_along(ranked, fleet.stops_up_to(stops, vehicles(spark, sf_dir), LEG), LEG)
+    return found.withColumn("between", F.greatest(F.col("n_before") - F.col("n_passed"), F.lit(0)).cast("bigint"))
 
 
 @query("a07_stops_between", f"{BETWEEN} select stop_id, stops from between_")

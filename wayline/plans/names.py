@@ -253,6 +253,33 @@ def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(asked(spark, sf_dir), areas, rows, houses, places)
 
 
+#: Kinds of places, dealt to parts.
+KINDS = (*sorted(search.TYPE_WORDS), "unknown")
+KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in KINDS) + f"][p_partkey % {len(KINDS)} + 1]"
+KIND_WORDS = ", ".join(f"('{k}', '{w}')" for k, w in search.TYPE_WORDS.items())
+
+
+@query("k14_type_words", f"""with words(kind, w) as (values {KIND_WORDS}), place as (select p_partkey, {KINDS_SQL} as kind from part)
+select p_partkey, array_to_string(list_sort(list_distinct(string_split(replace(coalesce(w, ''), 'й', 'и'), ' '))), ',') as words from place left join words using (kind)""")
+def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that each kind of place is asked for by."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (key() % len(KINDS) + 1).cast("int"))
+    found = search.with_type_words(parts(spark, sf_dir).withColumn("kind", kind), "kind")
+    return found.select("p_partkey", F.array_join(F.array_sort("types"), ",").alias("words"))
+
+
+@query("k14_places_by_kind", f"""with place as (select p_partkey as id, {KINDS_SQL} as kind from part),
+q(query_id, kind) as (values (0, 'pharmacy'), (1, 'cafe'), (2, 'hotel'), (3, 'hospital'))
+select q.query_id, place.id from q join place using (kind)""")
+def k14_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places found by a word for their kind alone, in three languages."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (key() % len(KINDS) + 1).cast("int"))
+    named = parts(spark, sf_dir).select(key().alias("record_id"), F.array(F.concat(F.lit("n"), key().cast("string"))).alias("words"), kind.alias("kind"))
+    typed = spark.createDataFrame([(0, "аптека"), (1, "coffee"), (2, "отель"), (3, "госпиталь")], "query_id int, text string")
+    found = search.matched(search.typed(typed), search.with_type_words(named, "kind"))
+    return found.select("query_id", F.col("record_id").alias("id"))
+
+
 #: Feed names made from parts' names, each spoilt in one of six ways.
 SPOILT = """feed as (select distinct case p_partkey % 6 when 0 then p_name when 1 then upper(p_name) || '!' when 2 then regexp_extract(p_name, '[a-z]+$') || ' ' || regexp_extract(p_name, '^[a-z]+')
   when 3 then p_name || ' street' when 4 then p_name[1:2] || p_name[4:] else 'zzqq ' || p_name end as name from part)"""

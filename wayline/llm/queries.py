@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import bpe, chat, decontaminate, quality, secrets, shards, simhash, sketch, tokencount, toxicity
+from wayline.llm import bpe, chat, decontaminate, divergence, quality, rendezvous, secrets, shards, simhash, sketch, sql, structure, tokencount, toxicity
 from wayline.llm.common import crc_mod, read, shared_dir
 
 
@@ -84,6 +84,22 @@ def op10_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sketch_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op12_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = rendezvous.placed(read(spark, sf_dir, "documents"), [1.0] * SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return structure.digests(structure.repaired(structure.damaged(conversations)), conversations)
+
+
+SHARDS = 40
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_latent_decontamination": op1_latent_decontamination,
     "op2_bpe_tree": op2_bpe_tree,
@@ -95,6 +111,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_training_order": op8_training_order,
     "op9_role_repair": op9_role_repair,
     "op10_secret_trigrams": op10_secret_trigrams,
+    "op11_sketch_divergence": op11_sketch_divergence,
+    "op12_rendezvous_shards": op12_rendezvous_shards,
+    "op13_structure_repair": op13_structure_repair,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_sketch_divergence": sql.OP11.format(least=divergence.LEAST_DOCS, top=divergence.TOP),
+    "op12_rendezvous_shards": sql.op12(SHARDS, rendezvous.BUCKETS, rendezvous.OVERHEAD),
+    "op13_structure_repair": sql.OP13,
+}

@@ -77,13 +77,13 @@ def terms_of(text: bytes) -> Iterator[list[bytes]]:
         part = text[start:end].translate(LETTERS)
         if end < len(text):
             cut = part.rfind(b" ")
-            while cut < 0 and end < len(text):  # a term as long as this
+            while cut < 1 and end < len(text):  # a term as long as this
                 more = text[end : end + CHUNK_BYTES].translate(LETTERS)
                 at = more.find(b" ")
                 part, end = part + (more if at < 0 else more[:at]), end + (len(more) if at < 0 else at)
                 if at >= 0:
                     break
-            if cut >= 0:
+            if cut > 0:
                 part, end = part[:cut], start + cut
         yield part.split()
         start = end

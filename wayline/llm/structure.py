@@ -59,6 +59,8 @@ FAR = 1 << 40
 SPACE = " \t\n\x0b\x0c\r"
 #: Kinds of turns: initial s, u, a or another, then the same unfinished, then those that must go.
 GONE, KINDS = 8, 9
+#: How much dearer than from the column's state the rest of a conversation can be from the row's, whatever comes: an s is deleted, a turn put in.
+SLACK = ((0, 0, INSERT, 0), (2 * INSERT, 0, INSERT, 2 * INSERT), (DELETE + INSERT, INSERT, 0, INSERT), (DELETE, 0, INSERT, 0))
 Vector = tuple[int, ...]
 
 
@@ -99,9 +101,9 @@ class Automaton:
     tight: dict[tuple[int, int, int, bool], tuple[int, tuple[tuple[str, int] | None, ...]]] = field(default_factory=dict)
 
     def number(self, vector: Vector) -> tuple[int, int]:
-        """The state of a vector of costs, and what was taken off it."""
+        """The state of a vector of costs, and what was taken off it. Costs that no cheapest way can have any more count as none."""
         least = min(vector)
-        flat = tuple(min(v - least, FAR) if v < FAR else FAR for v in vector)
+        flat = tuple(FAR if v >= FAR or any(v > vector[k] + SLACK[k][q] for k in range(STATES)) else v - least for q, v in enumerate(vector))
         if flat not in self.numbers:
             self.numbers[flat] = len(self.vectors)
             self.vectors.append(flat)

@@ -41,7 +41,7 @@ LEAST_DOCS, PRIOR, WHOLE, TOP = 30, 5, 1_000_000_000, 50
 #: Rows and cells of the sketch, cells of a block of it, and parts that tasks' blocks are first merged in.
 DEPTH, WIDTH, BLOCK, PARTS = 3, 1 << 21, 1 << 16, 64
 #: Terms that a task holds before it gives them out.
-HELD = 300_000
+HELD = 500_000
 CHUNK_BYTES = 4 << 20
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -99,24 +99,30 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
+def cells_for(least: int) -> type:
+    """The type of a cell, which counts to ``least``."""
+    return np.uint8 if least < 256 else np.uint32
+
+
 def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Saturating sums of blocks of equal number; rows are sorted by it. Holds one block."""
+    kind = cells_for(most)
     own, total = None, None
     for batch in batches:
         for block, cells in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            each = np.frombuffer(cells, np.uint32).astype(np.int64)
+            each = np.frombuffer(cells, kind).astype(np.int64)
             if block != own:
                 if own is not None:
-                    yield block_row(own, 0, total)
+                    yield block_row(own, 0, total.astype(kind))
                 own, total = block, each
             else:
                 total = np.minimum(total + each, most)
     if own is not None:
-        yield block_row(own, 0, total)
+        yield block_row(own, 0, total.astype(kind))
 
 
 def block_row(block: int, part: int, cells: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"block": [block], "part": [part], "cells": [cells.astype(np.uint32).tobytes()]}, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())]))
+    return pa.RecordBatch.from_pydict({"block": [block], "part": [part], "cells": [cells.tobytes()]}, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())]))
 
 
 def sketch(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH, width: int = WIDTH) -> Sketch:
@@ -124,7 +130,7 @@ def sketch(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH, width:
     blocks = -(-width // BLOCK)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((depth, blocks * BLOCK), np.uint32)
+        cells = np.zeros((depth, blocks * BLOCK), cells_for(least))
         held: dict[str, Counter[bytes]] = {}
 
         def add() -> None:
@@ -132,7 +138,7 @@ def sketch(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH, width:
                 terms, counts = list(found), np.fromiter(found.values(), np.int64, len(found))
                 for row, places in zip(cells, places_of(lang.encode(), terms, depth, width), strict=True):
                     at, which = np.unique(places, return_inverse=True)
-                    row[at] = np.minimum(row[at] + np.bincount(which, counts).astype(np.int64), least)
+                    row[at] = np.minimum(row[at] + np.bincount(which, counts).astype(np.int64), least)  # numbers of 64 bits until they are cut
             held.clear()
 
         size = 0
@@ -161,9 +167,9 @@ def sketch(docs: DataFrame, least: int = LEAST_DOCS, depth: int = DEPTH, width:
     found = twice.select("block", "cells").collect()  # depth x width cells
     if not found:
         return Sketch(None, least)
-    cells = np.zeros((depth * blocks, BLOCK), np.uint8 if least < 256 else np.uint32)
+    cells = np.zeros((depth * blocks, BLOCK), cells_for(least))
     for r in found:
-        cells[r.block] = np.frombuffer(r.cells, np.uint32)
+        cells[r.block] = np.frombuffer(r.cells, cells.dtype)
     return Sketch(cells.reshape(depth, blocks * BLOCK)[:, :width], least)
 
 
@@ -201,7 +207,8 @@ def counts(docs: DataFrame, limits: Sketch) -> DataFrame:
         yield from given()
 
     each = narrow(docs).mapInArrow(per_task(tasks), "lang string, source string, term string, n bigint, n_docs bigint")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    # each task has a row for a term and source already, and what follows needs a term's sources together
+    return each.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:

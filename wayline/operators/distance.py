@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +11,8 @@ from pyspark.sql.window import Window
 from wayline.functions import geo
 
 
-def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """Pairs of (lat, lon) and (r_lat, r_lon) rows at most so far apart, with ``metres``.
+def within(left: DataFrame, right: DataFrame, metres: float, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs of (lat, lon) and (r_lat, r_lon) rows at most so far apart, and equal in the columns ``on``, with ``metres``.
 
     Both sides meet in grid cells at least that wide, whose degrees of longitude grow with the band's latitude; the left
     row goes to its own and the eight around, round the globe, so the join is an equi-join of cells and no pair is missed
@@ -26,7 +28,7 @@ def within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     around = F.array_distinct(F.filter(around, lambda c: (c >= -last - 1) & (c <= last)))
     l_ = left.withColumn("_y", F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1))).withColumn("_x", F.explode(around))
     r_ = right.withColumn("_y", band(F.col("r_lat"))).withColumn("_x", x(F.col("r_lon")))
-    both = l_.join(r_, ["_y", "_x"]).drop("_y", "_x")
+    both = l_.join(r_, ["_y", "_x", *on]).drop("_y", "_x")
     return both.withColumn("metres", geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))).where(F.col("metres") <= metres)
 
 

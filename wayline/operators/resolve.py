@@ -15,7 +15,8 @@ from wayline.operators.stages import tabled
 #: Short forms and numerals of the names' words, words for the kind of street, and others that name nothing.
 SHORT = {"წმ": "წმინდა", "გენ": "გენერალ", "ქ": "ქუჩა", "ქუჩ": "ქუჩა", "აკად": "აკადემიკოს", "გამზ": "გამზირი", "შეს": "შესახვევი"}
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
-TYPES = ("ქუჩა", "გამზირი", "ჩიხი", "შესახვევი", "მოედანი", "გზატკეცილი", "street", "ave", "st")
+TYPES = ("ქუჩა", "გამზირი", "გამზირ", "ჩიხი", "ჩიხ", "შესახვევი", "შესახვევ", "მოედანი", "მოედან", "გზატკეცილი", "გზატკეცილ", "street", "ave", "st")
+TYPE_ALIAS = {"ქ": "ქუჩა", "ქუჩ": "ქუჩა", "street": "ქუჩა", "st": "ქუჩა", "ave": "გამზირი"}
 EMPTY = ("და",)
 MOST_EDITS = 3
 
@@ -41,11 +42,13 @@ def with_keys(df: DataFrame, name: str, prefix: str = "") -> DataFrame:
     t = F.col(f"{prefix}tokens")
     df = df.withColumn(f"{prefix}tokens", tokens(F.col(name)))
     content = F.filter(t, lambda x: ~x.isin(*TYPES, *EMPTY) & (F.length(x) > 2))
+    kind = F.get(F.filter(t, lambda x: x.isin(*TYPES)), F.lit(0))
+    alias = F.create_map(*(F.lit(x) for pair in TYPE_ALIAS.items() for x in pair))
     df = df.withColumn(f"{prefix}stems", F.array_sort(F.filter(F.transform(content, stem), lambda x: F.length(x) > 2)))
     return df.withColumns({
         f"{prefix}near": F.array_join(t, " "), f"{prefix}sorted": F.array_join(F.array_sort(t), " "), f"{prefix}stem": F.array_join(f"{prefix}stems", ""),
         f"{prefix}digits": F.array_join(F.array_sort(F.flatten(F.transform(t, lambda x: F.regexp_extract_all(x, F.lit(r"(\d+)"))))), ","),
-        f"{prefix}type": F.get(F.filter(t, lambda x: x.isin(*TYPES)), F.lit(0)),
+        f"{prefix}type": F.coalesce(F.try_element_at(alias, kind), kind),
     }).drop(f"{prefix}tokens")
 
 
@@ -163,38 +166,6 @@ def localities_of_areas(points: DataFrame, edges: DataFrame, levels: DataFrame,
     return all_.select("point_id", F.coalesce(F.when(F.col("level") >= 8, F.col("held")), "village", "held", F.lit(-1)).alias("area_id"))
 
 
-def same_street(a: Column, b: Column) -> Column:
-    """Two sorted arrays of stems: each word of the shorter is close to one of the longer."""
-    close = lambda x, y: (x == y) | ((F.least(F.length(x), F.length(y)) >= 5) & (F.levenshtein(x, y, 2) >= 0))
-    covers = lambda short, long: F.forall(short, lambda x: F.exists(long, lambda y: close(x, y)))
-    return F.when(F.least(F.size(a), F.size(b)) == 0, False).when(F.size(a) <= F.size(b), covers(a, b)).otherwise(covers(b, a))
-
-
-def same_words(a: Column, b: Column) -> Column:
-    """Two translated names: the same numbers, and each other word of the shorter is close to one of the longer."""
-    own, other = text.translated_words(a), text.translated_words(b)
-    is_number = lambda w: w.rlike(r"^\d")
-    numbers = lambda words: F.array_join(F.filter(words, is_number), ",")
-    rest = lambda words: F.filter(words, lambda w: ~is_number(w))
-    return (numbers(own) == numbers(other)) & same_street(rest(own), rest(other))
-
-
-def streets_of(houses: DataFrame, vertices: DataFrame, exact: float = 1500, respelled: float = 400) -> DataFrame:
-    """The street of each house: the nearest of its very name, else the nearest of a like name, else one of its own.
-
-    houses: house_id, name, lat, lon; vertices: street_id, s_name, r_lat, r_lon. Adds street_id (null: not drawn yet) and how.
-    """
-    mine = with_keys(houses, "name")
-    theirs = with_keys(vertices, "s_name", "s_")
-    close = within(mine, theirs, exact)
-    distance = geo.flat_metres(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    close = close.withColumn("metres", F.round(distance, 3))
-    first = close.where("name = s_name").withColumn("how", F.lit("exact"))
-    like = close.where((F.col("metres") < respelled) & (F.col("digits") == F.col("s_digits")) & same_street(F.col("stems"), F.col("s_stems"))).where("name <> s_name").withColumn("how", F.lit("respelled"))
-    both = first.unionByName(like).groupBy("house_id").agg(F.min(F.struct("how", "metres", "street_id")).alias("b"))
-    return houses.join(both, "house_id", "left").select("house_id", "name", "b.street_id", F.coalesce("b.how", F.lit("new")).alias("how"))
-
-
 def spread(rows: DataFrame, keys: list[str], order: str, metres: float) -> DataFrame:
     """Rows of each key that no kept row before them is nearer to than that, in order; a key's rows are one group.
 

@@ -28,6 +28,15 @@ def tabled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what ``tabled`` wrote for these; nothing may be read from them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+            at = context._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the folder that all machines share, without the plan that led to them."""
     shared_folder(df.sparkSession)

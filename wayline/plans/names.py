@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayline.functions import text
 from wayline.operators import resolve, search
+from wayline.operators.streets import same_words, streets_of
 from wayline.plans.base import query
 from wayline.sources.tables import stop_legs, table
 
@@ -110,7 +112,7 @@ def t36(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, name = key() % 5, F.col("p_name")
     turned = F.concat_ws(" ", F.reverse(F.split(name, " ")))
     other = F.when(v == 0, F.concat(F.lit("ул. "), F.upper(name), F.lit(", 7"))).when(v == 1, F.concat(F.lit("7 "), turned)).when(v == 2, F.concat(name, F.lit(" 8"))).when(v == 3, F.concat(name, F.lit("s 7 st"))).otherwise(F.lit("Street 7"))
-    return parts(spark, sf_dir).select("p_partkey", resolve.same_words(F.concat(name, F.lit(" Street 7")), other).alias("same"))
+    return parts(spark, sf_dir).select("p_partkey", same_words(F.concat(name, F.lit(" Street 7")), other).alias("same"))
 
 
 @query("t29_fold", "select doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}/]+', ' ', 'g')) as folded from documents")
@@ -358,14 +360,41 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("point_id").alias("stop_id"), "area_id")
 
 
-@query("j16_street_cascade")
+CLOSE = "len(list_filter({0}, lambda x: len(list_filter({1}, lambda y: x = y or (least(length(x), length(y)) >= 5 and levenshtein(x, y) <= 2))) = 0)) = 0"
+COVERS = "case when len({0}) <= len({1}) then " + CLOSE + " else " + CLOSE.replace("{0}", "{2}").replace("{1}", "{0}").replace("{2}", "{1}") + " end"
+FLAT = "round(sqrt(pow(({3} - {1})*111320e0*cos(radians(({0} + {2})/2)), 2) + pow(({2} - {0})*111320e0, 2)), 3)"
+
+
+@query("j16_street_cascade", f"""with recursive owner as (select stop_id, route_id, lat, lon, p_name, stop_id % 7 as v, string_split(p_name, ' ') as own from stop_leg join part on p_partkey = stop_id),
+house as (select stop_id as house_id, lat, lon, v, own, case when v < 3 then p_name when v = 3 then own[2] || ' ' || own[1] || ' ქუჩა' when v = 4 then p_name || ' Street' when v = 5 then 'Улица ' || p_name else p_name || ' 3' end as name,
+  own || case v when 4 then ['street'] when 5 then ['улица'] else [] end as stems from owner),
+road as (select min(stop_id) over (partition by route_id, p_name) as street_id, * from owner where stop_id % 5 < 2 and route_id % 3 = 0),
+vertex as (select street_id, lat as r_lat, lon as r_lon, own as r_own, case when street_id % 2 = 0 then p_name else 'გზა' || route_id end as s_name, case when street_id % 2 = 0 then own else ['გზა' || route_id] end as s_stems from road),
+pair as (select house_id, name, v, own, stems, street_id, s_name, r_own, s_stems, {FLAT.format("lat", "lon", "r_lat", "r_lon")} as metres from house join vertex on abs(lat - r_lat) < 0.014 and abs(lon - r_lon) < 0.02),
+exact as (select house_id, arg_min(street_id, {{'m': metres, 's': street_id}}) as street_id, min(metres) as d from pair where name = s_name and metres < 1500 group by house_id),
+likely as (select *, case when v <> 6 and {COVERS.format("stems", "s_stems")} then 0 when v not in (3, 6) and {COVERS.format("own", "r_own")} then 1 end as tier from pair where metres < 400 and house_id not in (select house_id from exact)),
+best as (select house_id, arg_min(street_id, {{'t': tier, 'm': metres, 's': street_id}}) as street_id, min(tier) as tier from likely where tier is not null group by house_id),
+turn as (select h.house_id, h.name, h.lat, h.lon, coalesce(e.street_id, b.street_id) as told, coalesce(e.d, 1500) as reach, case when e.d is not null then 'exact' when b.tier = 0 then 'respelled' when b.tier = 1 then 'translated' end as told_how,
+  row_number() over (partition by h.name order by h.house_id) as n from house h left join exact e using (house_id) left join best b using (house_id)),
+fold as (
+  select name, 0::bigint as n, null::bigint as house_id, null::bigint as street_id, null::varchar as how, []::struct(lat double, lon double, first bigint)[] as points from turn group by name
+  union all
+  select name, n, house_id, coalesce(-1 - joined, told, -1 - house_id), case when joined is not null then 'joined' when told is not null then told_how else 'new' end,
+    case when joined is not null or told is null then list_append(points, {{'lat': lat, 'lon': lon, 'first': coalesce(joined, house_id)}}) else points end
+  from (select t.*, points, list_min(list_filter(list_transform(points, lambda q: {{'m': {FLAT.format("t.lat", "t.lon", "q.lat", "q.lon")}, 'first': q.first}}), lambda q: q.m < t.reach))['first'] as joined
+    from fold join turn t on t.name = fold.name and t.n = fold.n + 1) step)
+select house_id, name, street_id, how from fold where n > 0""")
 def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The street of each house: of its very name nearby, else of a like name closer by, else none."""
-    stops = stop_legs(spark, sf_dir)
-    rows = stops.join(parts(spark, sf_dir).withColumnRenamed("p_partkey", "stop_id"), "stop_id")
-    houses = rows.select(F.col("stop_id").alias("house_id"), F.when(F.col("stop_id") % 3 == 0, F.concat("p_name", F.lit("s street"))).otherwise(F.col("p_name")).alias("name"), "lat", "lon")
-    drawn = rows.where("stop_id % 5 < 3").select(F.col("route_id").alias("street_id"), F.col("p_name").alias("s_name"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    return resolve.streets_of(houses, drawn)
+    """The street of each house: of its very name nearby, of another spelling closer by, of a translated name, or a new one that grows."""
+    stops = stop_legs(spark, sf_dir).select("stop_id", "route_id", "lat", "lon")
+    rows = stops.join(parts(spark, sf_dir).select(key().alias("stop_id"), "p_name"), "stop_id").withColumn("v", F.col("stop_id") % 7)
+    turned = F.concat(F.regexp_extract("p_name", r"\S+$", 0), F.lit(" "), F.regexp_extract("p_name", r"^\S+", 0), F.lit(" ქუჩა"))
+    spelled = F.when(F.col("v") < 3, F.col("p_name")).when(F.col("v") == 3, turned).when(F.col("v") == 4, F.concat("p_name", F.lit(" Street"))).when(F.col("v") == 5, F.concat(F.lit("Улица "), "p_name")).otherwise(F.concat("p_name", F.lit(" 3")))
+    houses = rows.select(F.col("stop_id").alias("house_id"), spelled.alias("name"), "lat", "lon")
+    roads = rows.where("stop_id % 5 < 2 and route_id % 3 = 0").withColumn("street_id", F.min("stop_id").over(Window.partitionBy("route_id", "p_name")))
+    own = F.when(F.col("street_id") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("გზა"), "route_id"))
+    drawn = roads.select("street_id", own.alias("s_name"), F.concat(F.lit("улица "), "p_name").alias("s_ru"), F.concat("p_name", F.lit(" Street")).alias("s_en"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    return streets_of(houses, drawn)
 
 
 @query("s11_feed_names", "select trim(p_name) as name, count(*) as poles from part group by p_name")

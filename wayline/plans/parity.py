@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions import geo, text
-from wayline.operators import distance, fleet, planner, resolve, search
+from wayline.operators import distance, fleet, planner, search, streets
 from wayline.plans.base import haversine, query
 from wayline.plans.journeys import options
 from wayline.sources.tables import pings, stop_legs, table
@@ -162,8 +162,8 @@ def t35(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One street under two spellings: turned round, with its kind, or with another number, which it isn't."""
     k = F.col("p_partkey")
     other = F.when(k % 4 == 0, F.concat_ws(" ", F.regexp_extract("p_name", r"\S+$", 0), F.regexp_extract("p_name", r"^\S+", 0))).when(k % 4 == 1, F.concat("p_name", F.lit(" street"))).when(k % 4 == 2, F.upper("p_name")).otherwise(F.concat(F.lit("7 "), "p_name"))
-    rows = resolve.with_keys(resolve.with_keys(parts(spark, sf_dir).withColumn("other", other), "p_name", "a_"), "other", "b_")
-    same = resolve.same_street(F.col("a_stems"), F.col("b_stems")) & (F.col("a_digits") == F.col("b_digits"))
+    rows = parts(spark, sf_dir)
+    same = streets.same_street(streets.street_key(F.col("p_name")), streets.street_key(other))
     return rows.select("p_partkey", same.alias("same"))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from math import pi
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.operators import areas, resolve
+from wayline.operators.stages import shared_folder
 from wayline.plans.base import haversine, query
+from wayline.sources import elements
 from wayline.sources.tables import stop_legs, table
 
 POINTS, SKIP = 7, 3
@@ -74,3 +77,64 @@ def j15(spark: SparkSession, sf_dir: str) -> DataFrame:
     villages = stops.where("stop_id % 40 = 0").select(F.col("stop_id").alias("area_id"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
     found = resolve.localities_of_areas(stops.select(F.col("stop_id").alias("point_id"), "lat", "lon"), edges(spark, sf_dir), levels, villages, 700)
     return found.select(F.col("point_id").alias("stop_id"), "area_id")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network as map elements, written as documents and read back: stops as nodes, directions as ways, lines as areas of both.
+
+    Every fifth way carries its geometry, the others name their nodes; every eleventh node is missing; a line's ways are its border,
+    the second one backwards, and a label and an admin centre name nodes of the first.
+    """
+    stops = stop_legs(spark, sf_dir).withColumn("way_id", F.col("route_id") * 2 + F.col("direction"))
+    point = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+    node = stops.where("stop_id % 11 > 0").select(F.lit("node").alias("type"), F.col("stop_id").alias("id"), "lat", "lon", F.create_map(F.lit("name"), F.concat(F.lit("Stop "), "stop_id")).alias("tags"), F.col("route_id").alias("line"))
+    chain = F.sort_array(F.collect_list(F.struct("seq", "stop_id", "lat", "lon")))  # of one direction
+    way = stops.groupBy("route_id", "way_id").agg(chain.alias("c"), F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
+    inline = F.col("way_id") % 5 == 0
+    way = way.select(
+        F.lit("way").alias("type"), F.col("way_id").alias("id"), point(F.col("c_lat"), F.col("c_lon")).alias("center"), F.when(~inline, F.transform("c", lambda x: x["stop_id"])).alias("nodes"),
+        F.when(inline, F.transform("c", lambda x: point(x["lat"], x["lon"]))).alias("geometry"), F.col("route_id").alias("line"),
+    )
+    member = lambda kind, ref, role: F.struct(F.lit(kind).alias("type"), ref.cast("bigint").alias("ref"), F.lit(role).alias("role"))
+    line = F.col("route_id")
+    relation = stops.select("route_id").distinct().select(
+        F.lit("relation").alias("type"), line.alias("id"),
+        F.array(member("node", line, "admin_centre"), member("way", line * 2 + 2, "inner"), member("way", line * 2 + 1, "outer"), member("way", line * 2 + 2, "part"), member("node", line + 25, "label"), member("node", line + 50, "label")).alias("members"),
+        line.alias("line"),
+    )
+    every = node.unionByName(way, allowMissingColumns=True).unionByName(relation, allowMissingColumns=True)
+    fields = [c for c in every.columns if c != "line"]
+    at = f"{shared_folder(spark)}/elements-{uuid.uuid4().hex}"
+    every.groupBy("line", (F.xxhash64("type", "id") % 7).alias("part")).agg(F.collect_list(F.struct(*fields)).alias("elements")).select("elements").write.json(at)  # small documents
+    return elements.read_elements(spark, at)
+
+
+ELEMENTS = """leg as (select *, route_id*2 + direction as way_id, (route_id*2 + direction) % 5 = 0 as inline from stop_leg),
+vertex as (select way_id, route_id, seq as i, lat, lon from leg where inline or stop_id % 11 > 0),
+hop as (select way_id, route_id, i, lag(i) over w as before, lag(lat) over w as a_lat, lag(lon) over w as a_lon, lat as b_lat, lon as b_lon from vertex window w as (partition by way_id order by i)),
+border as (select route_id as area_id, case when way_id % 2 = 0 then 1 else 2 end as member, i, a_lat, a_lon, b_lat, b_lon from hop where before = i - 1),
+named as (select route_id as area_id, stop_id, lat, lon, case when stop_id >= 50 then 0 when stop_id >= 25 then 1 else 2 end as rank from stop_leg where stop_id < 75 and stop_id % 11 > 0)"""
+
+
+@query("s09_area_edges", f"with {ELEMENTS} select * from border")
+def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the lines' borders, from documents whose relations name ways and whose ways name nodes."""
+    return elements.area_edges(documents(spark, sf_dir))
+
+
+@query("s09_area_shapes", f"""with {ELEMENTS}, box as (select area_id, min(least(a_lat, b_lat)) as south, max(greatest(a_lat, b_lat)) as north, min(least(a_lon, b_lon)) as west, max(greatest(a_lon, b_lon)) as east from border group by area_id),
+label as (select area_id, arg_min(lat, rank) as lat, arg_min(lon, rank) as lon from named group by area_id)
+select area_id, round(south, 7) as south, round(north, 7) as north, round(west, 7) as west, round(east, 7) as east, round(coalesce(label.lat, (south + north)/2), 7) as lat, round(coalesce(label.lon, (west + east)/2), 7) as lon from box left join label using (area_id)""")
+def s09_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes and label points of the same areas."""
+    found = documents(spark, sf_dir)
+    return areas.shapes(elements.area_edges(found), elements.area_labels(found)).select("area_id", *(F.round(c, 7).alias(c) for c in ("south", "north", "west", "east", "lat", "lon")))
+
+
+@query("s09_places", """select * from (
+  select 'node' as type, stop_id as id, round(lat, 7) as lat, round(lon, 7) as lon, 2 as rank, 'Stop ' || stop_id as name from stop_leg where stop_id % 11 > 0
+  union all select 'way', route_id*2 + direction, round(avg(lat), 7), round(avg(lon), 7), 0, null from stop_leg group by route_id, direction) where lat between 41.5 and 41.56 and lon between 41.5 and 41.53""")
+def s09_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements inside a box, by their centre or their own place."""
+    found = elements.places(documents(spark, sf_dir), 41.5, 41.5, 41.56, 41.53)
+    return found.select("type", "id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.col("rank").cast("int").alias("rank"), F.try_element_at("tags", F.lit("name")).alias("name"))

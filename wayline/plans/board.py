@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions import clock, geo
-from wayline.operators import distance, fleet, linear, timetable
+from wayline.operators import distance, fleet, linear, order, timetable
 from wayline.plans.base import bearing, haversine, query
 from wayline.sources.tables import departures, pings, running_times, stop_legs
 
@@ -216,7 +216,7 @@ def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wayline.sources.tables import table
 
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(timetable.upper_median(F.col("o_totalprice")).alias("middle"))
+    return order.upper_median(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
 
 
 @query("w02_planner_minutes", f"{STOPS} select stop_id, round(along*1.08e0, 2) as metres, round(along*1.08e0/(19.6e0*1000/60), 4) as minutes from stop")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from wayline.functions import geo
 from wayline.operators import distance, linear
-from wayline.operators.timetable import upper_median
+from wayline.operators.order import upper_median
 from wayline.plans.base import SEGMENTS, bearing, foot, haversine, query
 from wayline.sources.tables import pings, shape_points, stop_legs
 
@@ -126,8 +126,9 @@ def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range of places along the line, and the fit, of each direction."""
     found = linear.match_chain(chain_of(spark, sf_dir), linear.segments(forward_points(spark, sf_dir)))
-    way = F.when(F.col("ord") < 1_000_000, 1).otherwise(2).alias("direction")
-    return found.groupBy("route_id", way).agg(F.round(F.min("along"), 3).alias("first"), F.round(F.max("along"), 3).alias("last"), F.round(upper_median(F.col("offset")), 3).alias("fit"))
+    found = found.withColumn("direction", F.when(F.col("ord") < 1_000_000, 1).otherwise(2))
+    ends = found.groupBy("route_id", "direction").agg(F.round(F.min("along"), 3).alias("first"), F.round(F.max("along"), 3).alias("last"))
+    return ends.join(upper_median(found, ["route_id", "direction"], "offset", "fit"), ["route_id", "direction"]).withColumn("fit", F.round("fit", 3))
 
 
 @query("g11_bearing_at_along", f"""{SEGMENTS}, spot as (select distinct route_id, (route_id*131) % 3000 + 0e0 as a from stop_leg),

@@ -55,6 +55,31 @@ def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.appended(once.select("user_id", "minute")).groupBy("user_id").agg(F.count("*").alias("minutes"))
 
 
+DAY_MS = 86_400_000
+
+
+def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a poll of its user's line, which failed if it is an error."""
+    return run.table_stream(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"), (F.col("event_type") != "error").alias("ok"))
+
+
+@query("r08_missed_polls", f"""with e as (select user_id, event_id, epoch_us(ts) // 1000 as at_ms, event_type = 'error' as failed from events),
+g as (select *, at_ms - lag(at_ms) over w > {DAY_MS} as anew, lead(at_ms) over w as next_ms from e window w as (partition by user_id order by at_ms, event_id)),
+i as (select *, sum(case when anew or not failed then 1 else 0 end) over (partition by user_id order by at_ms, event_id rows unbounded preceding) as island from g),
+r as (select *, cast(sum(case when failed then 1 else 0 end) over (partition by user_id, island order by at_ms, event_id rows unbounded preceding) as bigint) as run from i)
+select user_id, event_id, at_ms, run, run >= 3 as stale from r
+union all select user_id, null, at_ms + {DAY_MS}, run, true from r where next_ms - at_ms > {DAY_MS} or (next_ms is null and at_ms + {DAY_MS} < (select max(at_ms) + 1 - 600000 from e))""")
+def r08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose polls fail three times, or of which nothing comes for a day."""
+    return run.appended(state.missed_polls(polls(spark, sf_dir), "user_id", DAY_MS))
+
+
+@query("r08_failure_runs", "with g as (select event_id, user_id, event_type, count(*) filter (where event_type <> 'error') over (partition by user_id order by event_id rows unbounded preceding) as g from events) select event_id, cast(case when event_type = 'error' then row_number() over (partition by user_id, g, event_type = 'error' order by event_id) else 0 end as bigint) as run, event_type = 'error' and row_number() over (partition by user_id, g, event_type = 'error' order by event_id) >= 3 as stale from g")
+def r08_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as of the table (``w17_failure_runs``), from a stream in which no silence is too long."""
+    return run.appended(state.missed_polls(polls(spark, sf_dir), "user_id", 365 * DAY_MS)).select("event_id", "run", "stale")
+
+
 @query("r09_countdowns", "select event_id, greatest(0, (event_id*1000 % 600000 - 60000) // 60000) as minutes from events where event_id*1000 % 600000 >= 60000")
 def r09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants still to come, as minutes from a given now."""

@@ -67,3 +67,39 @@ def published(raw: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=["key", "now_ms", "raw_ms", "shown_ms"])
 
     return clocked(raw).groupBy("key").applyInPandasWithState(run, "key bigint, now_ms bigint, raw_ms double, shown_ms double", "shown double, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def missed_polls(polls: DataFrame, key: str, silent_ms: int, missed: int = 3) -> DataFrame:
+    """Runs of failed polls of a stream, and silences: key, event_id, at_ms, ``run`` and ``stale``.
+
+    polls: key, event_id, now_ms, ok. Every poll gives a row with its run of failures so far; from ``missed`` on what is shown is stale.
+    A line of which nothing comes for ``silent_ms`` is stale too: a timer gives a row without event_id, at the instant it ran out, and
+    its state goes. Where a late batch holds the next poll before the timer could fire, that row is given first, so that the rows
+    don't depend on how the stream is cut into batches. The last silences are told once the watermark has passed them.
+    """
+    kind = polls.schema[key].dataType.simpleString()
+    columns = [key, "event_id", "at_ms", "run", "stale"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"event_id": "Int64"})
+
+    def run(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            failed, last = state.get
+            state.remove()
+            yield frame([(name[0], None, last + silent_ms, failed, True)])
+            return
+        failed, last = state.get if state.exists else (0, None)
+        rows = []
+        for r in ordered(frames, ["now_ms", "event_id"]).itertuples():
+            if last is not None and r.now_ms - last > silent_ms:
+                rows.append((name[0], None, last + silent_ms, failed, True))
+                failed = 0
+            failed, last = 0 if r.ok else failed + 1, int(r.now_ms)
+            rows.append((name[0], r.event_id, last, failed, failed >= missed))
+        state.update((failed, last))
+        state.setTimeoutTimestamp(last + silent_ms)
+        yield frame(rows)
+
+    form = f"{key} {kind}, event_id bigint, at_ms bigint, run bigint, stale boolean"
+    return clocked(polls.select(key, "event_id", "now_ms", "ok")).groupBy(key).applyInPandasWithState(run, form, "failed bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)

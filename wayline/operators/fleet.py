@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import asin, atan2, cos, degrees, radians, sin, sqrt
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions import geo
+from wayline.operators.carried import scan
 
 MOVED_METRES, HALF_LIFE_MS, FASTEST_KMH = 12.0, 60_000.0, 90.0
 DEADBAND_MS, EASE = 20_000.0, 0.25
@@ -45,24 +44,15 @@ def observe(state: State | None, lat: float, lon: float, now: int) -> State:
     return (lat, lon, heading(at_lat, at_lon, lat, lon), kmh if speed is None else 0.6 * speed + 0.4 * kmh, now, now, first)
 
 
-def sessions(samples: DataFrame) -> DataFrame:
-    """Adds ``session``: where a vehicle is not seen for so long that its state is forgotten, another begins."""
-    w = Window.partitionBy("plate").orderBy("now_ms", "event_id")
-    gap = F.col("now_ms") - F.lag("now_ms").over(w) > TRACK_TTL_MS
-    return samples.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("bigint")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
 def track(samples: DataFrame) -> DataFrame:
-    """Every sample with its vehicle's state after it; its samples without an hour's gap between them are one ordered group."""
+    """Every sample with its vehicle's state after it. samples: event_id, plate, now_ms, lat, lon."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, rows = None, []
-        for r in group.sort_values(["now_ms", "event_id"]).itertuples():
-            state = observe(state, r.lat, r.lon, r.now_ms)
-            rows.append((r.event_id, r.plate, r.now_ms, *state))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_SCHEMA.split(", ")]).astype({"heading": "float64", "speed_kmh": "float64"})
+    def step(state: State | None, row: tuple) -> tuple[State, State]:
+        after = observe(state, row[2], row[3], row[0])
+        return after, after
 
-    return sessions(samples.select("event_id", "plate", "now_ms", "lat", "lon")).groupBy("plate", "session").applyInPandas(run, TRACK_SCHEMA)
+    found = scan(samples, "plate", ["now_ms", "event_id"], ["lat", "lon"], step, STATE_SCHEMA, STATE_SCHEMA)
+    return found.select(*(c.split()[0] for c in TRACK_SCHEMA.split(", ")))
 
 
 def eased(shown: float | None, raw: float) -> float:
@@ -75,23 +65,16 @@ def eased(shown: float | None, raw: float) -> float:
 def ratchet(raw: DataFrame, key: str = "key") -> DataFrame:
     """Published instants: sooner at once, a little later held, much later eased in. raw: key, now_ms, raw_ms.
 
-    A task streams its keys' rows in order and holds one key's last instant, however many rows it has. A null instant is
-    published as null and changes nothing.
+    A null instant is published as null and changes nothing.
     """
-    kind = raw.schema[key].dataType.simpleString()
-
-    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shown = None, None
-        for batch in batches:
-            out = []
-            for k, value in zip(batch.column(key).to_pylist(), batch.column("raw_ms").to_pylist(), strict=True):
-                before = shown if k == own else None
-                own, shown = k, before if value is None else eased(before, value)
-                out.append(None if value is None else shown)
-            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("now_ms"), batch.column("raw_ms"), pa.array(out, pa.float64())], names=[key, "now_ms", "raw_ms", "shown_ms"])
-
-    rows = raw.select(key, "now_ms", F.col("raw_ms").cast("double").alias("raw_ms")).repartition(key).sortWithinPartitions(key, "now_ms", "raw_ms")
-    return rows.mapInArrow(publish, f"{key} {kind}, now_ms {raw.schema['now_ms'].dataType.simpleString()}, raw_ms double, shown_ms double")
+
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        before = state[0] if state else None
+        shown = before if row[1] is None else eased(before, row[1])
+        return (shown,), (None if row[1] is None else shown,)
+
+    rows = raw.select(key, "now_ms", F.col("raw_ms").cast("double").alias("raw_ms"))
+    return scan(rows, key, ["now_ms", "raw_ms"], [], step, "shown double", "shown_ms double")
 
 
 def in_service(standing_s: Column, age_s: Column) -> Column:

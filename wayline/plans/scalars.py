@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions import clock, geo, sensors
+from wayline.operators.carried import scan
 from wayline.plans.base import query
 from wayline.sources.tables import stop_legs, table
 
@@ -201,14 +204,16 @@ select event_id, shown as degrees from run""")
 def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bearing eased toward each reading by the time since the last."""
 
-    def step(state: Column, x: Column) -> Column:
-        weight = 1 - F.exp(-(x["event_id"] - state["at"]) / F.lit(120.0))
-        shown = F.coalesce(F.round(sensors.ease_bearing(state["shown"], x["a"], weight), 6), x["a"])
-        return F.struct(x["event_id"].alias("at"), shown.alias("shown"), F.concat(state["out"], F.array(F.struct(x["event_id"].alias("event_id"), shown.alias("degrees")))).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        at, a = row
+        if state is None:
+            return (at, a), (a,)
+        turn = (a - state[1]) % 360
+        shown = round((state[1] + (turn - 360 if turn > 180 else turn) * (1 - exp(-(at - state[0]) / 120))) % 360, 6)
+        return (at, shown), (shown,)
 
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("double").alias("shown"), F.array().cast("array<struct<event_id:bigint,degrees:double>>").alias("out"))
-    rows = events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", modulo(37, 360).cast("double").alias("a")))).alias("s"))
-    return rows.select(F.inline(F.aggregate("s", start, step)["out"]))
+    rows = events(spark, sf_dir).select("user_id", "event_id", modulo(37, 360).cast("double").alias("a"))
+    return scan(rows, "user_id", ["event_id"], ["a"], step, "at bigint, shown double", "degrees double").select("event_id", "degrees")
 
 
 @query("w16_anchor", """with recursive x as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n, event_id*131 % 400 as a from events),
@@ -217,13 +222,12 @@ select event_id, cast(anchor as bigint) as anchor from run""")
 def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place that follows only moves of more than 50 m."""
 
-    def step(state: Column, x: Column) -> Column:
-        anchor = F.when(state["anchor"].isNull() | (F.abs(x["a"] - state["anchor"]) > 50), x["a"]).otherwise(state["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(state["out"], F.array(F.struct(x["event_id"].alias("event_id"), anchor.alias("anchor")))).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        after = state if state and abs(row[1] - state[0]) <= 50 else (row[1],)
+        return after, after
 
-    start = F.struct(F.lit(None).cast("bigint").alias("anchor"), F.array().cast("array<struct<event_id:bigint,anchor:bigint>>").alias("out"))
-    rows = events(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", modulo(131, 400).alias("a")))).alias("s"))
-    return rows.select(F.inline(F.aggregate("s", start, step)["out"]))
+    rows = events(spark, sf_dir).select("user_id", "event_id", modulo(131, 400).cast("bigint").alias("a"))
+    return scan(rows, "user_id", ["event_id"], ["a"], step, "anchor bigint", "anchor bigint").select("event_id", "anchor")
 
 
 @query("w17_failure_runs", "with g as (select event_id, user_id, event_type, count(*) filter (where event_type <> 'error') over (partition by user_id order by event_id rows unbounded preceding) as g from events) select event_id, cast(case when event_type = 'error' then row_number() over (partition by user_id, g, event_type = 'error' order by event_id) else 0 end as bigint) as run, event_type = 'error' and row_number() over (partition by user_id, g, event_type = 'error' order by event_id) >= 3 as stale from g")

@@ -77,3 +77,21 @@ def test_risk_is_that_of_positive_unlabelled_learning():
         move = [toxicity.RATE * (a / (1 - 0.9**step)) / (math.sqrt(b / (1 - 0.999**step)) + 1e-8) for a, b in zip(m1, m2, strict=True)]
         w, bias = [max(x - y, 0) for x, y in zip(w, move[:-1], strict=True)], bias - move[-1]
     assert used and all(abs(model.weights.get(f, 0) - x) < 0.02 for f, x in zip(used, w, strict=True)) and abs(model.bias - bias) < 0.02
+
+
+def test_of_equal_neighbours_the_first_vote():
+    rng = np.random.default_rng(3)
+    for n, k in ((40, 5), (25, 25), (400, 25)):
+        near = rng.integers(0, 6, (50, n)).astype(np.float32) / 6
+        best = quality.nearest(near, k)
+        want = [sorted(range(n), key=lambda j: (-row[j], j))[:k] for row in near]
+        assert [sorted(b) for b in best.tolist()] == [sorted(w) for w in want]
+
+
+def test_copies_of_one_id_take_one_place_of_the_sample(spark):
+    words = ["lovely garden", "quiet river", "copper lamp", "stone harbour"]
+    rows = [(7, "vile trash scum")] * 300 + [(k, words[k % 4]) for k in range(8, 40)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(7, 1), (8, 0), (9, 0), (10, 0)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, unlabelled=20)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs.dropDuplicates(), model).collect()}
+    assert scored[7] > 0.2 > max(v for k, v in scored.items() if k != 7)

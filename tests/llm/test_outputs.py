@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -56,6 +57,18 @@ def test_shards_of_a_tokenizer(docs, pairs, tmp_path):
             assert ids[-1] == 65534 and ids[:-1].tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_that_cannot_be_told_apart_raise(spark, tmp_path):
+    for k, (shift, ids) in enumerate(((3, [250, 253]), (0, [7, 255]), (0, [254]), (1, [253]), (0, [1, 0, 253]))):
+        docs = spark.createDataFrame([(1, bytearray(ids))], "doc_id bigint, ids binary")
+        run = lambda: shards.materialise(docs, f"file://{tmp_path}/{k}", key=1, ids="ids", form=shards.Ids(1, shift, 255, 254)).collect()  # noqa: B023, E731
+        if k < 4:
+            with pytest.raises(Exception, match="token id"):
+                run()
+        else:
+            run()
+            assert [x.tolist() for x in shards.read_slots(f"file://{tmp_path}/{k}")] == [[1, 0, 253, 254]]
+
+
 def least_cost(roles):
     """By trying every role for every turn."""
     best = None

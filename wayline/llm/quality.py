@@ -119,12 +119,21 @@ class Voters:
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(first), BLOCK):
             near = latent[i : i + BLOCK] @ self.vectors.T
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            best = nearest(near, k)
             vote = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** 8 + 1e-9
             out[text[first[i : i + BLOCK]]] = (vote * self.labels[best]).sum(1) / vote.sum(1)
         return np.clip(out, 0, 1)
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest of each row; of equal ones the first, which are in order of label and terms."""
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, best, axis=1).min(1, keepdims=True)
+    for i in np.flatnonzero((near >= least).sum(1) > k):
+        best[i] = np.argsort(-near[i], kind="stable")[:k]
+    return best
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 

@@ -120,7 +120,8 @@ def sequences(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, int]
 def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS, ids: str | None = None, form: Ids = BYTES, stable: bool = False) -> DataFrame:
     """Writes the shards; returns ``doc_id``, ``seq``, ``n_tokens``, ``slot``, ``shard`` and ``offset`` (in bytes) of each sequence.
 
-    ids: the column of token ids, in ``form``; none: those of the texts' bytes.
+    ids: the column of token ids, in ``form``; none: those of the texts' bytes. Ids that, shifted, don't fit or mean padding or the
+    end raise an error.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(ids), F.lit(b"")) if ids else F.coalesce("text", F.lit("")).cast("binary")
@@ -157,8 +158,10 @@ def materialise(docs: DataFrame, folder: str, key: int, length: int = LENGTH, sh
                 shard = slot // shard_rows
                 records = np.full((batch.num_rows, length), form.pad, form.dtype)
                 for i, (packed, n) in enumerate(zip(batch.column("body").to_pylist(), batch.column("n_tokens").to_pylist(), strict=True)):
-                    own = np.frombuffer(zlib.decompress(packed, -zlib.MAX_WBITS), form.dtype)
-                    records[i, : len(own)] = own + form.dtype.type(form.shift)
+                    own = np.frombuffer(zlib.decompress(packed, -zlib.MAX_WBITS), form.dtype).astype(np.int64) + form.shift
+                    if len(own) and (own.max() >= 1 << 8 * form.width or ((own == form.pad) | (own == form.end)).any()):
+                        raise ValueError(f"a token id is too large for {form.width} bytes, or is that of padding ({form.pad}) or of the end ({form.end})")
+                    records[i, : len(own)] = own
                     if n > len(own):
                         records[i, len(own)] = form.end
                 for s in np.unique(shard).tolist():

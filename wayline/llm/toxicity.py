@@ -126,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
     if not prior:
         return ToxicModel({}, -30.0)
     toxic = known.where("_label = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("_label"))
-    other = docs.where("doc_id is not null").select("doc_id").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("_label"))
-    chosen = [tuple(r) for r in toxic.unionByName(other.distinct()).collect()]
+    other = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("_label"))
+    chosen = [tuple(r) for r in toxic.unionByName(other).collect()]
     some = F.broadcast(spark.createDataFrame(chosen, toxic.schema))  # at most positives + unlabelled rows
     found = texts(docs).join(some, "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text")).withColumn("key", F.xxhash64("doc_id"))  # of repeated ids the first text
 

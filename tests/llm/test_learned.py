@@ -88,10 +88,10 @@ def test_of_equal_neighbours_the_first_vote():
         assert [sorted(b) for b in best.tolist()] == [sorted(w) for w in want]
 
 
-def test_copies_of_one_id_take_one_place_of_the_sample(spark):
-    words = ["lovely garden", "quiet river", "copper lamp", "stone harbour"]
-    rows = [(7, "vile trash scum")] * 300 + [(k, words[k % 4]) for k in range(8, 40)]
+def test_copies_of_one_id_take_one_place_of_the_sample(spark, monkeypatch):
+    rows = [(7, "vile trash scum")] * 300 + [(k, f"quiet river {k}") for k in range(8, 40)]
     docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(7, 1), (8, 0), (9, 0), (10, 0)], "doc_id bigint, toxic int")
-    model = toxicity.fit(docs, labels, unlabelled=20)
-    scored = {r.doc_id: r.score for r in toxicity.score(docs.dropDuplicates(), model).collect()}
-    assert scored[7] > 0.2 > max(v for k, v in scored.items() if k != 7)
+    sizes = []
+    monkeypatch.setattr(toxicity, "train", lambda positive, unlabelled, prior: sizes.append((len(positive.sizes), len(unlabelled.sizes), prior)))
+    toxicity.fit(docs, labels, unlabelled=20)
+    assert sizes == [(1, 20, 0.25)]

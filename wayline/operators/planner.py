@@ -80,19 +80,52 @@ def felt(walk: str | Column) -> Column:
     return (F.col(walk) if isinstance(walk, str) else walk)["minutes"] * (1 + RELUCTANCE)
 
 
-def ride(labels: DataFrame, pattern_stops: DataFrame) -> DataFrame:
+def least_minutes(end: str) -> Column:
+    """The fewest minutes between a stop (lat, lon) and a query's start or end (``end``: from or to): straight, by bus."""
+    return geo.haversine(F.col("lat"), F.col("lon"), F.col(f"{end}_lat"), F.col(f"{end}_lon")) * ROAD / BUS
+
+
+def in_reach(rows: DataFrame, bound: DataFrame | None, needed: Column) -> DataFrame:
+    """Without the positions that no journey in the bound goes by, but for the needed ones; with the columns of ``bound``."""
+    if bound is None:
+        return rows
+    both = rows.join(bound, "query_id", "left")
+    return both.where(needed | F.col("limit").isNull() | (least_minutes("from") + least_minutes("to") <= F.col("limit")))
+
+
+def in_time(rows: DataFrame, bound: DataFrame | None, so_far: str, end: str) -> DataFrame:
+    """Without the labels that can't lead to a journey in the bound."""
+    return rows if bound is None else rows.where(F.col("limit").isNull() | (F.col(so_far) + least_minutes(end) <= F.col("limit")))
+
+
+def bounds(queries: DataFrame, found: DataFrame, rides: int) -> DataFrame:
+    """query_id, the query's ends, and ``limit``: what a journey of so many rides may cost in minutes and walks, to be shown besides the found.
+
+    found: query_id, cost of journeys with one ride. A journey may be half as dear again as the best known and some minutes, or as dear as
+    the best by bus; a walk that is short enough to be shown counts as known.
+    """
+    best = found.groupBy("query_id").agg((F.min("cost") + WAIT).alias("bus"))
+    foot = on_foot(queries).select("query_id", F.element_at("walks", 1).alias("w"))
+    walk = F.when(F.col("w")["minutes"] <= LONGEST_WALK, felt("w"))
+    most = F.greatest(F.least("bus", walk) * WORSE + ALLOWANCE, "bus") - (WAIT * rides + CHANGE * (rides - 1))
+    return queries.join(best, "query_id").join(foot, "query_id").select("query_id", "from_lat", "from_lon", "to_lat", "to_lon", (most + 1e-6).alias("limit"))
+
+
+def ride(labels: DataFrame, pattern_stops: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """Every place where a bus boarded at a label may be left: of each pattern's position the best boarding before it.
 
-    labels: query_id, stop_id, cost, rides, walks. Returns query_id, pattern, pos, stop_id, cost, rides, walks.
+    labels: query_id, stop_id, cost, rides, walks. Returns query_id, pattern, pos, stop_id, cost, rides, walks. bound: as ``bounds``
+    gives it; what it rules out is left out.
     """
     served = pattern_stops.where(can_board()).select("pattern", "pos", "stop_id", F.col("minutes").alias("_on")).join(labels, "stop_id")
     key = ["query_id", "pattern", "pos"]
     # one stop may stand twice in a pattern, and has one label a query
     on = served.select(*key, F.struct(F.round(F.col("cost") - F.col("_on"), 9).alias("value"), F.col("pos").alias("board"), F.col("stop_id").alias("from_stop"), "rides", "walks").alias("on"))
     which = on.select("query_id", "pattern").distinct()
-    rows = pattern_stops.join(which, "pattern").join(on, key, "left")
+    rows = in_reach(pattern_stops.join(which, "pattern").join(on, key, "left"), bound, F.col("on").isNotNull())
     line = Window.partitionBy("query_id", "pattern").orderBy("pos")
     rows = rows.withColumn("best", F.min("on").over(line.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("best").isNotNull() & can_alight())
+    rows = in_time(rows.withColumn("so_far", F.col("best.value") + F.col("minutes")), bound, "so_far", "to")
     start = pattern_stops.select("pattern", F.col("pos").alias("_p"), F.col("metres").alias("_m"), F.col("minutes").alias("_min"))
     turn = pattern_stops.where("pos = turns_at").select(F.col("pattern").alias("_tp"), F.col("stop_id").alias("_turn"))
     rows = rows.join(start, (rows["pattern"] == start["pattern"]) & (F.col("best.board") == F.col("_p"))).drop(start["pattern"]).join(turn, F.col("pattern") == F.col("_tp"), "left")
@@ -102,19 +135,19 @@ def ride(labels: DataFrame, pattern_stops: DataFrame) -> DataFrame:
         (F.col("minutes") - F.col("_min")).alias("minutes"), (F.col("metres") - F.col("_m")).alias("metres"),
         F.when(F.col("turns_at") == F.col("best.board"), other).otherwise(F.col("direction")).alias("heading"), F.when(F.col("best.board") < F.col("turns_at"), F.col("_turn")).alias("turns_at_stop"),
     )
-    cost = F.col("best.value") + F.col("minutes")
-    return rows.select("query_id", "pattern", "route_id", "pos", "stop_id", cost.alias("cost"), F.concat("best.rides", F.array(taken)).alias("rides"), F.col("best.walks").alias("walks"))
+    return rows.select("query_id", "pattern", "route_id", "pos", "stop_id", F.col("so_far").alias("cost"), F.concat("best.rides", F.array(taken)).alias("rides"), F.col("best.walks").alias("walks"))
 
 
-def rest_of(egress: DataFrame, pattern_stops: DataFrame) -> DataFrame:
+def rest_of(egress: DataFrame, pattern_stops: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """The mirror of riding: of each position where a bus may be boarded the best alighting after it, less the minutes so far."""
     off = pattern_stops.where(can_alight()).select("pattern", "pos", "stop_id", "minutes", "metres").join(egress, "stop_id")
     key = ["query_id", "pattern", "pos"]
     # of equal ones the later position
     off = off.select(*key, F.struct(F.round(F.col("minutes") + felt("walk"), 9).alias("value"), (-F.col("pos")).alias("back"), F.col("stop_id").alias("to_stop"), F.col("minutes").alias("o_min"), F.col("metres").alias("o_m"), "walk").alias("off"))
-    rows = pattern_stops.join(off.select("query_id", "pattern").distinct(), "pattern").join(off, key, "left")
+    rows = in_reach(pattern_stops.join(off.select("query_id", "pattern").distinct(), "pattern").join(off, key, "left"), bound, F.col("off").isNotNull())
     line = Window.partitionBy("query_id", "pattern").orderBy("pos")
     rows = rows.withColumn("best", F.min("off").over(line.rowsBetween(1, Window.unboundedFollowing))).where(F.col("best").isNotNull() & can_board())
+    rows = in_time(rows.withColumn("rest", F.col("best.value") - F.col("minutes")), bound, "rest", "from")
     turn = pattern_stops.where("pos = turns_at").select(F.col("pattern").alias("_tp"), F.col("stop_id").alias("_turn"))
     rows = rows.join(turn, F.col("pattern") == F.col("_tp"), "left")
     other = F.when(F.col("direction") == 1, 2).otherwise(1)
@@ -123,7 +156,7 @@ def rest_of(egress: DataFrame, pattern_stops: DataFrame) -> DataFrame:
         (F.col("best.o_min") - F.col("minutes")).alias("minutes"), (F.col("best.o_m") - F.col("metres")).alias("metres"),
         F.when(F.col("turns_at") == F.col("pos"), other).otherwise(F.col("direction")).alias("heading"), F.when(F.col("pos") < F.col("turns_at"), F.col("_turn")).alias("turns_at_stop"),
     )
-    return rows.select("query_id", F.col("pattern").alias("pattern2"), F.col("route_id").alias("route2"), F.col("pos").alias("pos2"), "stop_id", (F.col("best.value") - F.col("minutes")).alias("rest"), taken.alias("second"), F.col("best.walk").alias("out"))
+    return rows.select("query_id", F.col("pattern").alias("pattern2"), F.col("route_id").alias("route2"), F.col("pos").alias("pos2"), "stop_id", "rest", taken.alias("second"), F.col("best.walk").alias("out"))
 
 
 def starts(walk_in: DataFrame) -> DataFrame:
@@ -153,10 +186,10 @@ def changes(footpaths: DataFrame, stops: DataFrame) -> DataFrame:
     return own.unionByName(footpaths).select("stop_id", "to_stop", F.struct("minutes", "metres").alias("path"))
 
 
-def one_change(walk_in: DataFrame, egress: DataFrame, pattern_stops: DataFrame, paths: DataFrame) -> DataFrame:
-    """The best journey for each pair of patterns of different lines with one change between them."""
-    first = ride(starts(walk_in), pattern_stops)
-    second = rest_of(egress, pattern_stops).withColumnRenamed("stop_id", "to_stop")
+def one_change(walk_in: DataFrame, egress: DataFrame, pattern_stops: DataFrame, paths: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """The best journey for each pair of patterns of different lines with one change between them, of those in the bound."""
+    first = ride(starts(walk_in), pattern_stops, bound)
+    second = rest_of(egress, pattern_stops, bound).withColumnRenamed("stop_id", "to_stop")
     both = first.join(paths, "stop_id").join(second, ["query_id", "to_stop"]).where("route_id <> route2")
     cost = F.col("cost") + felt("path") + F.col("rest")
     priced = both.select("query_id", "pattern", "pattern2", cost.alias("cost"), F.concat("rides", F.array("second")).alias("rides"), F.concat("walks", F.array("path", "out")).alias("walks"))
@@ -257,7 +290,8 @@ def plan(queries: DataFrame, legs: DataFrame) -> DataFrame:
     foot = on_foot(queries)
     far = queries.join(foot.where(F.col("straight") > JUST_WALK).select("query_id"), "query_id", "left_semi")
     walk_in, egress = cut(access(far, stops, "from")), cut(access(far, stops, "to"))
-    fewer = cut(direct(walk_in, egress, pattern_stops).unionByName(one_change(walk_in, egress, pattern_stops, paths)))
+    one = cut(direct(walk_in, egress, pattern_stops))
+    fewer = cut(one.unionByName(one_change(walk_in, egress, pattern_stops, paths, cut(bounds(far, one, 2)))))
     served = fewer.select("query_id").distinct()
     rest_in, rest_out = (x.join(served, "query_id", "left_anti") for x in (walk_in, egress))
     found = fewer.unionByName(two_changes(rest_in, rest_out, pattern_stops, paths))

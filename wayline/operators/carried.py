@@ -24,11 +24,12 @@ PART_BITS = 33  #: of an id below the number of its partition
 OUT_ROWS = 8192
 
 
-def scan(rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str], step: Step, state: str, out: str) -> DataFrame:
+def scan(rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str], step: Step, state: str, out: str, thaw: Callable = lambda x: x, freeze: Callable = lambda x: x) -> DataFrame:
     """``key``, ``order`` and the columns of ``out`` (DDL) for each row.
 
     step: from a state (columns of ``state``, DDL) and a row's ``order`` and ``values``, in this order. Rows of a key that are equal
-    in ``order`` come by ``values``; a null key is a key, null orders come first.
+    in ``order`` come by ``values``; a null key is a key, null orders come first. Where the state in hand is not what is handed over,
+    ``freeze`` makes its columns of it and ``thaw`` the state again.
     """
     given = [*order, *values]
     plain = rows.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_in{k}") for k, c in enumerate(given)))
@@ -48,7 +49,7 @@ def scan(rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str],
         part, own, first, now, known, count, last_id = None, None, None, None, False, 0, 0
 
         def end() -> tuple:
-            return (own, *[None] * n_in, last_id, *[None] * n_out, None, first, dict(zip(names, now, strict=True)) if known else None, count)
+            return (own, *[None] * n_in, last_id, *[None] * n_out, None, first, dict(zip(names, freeze(now), strict=True)) if known else None, count)
 
         def given_out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
@@ -60,7 +61,8 @@ def scan(rows: DataFrame, key: str, order: Sequence[str], values: Sequence[str],
                     if part is not None:
                         held.append(end())
                     part, first, count = at >> PART_BITS, name, 0
-                    known, now = entries is not None, entries.get(part) if entries is not None else None
+                    known = entries is not None
+                    now = thaw(entries[part]) if known and entries[part] is not None else None
                 elif name != own:
                     known, now = True, None
                 own, last_id, count = name, at, count + 1

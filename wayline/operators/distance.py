@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,13 +45,27 @@ def access(points: DataFrame, stops: DataFrame, near: float = 1200, far: float =
     return both.where(((F.col("_near") > 0) & (F.col("metres") <= near)) | ((F.col("_near") == 0) & (F.col("_rank") <= most))).drop("_near", "_rank")
 
 
-def pareto(options: DataFrame, key: str, costs: list[str], slack: str, by: float) -> DataFrame:
-    """Rows that no other of their key beats: at most equal on all costs, and better on one (on ``slack`` by that much)."""
-    other = options.select(key, *(F.col(c).alias(f"_{c}") for c in costs))
-    worse = F.lit(True)
-    for c in costs:
-        worse = worse & (F.col(f"_{c}") <= F.col(c))
-    clearly = F.lit(False)
-    for c in costs:
-        clearly = clearly | (F.col(f"_{c}") < F.col(c) - (by if c == slack else 0))
-    return options.join(other.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & worse & clearly, "left_anti")
+def skyline(options: DataFrame, key: str, costs: Sequence[str], slack: dict[str, float]) -> DataFrame:
+    """Rows that no other of their key beats: at most equal in all costs and less in one, by more than its slack if it has one.
+
+    What beats a row comes before it in the order of all costs, and what is beaten beats nothing that its better doesn't: a task streams
+    its keys in this order and holds the unbeaten rows of one key. Costs may not be null.
+    """
+    margins = [slack.get(c, 0.0) for c in costs]
+
+    def beats(a: tuple, b: tuple) -> bool:
+        return all(x <= y for x, y in zip(a, b, strict=True)) and any(x < y - m for x, y, m in zip(a, b, margins, strict=True))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, front, first = None, [], True
+        for batch in batches:
+            kept = []
+            for name, *row in zip(*(batch.column(c).to_pylist() for c in (key, *costs)), strict=True):
+                if first or name != own:
+                    own, front, first = name, [], False
+                kept.append(not any(beats(x, row) for x in front))
+                if kept[-1]:
+                    front.append(row)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return options.repartition(key).sortWithinPartitions(key, *costs).mapInArrow(sweep, options.schema)

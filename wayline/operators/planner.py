@@ -261,11 +261,7 @@ def merge(journeys: DataFrame) -> DataFrame:
 
 def undominated(journeys: DataFrame) -> DataFrame:
     """Journeys that no other of their query beats: at most equal in minutes, rides and walk, and clearly better in one."""
-    sides = ("minutes", "n_rides", "walk_minutes")
-    other = journeys.select(F.col("query_id").alias("_q"), *(F.col(c).alias(f"_{c}") for c in sides))
-    never_worse = (F.col("_minutes") <= F.col("minutes")) & (F.col("_n_rides") <= F.col("n_rides")) & (F.col("_walk_minutes") <= F.col("walk_minutes"))
-    better = (F.col("_minutes") < F.col("minutes") - CLEARLY) | (F.col("_n_rides") < F.col("n_rides")) | (F.col("_walk_minutes") < F.col("walk_minutes") - CLEARLY)
-    return journeys.join(other, (F.col("query_id") == F.col("_q")) & never_worse & better, "left_anti")
+    return distance.skyline(journeys, "query_id", ["minutes", "n_rides", "walk_minutes"], {"minutes": CLEARLY, "walk_minutes": CLEARLY})
 
 
 def rank(journeys: DataFrame) -> DataFrame:

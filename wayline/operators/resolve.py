@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import cos, floor, hypot, radians
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
 from wayline.operators import areas
+from wayline.operators.carried import scan
 from wayline.operators.distance import first_by, within
 from wayline.operators.stages import tabled
 
@@ -167,13 +169,41 @@ def localities_of_areas(points: DataFrame, edges: DataFrame, levels: DataFrame,
 
 
 def spread(rows: DataFrame, keys: list[str], order: str, metres: float) -> DataFrame:
-    """Rows of each key that no kept row before them is nearer to than that, in order; a key's rows are one group.
+    """Rows of each key that no kept row before them is nearer to than that, in order; with keys, order, lat and lon.
 
-    rows: keys, order, lat, lon. Folded over the key's ordered rows, since each decision depends on those before.
+    A scan that carries a key's kept rows, in cells at least that wide, so that a row is compared with those around it only.
     """
-    item = F.struct(order, "lat", "lon")
-    near = lambda a, b: geo.flat_metres(a["lat"], a["lon"], b["lat"], b["lon"]) < metres
-    kind = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in rows.select(order, "lat", "lon").schema)
-    start = F.array().cast(f"array<struct<{kind}>>")
-    folded = F.aggregate(F.sort_array(F.collect_list(item)), start, lambda kept, x: F.when(F.exists(kept, lambda k: near(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
-    return rows.groupBy(*keys).agg(folded.alias("_kept")).select(*keys, F.inline("_kept"))
+    size = metres / geo.METRES_PER_DEGREE
+
+    def band_width(y: int) -> float:
+        poleward = min(89.9, (abs(y + 0.5) + 1.5) * size)
+        return size / cos(radians(poleward))
+
+    def near(a: tuple[float, float], b: tuple[float, float]) -> bool:
+        east = (b[1] - a[1]) * geo.METRES_PER_DEGREE * cos(radians((a[0] + b[0]) / 2))
+        return hypot(east, (b[0] - a[0]) * geo.METRES_PER_DEGREE) < metres
+
+    def put(cells: dict, at: tuple[float, float]) -> None:
+        y = floor(at[0] / size)
+        cells.setdefault((y, floor(at[1] / band_width(y))), []).append(at)
+
+    def step(cells: dict | None, row: tuple) -> tuple[dict, tuple]:
+        cells, at = {} if cells is None else cells, (row[1], row[2])
+        y = floor(at[0] / size)
+        for band in (y - 1, y, y + 1):
+            x = floor(at[1] / band_width(band))
+            if any(near(k, at) for c in (x - 1, x, x + 1) for k in cells.get((band, c), ())):
+                return cells, (*at, False)
+        put(cells, at)
+        return cells, (*at, True)
+
+    def thaw(state: tuple) -> dict:
+        cells: dict = {}
+        for lat, lon in state[0]:
+            put(cells, (lat, lon))
+        return cells
+
+    freeze = lambda cells: ([list(k) for kept in cells.values() for k in kept],)
+    keyed = rows.select(F.struct(*keys).alias("_key"), order, "lat", "lon")
+    found = scan(keyed, "_key", [order], ["lat", "lon"], step, "kept array<array<double>>", "lat double, lon double, is_kept boolean", thaw, freeze)
+    return found.where("is_kept").select("_key.*", order, "lat", "lon")

@@ -280,7 +280,21 @@ def w09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.ratchet(raw_instants(spark, sf_dir)).withColumn("shown_ms", F.round("shown_ms", 3))
 
 
-@query("j06_direction")
+def fitting_sql() -> str:
+    from wayline.plans.geometry import CHAIN
+
+    return f"""{CHAIN}, {TRACK.replace("run", "trk").removeprefix("with recursive ")},
+band as (select route_id, case when ord < 1000000 then 1 else 2 end as direction, min(along) as low, max(along) as high from run where n > 0 group by all),
+foot as (select event_id, heading, s.*, case when bx*bx + by_*by_ = 0 then 0e0 else greatest(0e0, least(1e0, (px*bx + py*by_)/(bx*bx + by_*by_))) end as t from (
+  select event_id, heading, s.*, (b_lon - a_lon)*scale as bx, (b_lat - a_lat)*111320e0 as by_, (lon - a_lon)*scale as px, (lat - a_lat)*111320e0 as py
+  from trk join seg s on s.route_id = plate % 25 where heading is not null) s),
+side as (select event_id, f.route_id, seg, direction, round(off, 3) as off, abs({bearing("a_lat", "a_lon", "b_lat", "b_lon")} - heading) as d
+  from (select *, cum_a + t*(cum_b - cum_a) as along, sqrt(pow(px - bx*t, 2) + pow(py - by_*t, 2)) as off from foot) f join band using (route_id) where off <= 250 and along between low - 400 and high + 400),
+nearest as (select event_id, direction, arg_min(least(d, 360 - d), {{'o': off, 's': seg}}) as turn, min(off) as off from side group by event_id, direction)
+select event_id, case when min(turn + off/10) is not null and arg_min(turn, {{'s': turn + off/10, 'd': direction}}) <= 70 then arg_min(direction, {{'s': turn + off/10, 'd': direction}}) end as direction from nearest group by event_id"""
+
+
+@query("j06_direction", fitting_sql())
 def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The direction of each moving vehicle: of its line's two stretches the one whose bearing fits the heading best."""
     from wayline.plans.geometry import chain_of, forward_points
@@ -288,15 +302,9 @@ def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = linear.segments(forward_points(spark, sf_dir))
     bands = linear.match_chain(chain_of(spark, sf_dir), segs).groupBy("route_id", F.when(F.col("ord") < 1_000_000, 1).otherwise(2).alias("direction")).agg(F.min("along").alias("low"), F.max("along").alias("high"))
     moving = fleet.track(pings(spark, sf_dir)).where("heading is not null").withColumn("route_id", F.col("plate") % 25)
-    both = moving.join(segs, "route_id")
-    seg = {c: F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon", "scale")}
-    cells = (linear.cell(F.least("a_lon", "b_lon")) - 1 <= linear.cell(F.col("lon"))) & (linear.cell(F.col("lon")) <= linear.cell(F.greatest("a_lon", "b_lon")) + 1)
-    both = both.where(cells).withColumn("t", geo.share_of_segment(F.col("lat"), F.col("lon"), seg))
-    both = both.withColumn("off", geo.offset_from_segment(F.col("lat"), F.col("lon"), seg, F.col("t"))).withColumn("along", F.col("cum_a") + F.col("t") * (F.col("cum_b") - F.col("cum_a"))).where("off <= 250")
-    both = both.join(F.broadcast(bands), "route_id").where((F.col("along") >= F.col("low") - 400) & (F.col("along") <= F.col("high") + 400))  # two rows a route
+    both = linear.near_segments(moving.select("event_id", "route_id", "lat", "lon", "heading"), segs, 250)
+    both = both.join(bands, "route_id").where((F.col("along") >= F.col("low") - 400) & (F.col("along") <= F.col("high") + 400))
     turn = geo.angle_between(geo.bearing(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")), F.col("heading"))
-    nearest = both.groupBy("event_id", "direction").agg(F.min(F.struct(F.round("off", 3).alias("off"), "seg", turn.alias("turn"))).alias("b"))
+    nearest = both.groupBy("event_id", "direction").agg(F.min(F.struct(F.round("offset", 3).alias("off"), "seg", turn.alias("turn"))).alias("b"))
     best = nearest.groupBy("event_id").agg(F.min(F.struct((F.col("b.turn") + F.col("b.off") / 10).alias("score"), "direction", F.col("b.turn").alias("turn"))).alias("b"))
     return best.select("event_id", F.when(F.col("b.turn") <= 70, F.col("b.direction")).alias("direction"))
-
-

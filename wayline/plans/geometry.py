@@ -70,11 +70,8 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g07_project_in_range", NEAREST.replace("where off <= 250", "where off <= 250 and round(along, 3) between 500 and 4000"))
 def g07(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = linear.segments(shape_points(spark, sf_dir)).where("cum_b >= 500 and cum_a <= 4000")
-    p = pings(spark, sf_dir)
-    seg = {c: F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon", "scale")}
-    both = p.join(segs, "route_id").withColumn("t", geo.share_of_segment(F.col("lat"), F.col("lon"), seg))
-    both = both.withColumn("off", geo.offset_from_segment(F.col("lat"), F.col("lon"), seg, F.col("t"))).withColumn("along", F.col("cum_a") + F.col("t") * (F.col("cum_b") - F.col("cum_a")))
-    best = both.where((F.col("off") <= 250) & F.round("along", 3).between(500, 4000)).groupBy("event_id", "route_id").agg(F.min(F.struct(F.round("off", 3).alias("o"), "seg", F.round("along", 3).alias("a"))).alias("b"))
+    both = linear.near_segments(pings(spark, sf_dir), segs, 250).where(F.round("along", 3).between(500, 4000))
+    best = both.groupBy("event_id", "route_id").agg(F.min(F.struct(F.round("offset", 3).alias("o"), "seg", F.round("along", 3).alias("a"))).alias("b"))
     return best.select("event_id", "route_id", "b.seg", F.col("b.a").alias("along"), F.col("b.o").alias("metres_off"))
 
 
@@ -116,7 +113,14 @@ def g08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("route_id", "ord", F.round("along", 3).alias("along"), F.round("offset", 3).alias("metres_off"))
 
 
-@query("g10_align")
+BOTH_WAYS = CHAIN.replace(
+    "from (select route_id, abs(i) as i, lat, lon from shape_pt) forward", "from (select route_id*2 + rev as route_id, case when rev = 1 then -i else i end as i, lat, lon from shape_pt, (values (0), (1)) r(rev)) forward"
+).replace("from stop_leg) o)", "from (select s.* exclude (route_id), route_id*2 + rev as route_id from stop_leg s, (values (0), (1)) r(rev)) stop_leg) o)")
+
+
+@query("g10_align", f"""{BOTH_WAYS},
+cost as (select route_id // 2 as route_id, route_id % 2 as reversed, round(sum(least(off, 500e0)), 3) as cost from run where n > 0 group by run.route_id)
+select route_id, cast(arg_min(reversed, {{'c': cost, 'r': reversed}}) as int) as reversed, min(cost) as cost from cost group by route_id""")
 def g10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.align(shape_points(spark, sf_dir), chain_of(spark, sf_dir))
 

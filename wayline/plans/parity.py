@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from wayline.functions import geo, text
 from wayline.operators import distance, fleet, planner, search, streets
+from wayline.operators.close import close_words
 from wayline.plans.base import haversine, query
 from wayline.plans.journeys import options
 from wayline.sources.tables import pings, stop_legs, table
@@ -151,10 +152,8 @@ def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t33_close_words", "select a.w as a, b.w as b from (select distinct unnest(string_split(p_name, ' ')) as w from part) a join (select distinct unnest(string_split(p_name, ' ')) as w from part) b on a.w = b.w or (least(length(a.w), length(b.w)) >= 5 and levenshtein(a.w, b.w) <= 2)")
 def t33(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = parts(spark, sf_dir).select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    close = (F.col("a") == F.col("b")) | ((F.least(F.length("a"), F.length("b")) >= 5) & (F.levenshtein("a", "b", 2) >= 0))
-    # the parts' names are made of some tens of words, so each is compared with all
-    return each.withColumnRenamed("w", "a").join(F.broadcast(each.withColumnRenamed("w", "b")), F.abs(F.length("a") - F.length("b")) <= 2).where(close)
+    each = parts(spark, sf_dir).select(F.explode(F.split("p_name", " ")).alias("w"))
+    return close_words(each, each)
 
 
 @query("t35_same_street", "select p_partkey, p_partkey % 4 <> 3 as same from part")

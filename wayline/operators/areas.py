@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Degrees of a grid cell, and of a band of latitude that an area's edges are dealt to.
-CELL, BAND = 0.02, 0.002
+#: Degrees of the smallest grid cell, how many times wider each next level's are, the number of levels, and degrees of a band of latitude
+#: that an area's edges are dealt to.
+CELL, WIDER, LEVELS, BAND = 0.02, 4, 8, 0.002
 
 
 def shapes(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -34,18 +35,30 @@ def crosses(lat: Column, lon: Column) -> Column:
     return ((a_lat > lat) != (b_lat > lat)) & (lon < at)
 
 
+def in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points (point_id, lat, lon) with each box (area_id, south, north, west, east and more) that holds them, borders included.
+
+    A box lies in cells about as wide as itself, four at most, so that a country is no more rows than a quarter; points are looked up in
+    the cells of each level: an equi-join. A box over the antimeridian must come as two.
+    """
+    wide = lambda level: F.lit(CELL) * F.pow(F.lit(float(WIDER)), level)
+    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(float(WIDER), F.greatest(side, F.lit(1e-9)) / CELL)))).cast("int")
+    cell = lambda c: F.floor(F.col(c) / wide(F.col("_level")))
+    dealt = boxes.withColumn("_level", level).withColumn("_y", F.explode(F.sequence(cell("south"), cell("north")))).withColumn("_x", F.explode(F.sequence(cell("west"), cell("east"))))
+    placed = points.select("point_id", "lat", "lon", F.explode(F.array(*map(F.lit, range(LEVELS)))).alias("_level")).withColumns({"_y": cell("lat"), "_x": cell("lon")})
+    near = placed.join(dealt, ["_level", "_y", "_x"]).drop("_level", "_y", "_x")
+    return near.where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+
+
 def holding(points: DataFrame, edges: DataFrame) -> DataFrame:
     """``point_id``, ``area_id``: the areas that hold each point, by the even-odd rule.
 
-    points: point_id, lat, lon. Points and boxes meet in grid cells, then points and the area's edges in bands of latitude:
-    two equi-joins, and a count per point and area.
+    points: point_id, lat, lon. Points meet boxes in cells, then the area's edges in bands of latitude: two equi-joins, and a count per
+    point and area. Points on a southern or western border are inside, on others not. An area over the antimeridian must come as two.
     """
-    cell = lambda c: F.floor(c / CELL)
     band = lambda c: F.floor(c / BAND)
-    boxes = shapes(edges).select("area_id", "south", "north", "west", "east")
-    boxes = boxes.withColumn("_y", F.explode(F.sequence(cell(F.col("south")), cell(F.col("north"))))).withColumn("_x", F.explode(F.sequence(cell(F.col("west")), cell(F.col("east")))))
-    placed = points.select("point_id", "lat", "lon", cell(F.col("lat")).alias("_y"), cell(F.col("lon")).alias("_x"))
-    near = placed.join(boxes, ["_y", "_x"]).where(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
+    near = in_boxes(points, shapes(edges).select("area_id", "south", "north", "west", "east"))
     near = near.select("point_id", "lat", "lon", "area_id", band(F.col("lat")).alias("_band"))
     dealt = edges.withColumn("_band", F.explode(F.sequence(band(F.least("a_lat", "b_lat")), band(F.greatest("a_lat", "b_lat")))))
     crossed = near.join(dealt, ["area_id", "_band"]).where(crosses(F.col("lat"), F.col("lon")))

@@ -12,7 +12,7 @@ from wayline.functions import geo, text
 from wayline.operators import areas
 from wayline.operators.carried import scan
 from wayline.operators.distance import first_by, within
-from wayline.operators.stages import tabled
+from wayline.operators.stages import dropped, tabled
 
 #: Short forms and numerals of the names' words, words for the kind of street, and others that name nothing.
 SHORT = {"წმ": "წმინდა", "გენ": "გენერალ", "ქ": "ქუჩა", "ქუჩ": "ქუჩა", "აკად": "აკადემიკოს", "გამზ": "გამზირი", "შეს": "შესახვევი"}
@@ -128,40 +128,41 @@ def clusters(points: DataFrame, metres: float) -> DataFrame:
     points: point_id (one row each), name, lat, lon. Every cluster takes the smallest label of those that links lead to,
     and then that label's own, until no link stands between two; a chain of n points takes some log n rounds.
     """
-    other = points.select(F.col("point_id").alias("r_id"), F.col("name").alias("r_name"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    links = tabled(within(points, other, metres).where("name = r_name and point_id < r_id").select("point_id", "r_id"))
-    now = points.select("point_id", "name", F.col("point_id").alias("cluster"))
+    other = points.select(F.col("point_id").alias("r_id"), "name", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    links = tabled(within(points, other, metres, ["name"]).where("point_id < r_id").select("point_id", "r_id"))
+    now = tabled(points.select("point_id", "name", F.col("point_id").alias("cluster")))
     while True:
         label = now.select("point_id", "cluster")
         ends = links.join(label, "point_id").join(label.select(F.col("point_id").alias("r_id"), F.col("cluster").alias("other")), "r_id")
         hooks = ends.where("cluster <> other").groupBy(F.greatest("cluster", "other").alias("cluster")).agg(F.min(F.least("cluster", "other")).alias("_less"))
         hooks = tabled(hooks)
         if hooks.isEmpty():
+            dropped(hooks, links)
             return now
         after = now.join(hooks, "cluster", "left").select("point_id", "name", F.coalesce("_less", "cluster").alias("cluster"))
         # a label's own label is a shorter way to its smallest point
         own = after.select(F.col("point_id").alias("cluster"), F.col("cluster").alias("_own"))
-        now = tabled(after.join(own, "cluster").select("point_id", "name", F.col("_own").alias("cluster")))
+        done = tabled(after.join(own, "cluster").select("point_id", "name", F.col("_own").alias("cluster")))
+        dropped(hooks, now)
+        now = done
 
 
 def localities(points: DataFrame, boxes: DataFrame, villages: DataFrame, reach: float = 2500) -> DataFrame:
     """The locality of each point: the box that holds it (districts before towns), else the nearest village within reach, else a municipality's box, else -1.
 
-    points: point_id, lat, lon; boxes: area_id, level (10, 8 or 6), south, north, west, east, a few hundred rows; villages: area_id, r_lat, r_lon.
+    points: point_id, lat, lon; boxes: area_id, level (10, 8 or 6), south, north, west, east; villages: area_id, r_lat, r_lon.
     """
-    inside = points.join(F.broadcast(boxes), F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east")))
-    held = first_by(inside, ["point_id"], F.col("level").desc(), "area_id").select("point_id", F.col("area_id").alias("box"), "level")
-    near = first_by(within(points.select("point_id", "lat", "lon"), villages.withColumnRenamed("area_id", "v_id"), reach), ["point_id"], F.round("metres", 3), "v_id").select("point_id", F.col("v_id").alias("village"))
-    all_ = points.select("point_id").join(held, "point_id", "left").join(near, "point_id", "left")
-    return all_.select("point_id", F.coalesce(F.when(F.col("level") >= 8, F.col("box")), "village", "box", F.lit(-1)).alias("area_id"))
+    return localities_in(points, areas.in_boxes(points, boxes), villages, reach)
 
 
 def localities_of_areas(points: DataFrame, edges: DataFrame, levels: DataFrame, villages: DataFrame, reach: float = 2500) -> DataFrame:
-    """The locality of each point: the smallest district or town whose border holds it, else the nearest village within reach, else a municipality, else -1.
+    """The same by borders: edges as in ``areas``; levels: area_id, level."""
+    return localities_in(points, areas.holding(points, edges).join(levels, "area_id"), villages, reach)
 
-    points: point_id, lat, lon; edges as in ``areas``; levels: area_id, level (10, 8 or 6); villages: area_id, r_lat, r_lon.
-    """
-    inside = areas.holding(points, edges).join(levels, "area_id")
+
+def localities_in(points: DataFrame, inside: DataFrame, villages: DataFrame, reach: float) -> DataFrame:
+    """Of the districts and towns that hold a point that of the highest level, then of the least id; else the nearest village within reach,
+    else a municipality, else -1. inside: point_id, area_id, level."""
     held = first_by(inside, ["point_id"], F.col("level").desc(), "area_id").select("point_id", F.col("area_id").alias("held"), "level")
     near = first_by(within(points.select("point_id", "lat", "lon"), villages.withColumnRenamed("area_id", "v_id"), reach), ["point_id"], F.round("metres", 3), "v_id").select("point_id", F.col("v_id").alias("village"))
     all_ = points.select("point_id").join(held, "point_id", "left").join(near, "point_id", "left")

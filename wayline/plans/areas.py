@@ -62,6 +62,14 @@ def g15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.holding(stop_legs(spark, sf_dir).select(F.col("stop_id").alias("point_id"), "lat", "lon"), edges(spark, sf_dir)).select(F.col("point_id").alias("stop_id"), "area_id")
 
 
+@query("j14_point_in_polygon", f"with {EDGES} select stop_id, stop_id in (select stop_id from inside) as inside from stop_leg")
+def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a stop is in any area."""
+    stops = stop_legs(spark, sf_dir).select(F.col("stop_id").alias("point_id"), "lat", "lon")
+    held = areas.holding(stops, edges(spark, sf_dir)).select("point_id").distinct().withColumn("inside", F.lit(True))
+    return stops.join(held, "point_id", "left").select(F.col("point_id").alias("stop_id"), F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
 FAR = haversine("s.lat", "s.lon", "v.lat", "v.lon")
 
 

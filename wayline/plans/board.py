@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from wayline.functions import clock, geo
 from wayline.operators import distance, fleet, linear, order, timetable
 from wayline.plans.base import bearing, haversine, query
+from wayline.sources.reads import Reads
 from wayline.sources.tables import departures, pings, running_times, stop_legs
 
 LEG = ["route_id", "direction"]
@@ -193,6 +194,26 @@ def board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("place", place.cast("bigint"))
 
 
+def reads(spark: SparkSession, sf_dir: str) -> Reads:
+    """The network as a client reads it."""
+    last = distance.first_by(pings(spark, sf_dir), ["plate"], F.col("event_id").desc())
+    return Reads(stop_legs(spark, sf_dir), board(spark, sf_dir), timetable.patterns(stop_times(spark, sf_dir)), last)
+
+
+@query("s18_vehicles_of_lines", "select plate, route_id, lat, lon from (select *, row_number() over (partition by plate order by event_id desc) as n from ping) where n = 1 and route_id in (3, 7, 11)")
+def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads(spark, sf_dir).vehicles([3, 7, 11])
+
+
+@query("s18_stops_and_lines", "select 'stop' as what, stop_id as id, null::bigint as n_stops from stop_leg group by stop_id union all select 'line', route_id, count(distinct stop_id) from stop_leg group by route_id union all select 'stop of line 5', stop_id, null from stop_leg where route_id = 5")
+def s18_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lists of stops and lines and a line's page show."""
+    network, none = reads(spark, sf_dir), F.lit(None).cast("bigint").alias("n_stops")
+    lines = network.routes().select(F.lit("line").alias("what"), F.col("route_id").alias("id"), "n_stops")
+    stops = network.stops().select(F.lit("stop").alias("what"), F.col("stop_id").alias("id"), none)
+    return stops.unionByName(lines).unionByName(network.route(5).select(F.lit("stop of line 5").alias("what"), F.col("stop_id").alias("id"), none))
+
+
 @query("j03_headsigns", "with last as (select route_id, direction, max(seq) as s from stop_leg group by route_id, direction), name as (select s.route_id, s.direction, s.stop_id from stop_leg s join last l on s.route_id = l.route_id and s.direction = l.direction and s.seq = l.s and s.route_id % 5 > 0) select s.stop_id, coalesce('Stop ' || n.stop_id, 'Route ' || s.route_id) as headsign from stop_leg s left join name n using (route_id, direction)")
 def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = stop_legs(spark, sf_dir)

@@ -163,20 +163,6 @@ def g13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pings(spark, sf_dir).select("event_id", F.when(b >= a, b - a).otherwise(b - a + 10000).alias("metres"))
 
 
-POLYGON = [(41.51, 41.52), (41.55, 41.50), (41.57, 41.56), (41.53, 41.60), (41.505, 41.57)]
-
-
-@query("j14_point_in_polygon", f"""with edge(k, a_lat, a_lon, b_lat, b_lon) as (values {", ".join(f"({k}, {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for k, (a, b) in enumerate(zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True)))})
-select stop_id, coalesce(sum(case when (a_lat > lat) <> (b_lat > lat) and lon < (b_lon-a_lon)*(lat-a_lat)/(b_lat-a_lat)+a_lon then 1 else 0 end), 0) % 2 = 1 as inside from stop_leg, edge group by stop_id""")
-def j14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even-odd rule; the polygon's edges are a fixed list of literals."""
-    crossings = F.lit(0)
-    for (a_lat, a_lon), (b_lat, b_lon) in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True):
-        spans = (F.lit(a_lat) > F.col("lat")) != (F.lit(b_lat) > F.col("lat"))
-        crossings = crossings + (spans & (F.col("lon") < F.lit(b_lon - a_lon) * (F.col("lat") - a_lat) / (b_lat - a_lat) + a_lon)).cast("int")
-    return stop_legs(spark, sf_dir).select("stop_id", (crossings % 2 == 1).alias("inside"))
-
-
 @query("g18_tile", "select stop_id, cast(floor((lon+180)/360*16384) as bigint) as x, cast(floor((1-ln(tan(radians(lat))+1/cos(radians(lat)))/3.141592653589793)/2*16384) as bigint) as y from stop_leg")
 def g18(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.tile(F.col("lat"), F.col("lon"), 14)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,9 @@ from pyspark.sql.window import Window
 from wayline.functions import text
 from wayline.operators import resolve, search
 from wayline.operators.streets import same_words, streets_of
+from wayline.operators.stages import shared_folder
 from wayline.plans.base import query
+from wayline.sources.names import first_filled, latin_only, looked_up, read_names
 from wayline.sources.tables import stop_legs, table
 
 
@@ -43,8 +47,7 @@ def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.when(key() % 3 == 0, "known")
     latin = F.when(key() % 3 == 1, F.col("p_name")).otherwise("რუსთაველი")
     own = F.concat(F.lit("x"), key().cast("string"))
-    feed = F.when(latin.rlike("[A-Za-z]") & ~latin.rlike(text.GEORGIAN_SCRIPT), latin)
-    return parts(spark, sf_dir).select("p_partkey", F.coalesce(known, feed, own).alias("en"), F.coalesce(known, own).alias("other"))
+    return parts(spark, sf_dir).select("p_partkey", first_filled(known, latin_only(latin), own).alias("en"), first_filled(known, own).alias("other"))
 
 
 @query("t23_table_key", "select p_partkey, replace(p_name, ' ', '№ ') as k from part")
@@ -56,12 +59,27 @@ def t23(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t24(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A name's translation by the whole name, or without its house number, which is put back."""
     full = F.concat("p_name", F.when(key() % 2 == 0, F.concat(F.lit(" №"), F.col("p_size").cast("string"))).otherwise(""))
-    base, number = text.house_number(full)
-    rows = parts(spark, sf_dir).withColumn("full", full).withColumn("base", base).withColumn("number", number)
-    known = parts(spark, sf_dir).select(F.col("p_name").alias("k")).distinct().withColumn("ru", F.concat(F.lit("ru-"), "k"))
-    direct = rows.join(known.withColumnsRenamed({"k": "full", "ru": "direct"}), "full", "left").join(known.withColumnRenamed("k", "base"), "base", "left")
-    found = F.coalesce("direct", F.when(F.col("number").isNull() | F.contains("ru", "number"), F.col("ru")).otherwise(F.concat("ru", F.lit(" №"), "number")))
-    return direct.select("p_partkey", F.when(F.col("p_size") % 4 != 0, found).alias("ru"))
+    names = parts(spark, sf_dir).select(F.col("p_name").alias("key"), F.concat(F.lit("ru-"), "p_name").alias("ru"), F.lit(None).cast("string").alias("en")).distinct()
+    found = looked_up(parts(spark, sf_dir).withColumn("full", full), "full", names)
+    return found.select("p_partkey", F.when(F.col("p_size") % 4 != 0, F.col("ru")).alias("ru"))
+
+
+@query("s12_names_table", """with known as (select p_name as k, min(p_partkey) as n from part group by p_name),
+asked as (select p_partkey, p_name, p_size, case p_partkey % 4 when 0 then null when 3 then p_size || 'ა' else cast(p_size as varchar) end as num, p_partkey % 5 = 0 as other from part)
+select p_partkey,
+  case when other or n % 3 = 0 then null when num is null then 'ru-' || p_name when p_partkey % 4 = 3 then 'ru-' || p_name || ' №' || p_size || 'а' else 'ru-' || p_name || ' №' || num end as ru,
+  case when other or n % 4 = 0 then null when num is null then 'en-' || p_name when p_partkey % 4 = 3 then 'en-' || p_name || ' №' || p_size || 'a' else 'en-' || p_name || ' №' || num end as en
+from asked join known on k = p_name""")
+def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations from a table of names that was written as a document and read back; numbers of poles are put back in the reader's letters."""
+    known = parts(spark, sf_dir).groupBy("p_name").agg(F.min("p_partkey").alias("n"))
+    entry = F.struct(F.when(F.col("n") % 3 > 0, F.concat(F.lit("ru-"), "p_name")).otherwise("").alias("ru"), F.when(F.col("n") % 4 > 0, F.concat(F.lit("en-"), "p_name")).alias("en"), F.lit("map").alias("src"), F.lit("exact").alias("tier"))
+    at = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    known.groupBy((F.col("n") % 3).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("p_name", entry))).alias("names")).select("names").write.json(at)  # tens of names
+    number = F.when(key() % 4 == 3, F.concat(F.col("p_size").cast("string"), F.lit("ა"))).when(key() % 4 > 0, F.col("p_size").cast("string"))
+    sign = F.when(key() % 2 == 0, " #").otherwise("  №  ")
+    spelled = F.concat(F.when(key() % 5 == 0, "no such ").otherwise(" "), "p_name", F.coalesce(F.concat(sign, number), F.lit(" ")))
+    return looked_up(parts(spark, sf_dir).withColumn("spelled", spelled), "spelled", read_names(spark, at, whole_files=False)).select("p_partkey", "ru", "en")
 
 
 @query("t25_suffix_letters", "select p_partkey, p_size || ['a', 'b', 'c', 'd', 'z'][p_partkey % 5 + 1] as number from part")

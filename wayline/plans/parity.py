@@ -10,7 +10,9 @@ from wayline.functions import geo, text
 from wayline.operators import distance, fleet, planner, search, streets
 from wayline.operators.close import close_words
 from wayline.plans.base import haversine, query
+from wayline.plans.board import TRACK
 from wayline.plans.journeys import options
+from wayline.sources.names import first_filled
 from wayline.sources.tables import pings, stop_legs, table
 from wayline.streaming import run, state
 
@@ -141,7 +143,7 @@ def r04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet.track(slow).select("event_id", (F.col("first_ms") == F.col("now_ms")).alias("anew"))
 
 
-@query("r06_tracks_by_rate")
+@query("r06_tracks_by_rate", f"{TRACK} select event_id, round(speed, 3) as kmh from run where seen > moved")
 def r06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speeds of vehicles that stand, from a stream: halved every minute, however often they are seen."""
     from wayline.plans.streams import ping_stream
@@ -169,7 +171,7 @@ def t35(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t39_name_ladder", "select p_partkey, coalesce(case when p_partkey % 4 = 0 then 'ru' end, case when p_partkey % 3 = 0 then 'en' end, p_name) as ru from part")
 def t39(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    ladder = F.coalesce(*(F.nullif(x, F.lit("")) for x in (F.when(k % 4 == 0, "ru").otherwise(""), F.when(k % 3 == 0, "en").otherwise(""), F.col("p_name"))))
+    ladder = first_filled(F.when(k % 4 == 0, "ru").otherwise(""), F.when(k % 3 == 0, "en").otherwise(""), F.col("p_name"))
     return parts(spark, sf_dir).select("p_partkey", ladder.alias("ru"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.plans.base import query
-from wayline.plans.board import RAW
+from wayline.plans.board import RAW, TRACK
 from wayline.sources.tables import ROUTES, table
 from wayline.streaming import run, state
 
@@ -25,10 +25,11 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
 
 
-@query("r01_track_stream")
+@query("r01_track_stream", f"""{TRACK}
+select event_id, plate, now_ms, lat, lon, round(heading, 3) as heading, round(speed, 3) as speed_kmh, moved as moved_ms, seen as seen_ms, began as first_ms from run""")
 def r01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each vehicle after every sample, kept between batches."""
-    return run.appended(state.tracks(ping_stream(spark, sf_dir)))
+    return run.appended(state.tracks(ping_stream(spark, sf_dir))).withColumns({"heading": F.round("heading", 3), "speed_kmh": F.round("speed_kmh", 3)})
 
 
 @query("r03_ratchet_stream", f"""with recursive {RAW}, x as (select *, row_number() over (partition by key order by now_ms) as n from raw),

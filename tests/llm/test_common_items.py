@@ -65,3 +65,55 @@ def test_recall_by_kind(spark):
     hit = Counter(k for i, (k, _, _) in enumerate(items) if (100_000 + i, i) in pairs)
     assert all(hit[k] >= 18 for k in ("common", "a fifth", "a third", "swapped")) and hit["verbatim"] == 20, hit
     assert len(pairs) <= sum(hit.values()) + 2
+
+
+def test_long_items_are_decided_as_a_whole(spark):
+    """Items of 65 to 600 words: whole ones are found, also with words replaced; documents that quote a part, but not most and the answer, are clean."""
+    rng = random.Random(12)
+    docs = [(r.doc_id, r.text or "") for r in read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    usual = [w for w, _ in Counter(w for _, t in docs for w in set(decontaminate.WORD.findall(t.lower()))).most_common(3000)]
+    hosts = [t.split() for _, t in docs if 60 < len(t.split()) < 800]
+    items, planted, whole, quoting = [], [], set(), set()
+    replaced = lambda words, share: [rng.choice(usual) if rng.random() < share else w for w in words]
+    for i in range(30):
+        words = [rng.choice(usual) for _ in range(rng.choice([65, 66, 100, 129, 250, 600]) if i < 24 else 600)]
+        items.append((i, " ".join(words)))
+        n = len(words)
+        kinds = [words, replaced(words, 0.2), replaced(words, 0.35)] if i < 24 else [words[:60], words[: n // 2], words[n // 4 : n // 2], words[-60:], words[: n // 10] + words[-n // 10 :]]
+        for k, held in enumerate(kinds):
+            host = rng.choice(hosts)
+            at = rng.randint(0, len(host))
+            planted.append((100_000 + i * 10 + k, " ".join([*host[:at], *held, *host[at:]])))
+            (whole if i < 24 else quoting).add((100_000 + i * 10 + k, i))
+    found = decontaminate.matches(spark.createDataFrame(docs + planted, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    pairs = {(r.doc_id, r.item_id) for r in found}
+    assert not pairs & quoting
+    by_kind = Counter(d % 10 for d, _ in pairs & whole)
+    assert by_kind[0] == 24 and min(by_kind[1], by_kind[2]) >= 22 and len(pairs) <= len(whole), by_kind
+    assert all(r.common_share == 1 and r.answer_share == 1 for r in found if r.doc_id % 10 == 0 and r.doc_id >= 100_000)
+
+
+def test_matches_are_those_of_all_pairs(spark):
+    """Small texts over few words: what is found holds enough of an item in order, and every verbatim item is found."""
+    rng = random.Random(5)
+    words = [f"v{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([6, 20, 70, 140])))) for k in range(24)]
+    docs = []
+    for k in range(90):
+        own = rng.choices(words, k=rng.randint(0, 80))
+        held = rng.choice(items)[1].split() if k % 3 else []
+        cut = len(held) if k % 3 == 1 else rng.randint(0, len(held))
+        docs.append((k, " ".join([*own, *held[:cut], *rng.choices(words, k=10)])))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+
+    def share(item, doc):
+        numbers = {w: i for i, w in enumerate({*item, *doc})}
+        return decontaminate.common_length(decontaminate.places([numbers[w] for w in item]), len(item), [numbers[w] for w in doc]) / len(item)
+
+    for d, text in docs:
+        for i, item in items:
+            own = item.split()
+            if (d, i) in found:
+                assert share(own, text.split()) >= decontaminate.LIKELY
+            else:
+                assert item not in text and not (share(own, text.split()) > 0.95 and len(own) > 10)

@@ -6,9 +6,10 @@ one more pass, the sketch of a randomised singular value decomposition of the
 TF-IDF matrix of all passages and of the benchmark's items, which weigh as much
 as all documents together; its axes span the latent space. Overlapping windows,
 about as long as an item, whose latent vector is near the item's are candidates, and for items that the
-space hardly holds those that share a run of words. Their longest common
-subsequence with the item decides, and below a clear match the item's answer,
-its last third, must be there too.
+space hardly holds those that share a run of words. Long items are looked for
+by their parts. The longest common subsequence of the whole item with the words
+around decides, and below a clear match the item's answer, its last third, must
+be there too.
 
 The benchmark is taken in groups of items of bounded size; each group is
 collected and broadcast, and documents go by once for each. Null texts have no
@@ -68,23 +69,29 @@ def places(words: list[int]) -> dict[int, int]:
 
 @dataclass
 class Items:
-    """Parts of the benchmark's items, as word numbers."""
+    """Parts of the benchmark's items, as word numbers; retrieval looks for parts, and the whole item decides."""
 
     item: list[int]
     words: list[list[int]]
     number: dict[str, int]
+    whole: list[list[int]]  #: the words of each item
+    row: list[int]  #: of each part its item's place in ``whole``, and the number of that one's words before it
+    before: list[int]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
         number: dict[str, int] = {}
-        item, parts = [], []
+        item, parts, whole, row, before = [], [], [], [], []
         for i, text in rows:
             words = [number.setdefault(w, len(number)) for w in WORD.findall((text or "").lower())]
             count = -(-len(words) // ITEM_WORDS)
             for k in range(count):  # parts of about the same length
                 item.append(i)
                 parts.append(words[k * len(words) // count : (k + 1) * len(words) // count])
-        return cls(item, parts, number)
+                row.append(len(whole))
+                before.append(k * len(words) // count)
+            whole.append(words)
+        return cls(item, parts, number, whole, row, before)
 
 
 def passage_terms(ids: list[np.ndarray], n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -136,15 +143,15 @@ class LatentItems:
     weak: list[int]  #: parts to look up by runs of words too
 
     def __post_init__(self) -> None:
-        self.masks = [places(w) for w in self.items.words]
+        self.masks = [places(w) for w in self.items.whole]
         self.terms = np.vstack([self.terms, np.zeros((1, self.terms.shape[1]), np.float32)])  # a word that is in no item, of number -1, adds nothing
         widths = [min(WIDEST, max(NARROWEST, round(len(w) / BLOCK))) for w in self.items.words]
         self.scales = {}  # by blocks of a window: the parts of about that length, and their vectors
         for width in sorted(set(widths)):
             parts = [i for i, x in enumerate(widths) if x == width]
             self.scales[width] = parts, np.ascontiguousarray(self.vectors[parts].T)
-        self.weights = [self.idf[w].tolist() for w in self.items.words]
-        self.answers = [w[-max(1, len(w) // 3) :] for w in self.items.words]
+        self.weights = [self.idf[w].tolist() for w in self.items.whole]
+        self.answers = [w[-max(1, len(w) // 3) :] for w in self.items.whole]
         self.answer_masks = [places(w) for w in self.answers]
         self.runs: dict[int, dict[int, list[int]]] = {}  # by length and hash, the weak parts
         for part in self.weak:
@@ -190,6 +197,7 @@ class LatentItems:
         ids[np.repeat(begin * BLOCK - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = np.concatenate(docs)
         sums, listed = self.windows(ids), ids.tolist()
         low, high = (begin * BLOCK).tolist(), (begin * BLOCK + sizes).tolist()
+        tried: set[tuple[int, int, int]] = set()
         exact: dict[int, set[tuple[int, int]]] = {}  # of each part the documents and blocks that hold a run of it
         for at, n, part in self.shared_runs(ids):
             doc = int(np.searchsorted(begin, at // BLOCK, side="right")) - 1
@@ -207,35 +215,47 @@ class LatentItems:
                 row, k = np.nonzero(product >= NEAR * length[:, None])
                 near = product[row, k] / length[row]
                 for d, b, j, x in zip(doc[i + row].tolist(), first[i + row].tolist(), k.tolist(), near.tolist(), strict=True):
-                    self.check(listed, low[d], high[d], b * BLOCK, width * BLOCK, parts[j], x, out[d])
+                    self.check(listed, low[d], high[d], b * BLOCK, width * BLOCK, parts[j], x, out[d], tried)
             for j, part in enumerate(parts):
                 for d, b in exact.get(part, ()):
                     end = min(b + width, int(begin[d] + n_blocks[d]))
                     start = max(int(begin[d]), end - width)
                     own = sums[end] - sums[start]
-                    self.check(listed, low[d], high[d], start * BLOCK, width * BLOCK, part, float(own @ vectors[:, j] / max(np.linalg.norm(own), 1e-9)), out[d])
-
-    def check(self, ids: list[int], low: int, high: int, start: int, size: int, part: int, near: float, out: dict[int, tuple[float, float, float, int]]) -> None:
-        """Keeps the part's item in out if the document's words (low to high) around the window hold enough of it, and of its answer."""
-        words = self.items.words[part]
+                    self.check(listed, low[d], high[d], start * BLOCK, width * BLOCK, part, float(own @ vectors[:, j] / max(np.linalg.norm(own), 1e-9)), out[d], tried)
+
+    def check(self, ids: list[int], low: int, high: int, start: int, size: int, part: int, near: float, out: dict[int, tuple[float, float, float, int]], tried: set[tuple[int, int, int]]) -> None:
+        """Keeps the part's item in out if the document's words (low to high) around the window hold enough of it, and of its answer.
+
+        Of an item of several parts the window's own must be there for the most; then the words where all of it would lie are looked at, once
+        for windows that agree on the place but for a quarter of its length.
+        """
+        row, before = self.items.row[part], self.items.before[part]
+        words, own = self.items.whole[row], self.items.words[part]
+        if len(own) < len(words):
+            margin = max(STRIDE, len(own) // 2)
+            there = set(ids[max(low, start - margin) : min(high, start + size + margin)])
+            place = (low, row, (start - before) // (len(words) // 4))
+            if place in tried or sum(w in there for w in own) < LIKELY * len(own):
+                return
+            tried.add(place)
         margin = max(STRIDE, len(words) // 2)
-        context = ids[max(low, start - margin) : min(high, start + size + margin)]
+        context = ids[max(low, start - before - margin) : min(high, start + size + len(words) - len(own) - before + margin)]
         there = set(context)
         held = [w in there for w in words]
         if sum(held) < LIKELY * len(words):  # no more of them can be in order
             return
-        weights = self.weights[part]
+        weights = self.weights[row]
         light = sum(x for x, y in zip(weights, held, strict=True) if y) < WEIGHT * sum(weights)
         if light and sum(held) < CLEAR * len(words):
             return
-        share = common_length(self.masks[part], len(words), context) / len(words)
+        share = common_length(self.masks[row], len(words), context) / len(words)
         if share < LIKELY or light and share < CLEAR:
             return
-        answer = self.answers[part]
-        answered = common_length(self.answer_masks[part], len(answer), context) / len(answer)
+        answer = self.answers[row]
+        answered = common_length(self.answer_masks[row], len(answer), context) / len(answer)
         if share >= CLEAR or answered >= (ANSWER if share * len(words) >= FEW else SURE):
             item = self.items.item[part]
-            out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (share, answered, near, low - start))
+            out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (share, answered, near, low - max(low, start - before)))
 
 
 def read_ids(column: pa.Array) -> list[np.ndarray]:

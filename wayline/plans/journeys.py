@@ -174,6 +174,43 @@ def j23(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.undominated(options(spark, sf_dir)).select("query_id", "o_orderkey")
 
 
+LINES = """line as (select l_orderkey as query_id, l_suppkey as route_id, 1 + l_linenumber % 2 as direction, l_partkey as from_stop, l_partkey + 1 as to_stop, l_quantity as minutes, l_linenumber % 4/2e0 as walk,
+  row_number() over w as i from lineitem where l_returnflag = 'N' window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)),
+journey as (select l_orderkey as query_id from lineitem group by l_orderkey)"""
+
+
+def made_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a journey: each line that was not returned is a ride after a short walk, or none; at the end one more walk."""
+    line = table(spark, sf_dir, "lineitem")
+    ride = F.struct(F.col("l_suppkey").alias("route_id"), (1 + F.col("l_linenumber") % 2).alias("direction"), F.col("l_partkey").alias("from_stop"), (F.col("l_partkey") + 1).alias("to_stop"), F.col("l_quantity").alias("minutes"), (F.col("l_quantity") * 300).alias("metres"))
+    foot = lambda minutes: F.struct(minutes.alias("minutes"), (minutes * 60).alias("metres"))
+    walk = foot(F.col("l_linenumber") % 4 / F.lit(2.0))
+    each = F.when(F.col("l_returnflag") == "N", F.struct("l_linenumber", "l_partkey", "l_suppkey", ride.alias("ride"), walk.alias("walk")))
+    rows = line.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.sort_array(F.collect_list(each)).alias("x"))  # seven lines at most
+    return rows.select("query_id", F.lit(1).alias("place"), F.transform("x", lambda x: x["ride"]).alias("rides"), F.concat(F.transform("x", lambda x: x["walk"]), F.array(foot(F.lit(1.5)))).alias("walks"))
+
+
+@query("c07_priced_journeys", f"""with {LINES}, total as (select query_id, count(*) as n, sum(minutes) as ride, sum(walk) as walk, string_agg(route_id || ':' || direction, '>' order by i) as key from line group by query_id),
+t as (select query_id, coalesce(n, 0) as n, coalesce(ride, 0e0) as ride, coalesce(walk, 0e0) + 1.5e0 as walk, coalesce(key, 'walk') as key from journey left join total using (query_id))
+select query_id, round(ride + walk, 6) as minutes, round(walk, 6) as walk_minutes, cast(n as int) as n_rides, round(ride + walk + 0.5e0*walk + 5*n + 5*greatest(n - 1, 0), 6) as cost, key from t""")
+def c07_priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What journeys take and cost, and the key of their lines."""
+    rows = planner.price(made_up(spark, sf_dir))
+    return rows.select("query_id", *(F.round(c, 6).alias(c) for c in ("minutes", "walk_minutes")), "n_rides", F.round("cost", 6).alias("cost"), "key")
+
+
+@query("p13_journey_steps", f"""with {LINES}, last as (select query_id, arg_max(to_stop, i) as stop from line group by query_id),
+leg as (
+  select query_id, i, 0 as k, 'walk' as kind, lag(to_stop) over (partition by query_id order by i) as from_stop, from_stop as to_stop, walk as minutes, walk*60 as metres from line
+  union all select query_id, i, 1, 'ride', from_stop, to_stop, minutes, minutes*300 from line
+  union all select query_id, 1000000, 0, 'walk', stop, null, 1.5e0, 90e0 from journey left join last using (query_id))
+select query_id, row_number() over (partition by query_id order by i, k) - 1 as step, kind, from_stop, to_stop, round(minutes, 6) as minutes, round(metres, 6) as metres from leg where kind = 'ride' or metres > 1""")
+def p13_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legs of journeys in order; walks of up to a metre are left out."""
+    rows = planner.steps(made_up(spark, sf_dir))
+    return rows.select("query_id", F.col("step").cast("bigint").alias("step"), "kind", "from_stop", "to_stop", F.round("minutes", 6).alias("minutes"), F.round("metres", 6).alias("metres"))
+
+
 @query("w10_rank", f"""with {OPTIONS}, c as (select *, minutes + 0.5e0*walk_minutes + 5*n_rides as cost, cast(o_orderkey % 7 as varchar) as key from option),
 once as (select * from (select *, row_number() over (partition by query_id, key order by round(cost, 6), round(minutes, 6), o_orderkey) as r from c) where r = 1),
 kept as (select *, min(cost) over (partition by query_id) as least, row_number() over (partition by query_id, n_rides > 0 order by round(cost, 6), round(minutes, 6), key) as bus from once)

@@ -268,7 +268,7 @@ def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
     houses = houses.select("street_id", F.col("p_partkey").alias("ord"), F.col("p_size").cast("string").alias("number"), "lat", "lon")
     areas = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.concat(F.lit("Small "), F.col("n_name")).alias("name"), F.lit(41.6).alias("lat"), F.lit(41.6).alias("lon"), (F.col("n_nationkey") % 2 == 0).alias("settlement"))
     areas = areas.withColumn("words", text.searchable(text.words(F.col("name"))))
-    places = parts(spark, sf_dir).where("p_partkey % 7 = 0").join(legs, "p_partkey").select(key().alias("id"), F.concat("p_name", F.lit(" hotel")).alias("name"), F.split(F.lower("p_type"), " ").alias("types"), "lat", "lon", (F.col("p_size") > 25).alias("prominent"))
+    places = parts(spark, sf_dir).join(legs, "p_partkey").select(key().alias("id"), F.concat("p_name", F.lit(" hotel")).alias("name"), F.split(F.lower("p_type"), " ").alias("types"), "lat", "lon", (F.col("p_size") > 25).alias("prominent"))
     places = places.withColumn("words", text.searchable(text.words(F.col("name"))))
     return search.search(asked(spark, sf_dir), areas, rows, houses, places)
 
@@ -288,6 +288,16 @@ def k14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.array_join(F.array_sort("types"), ",").alias("words"))
 
 
+@query("k14_own_dictionary", """with kind as (select p_brand, count(*) as n, min(p_type) as t from part group by p_brand having p_brand <> 'Brand#3')
+select p_partkey, case when n is null then '' else array_to_string(list_sort(list_distinct([lower(t), 'brand', p_brand[7:], 'of', cast(n as varchar)])), ',') end as words from part left join kind using (p_brand)""")
+def k14_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of places' kinds from a dictionary that the caller brings: of each brand but one, in capitals and with marks."""
+    each = table(spark, sf_dir, "part").where("p_brand <> 'Brand#3'").groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_type").alias("t"))
+    dictionary = each.select(F.col("p_brand").alias("kind"), F.concat_ws(" ", "t", F.upper("p_brand"), F.lit("of"), F.concat(F.lit("("), "n", F.lit(")"))).alias("words"))
+    found = search.with_type_words(parts(spark, sf_dir), "p_brand", dictionary)
+    return found.select("p_partkey", F.array_join(F.array_sort("types"), ",").alias("words"))
+
+
 @query("k14_places_by_kind", f"""with place as (select p_partkey as id, {KINDS_SQL} as kind from part),
 q(query_id, kind) as (values (0, 'pharmacy'), (1, 'cafe'), (2, 'hotel'), (3, 'hospital'))
 select q.query_id, place.id from q join place using (kind)""")

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from wayline.llm.chat import grouped, per_group, runs
+from wayline.llm.chat import per_group, runs
 from wayline.llm.common import per_task, shared_dir
 
 #: Rows of a chunk; a power of two.

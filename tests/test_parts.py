@@ -3,8 +3,6 @@
 import json
 import random
 
-from pyspark.sql import functions as F
-
 from wayline.operators import order
 from wayline.sources import elements
 from wayline.streaming import run, state

@@ -166,6 +166,29 @@ def capital(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
 
 
+def styled(name: Column, rules: list[tuple[str, str]]) -> Column:
+    """A name rewritten by the first rule (pattern, replacement) that fits, if any, with a capital first letter."""
+    out = name
+    for pattern, new in reversed(rules):
+        out = F.when(name.rlike(pattern), F.regexp_replace(name, pattern, new)).otherwise(out)
+    return capital(out)
+
+
+def says(tag: Column, nothing: str = "yes") -> Column:
+    """A tag's value unless it only says that the tag is there."""
+    return F.nullif(tag, F.lit(nothing))
+
+
+def specific(tags: list[Column], nothing: str = "yes") -> Column:
+    """The first of several tags that says more than that it is there; else that, if one is there."""
+    return F.coalesce(*(says(t, nothing) for t in tags), *tags)
+
+
+def recalls(name: Column, asked: Column) -> Column:
+    """Whether a folded name holds what was asked for, folded."""
+    return F.contains(fold(name), fold(asked))
+
+
 def house_number(text: Column) -> tuple[Column, Column]:
     """A name without its trailing number, and the number (null if it has none)."""
     number = F.nullif(F.regexp_extract(text, r"\s*№\s*(\d[^\s№]*)$", 1), F.lit(""))

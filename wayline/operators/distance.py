@@ -37,6 +37,11 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def first_few(df: DataFrame, keys: Sequence[str], n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of each key in an order; the window keeps no more of them in each task."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
 def access(points: DataFrame, stops: DataFrame, near: float = 1200, far: float = 3000, most: int = 3) -> DataFrame:
     """Stops that a point walks to: all within ``near``, or where there is none the nearest ``most`` within ``far``."""
     both = within(points, stops, far)

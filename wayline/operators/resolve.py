@@ -122,6 +122,23 @@ def match_names(names: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("name", F.when(swap, F.col("o_id")).otherwise(F.col("k_id")).alias("k_id"), F.when(swap, F.concat("tier", F.lit("/loose"))).otherwise(F.col("tier")).alias("tier"))
 
 
+def overridden(rows: DataFrame, key: str, column: str, by_hand: DataFrame) -> DataFrame:
+    """The rows with ``column`` as someone wrote it by hand where they did. by_hand: key (each once), column; null ones change nothing."""
+    own = by_hand.select(F.col(key), F.col(column).alias("_by_hand"))
+    return rows.join(own, key, "left").select(*(F.coalesce("_by_hand", column).alias(column) if c == column else c for c in rows.columns))
+
+
+def coverage(matches: DataFrame, tier: str, named: Column) -> DataFrame:
+    """Of each tier of matches how many there are (``n``) and how many have a name (``named``)."""
+    return matches.groupBy(tier).agg(F.count("*").alias("n"), F.count_if(named).alias("named"))
+
+
+def script_gate(rows: DataFrame, group: str, name: Column, letters: str, share: float) -> DataFrame:
+    """Of each group the number of names, of those with such letters (``marked``), and whether these are share enough (``passes``)."""
+    counted = rows.groupBy(group).agg(F.count("*").alias("n"), F.count_if(name.rlike(letters)).alias("marked"))
+    return counted.withColumn("passes", F.col("marked") >= share * F.col("n"))
+
+
 def clusters(points: DataFrame, metres: float) -> DataFrame:
     """Points of one name that chains of short hops connect: point_id, name, cluster (its smallest point).
 

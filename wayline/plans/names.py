@@ -169,9 +169,7 @@ def t37(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t40_style", "select p_partkey, case when p_name like 'red %' then 'Rd ' || p_name[5:] when p_name like '% gear' then upper(p_name[1]) || p_name[2:-6] || ' gr.' else upper(p_name[1]) || p_name[2:] end as name from part")
 def t40(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that fits rewrites a name, and its first letter is a capital."""
-    name = F.col("p_name")
-    styled = F.when(name.rlike("^red "), F.regexp_replace(name, "^red ", "rd ")).when(name.rlike(" gear$"), F.regexp_replace(name, " gear$", " gr.")).otherwise(name)
-    return parts(spark, sf_dir).select("p_partkey", text.capital(styled).alias("name"))
+    return parts(spark, sf_dir).select("p_partkey", text.styled(F.col("p_name"), [("^red ", "rd "), (" gear$", " gr.")]).alias("name"))
 
 
 @query("t41_split_house_number", "select p_partkey, p_name as base, case when p_partkey % 3 > 0 then p_size || case when p_partkey % 3 = 2 then 'ა' else '' end end as number from part")
@@ -184,14 +182,13 @@ def t41(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("t42_overrides", "select p_partkey, coalesce(case when p_partkey % 10 = 0 then 'by hand' end, p_name) as name from part")
 def t42(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parts(spark, sf_dir)
-    hand = rows.where(key() % 10 == 0).select("p_partkey", F.lit("by hand").alias("hand"))
-    return rows.join(hand, "p_partkey", "left").select("p_partkey", F.coalesce("hand", "p_name").alias("name"))
+    rows = parts(spark, sf_dir).select("p_partkey", F.col("p_name").alias("name"))
+    return resolve.overridden(rows, "p_partkey", "name", rows.where(key() % 10 == 0).select("p_partkey", F.lit("by hand").alias("name")))
 
 
 @query("t43_recalled", "select p_partkey from part where contains(strip_accents(lower(p_name)), 'l b')")
 def t43(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(spark, sf_dir).where(F.contains(text.fold(F.col("p_name")), F.lit("l b"))).select("p_partkey")
+    return parts(spark, sf_dir).where(text.recalls(F.col("p_name"), F.lit(" L-B "))).select("p_partkey")
 
 
 @query("k03_number_key", "select p_partkey, p_size || ['а', 'б', 'г', 'г', 'а'][p_partkey % 5 + 1] as k from part")

@@ -116,7 +116,7 @@ def o04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o11_preview", "select o_custkey, array_to_string(list(o_orderkey order by o_orderkey)[1:6], ',') as first from orders group by o_custkey")
 def o11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("n <= 6")
+    few = distance.first_few(table(spark, sf_dir, "orders"), ["o_custkey"], 6, "o_orderkey")
     return few.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("o_orderkey")), ",").alias("first"))
 
 
@@ -124,7 +124,7 @@ def o11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p17(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, yes = F.col("p_partkey"), F.lit("yes")
     first, second = F.when(key % 2 == 0, yes).otherwise(F.col("p_brand")), F.when(key % 3 == 0, yes).otherwise(F.col("p_type"))
-    return parts(spark, sf_dir).select("p_partkey", F.coalesce(F.nullif(first, yes), F.nullif(second, yes), yes).alias("kind"))
+    return parts(spark, sf_dir).select("p_partkey", text.specific([first, second]).alias("kind"))
 
 
 @query("r02_carried_direction", "select event_id, last_value(case when event_id % 4 = 0 then event_id % 2 + 1 + (event_id // 8) % 2 end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as direction from events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions import geo
-from wayline.operators import linear
+from wayline.operators import linear, resolve, search
 from wayline.operators.distance import first_by
 from wayline.plans.base import SEGMENTS, query
 from wayline.sources import feed
@@ -191,9 +191,7 @@ def j22(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j25_search_without_recents", "select p_partkey, 1 as block from part where p_name like 'r%' and p_partkey not in (select p_partkey from part where p_size = 7) union all select p_partkey, 0 from part where p_size = 7")
 def j25(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    recent = part.where("p_size = 7").select("p_partkey")
-    found = part.where(F.col("p_name").startswith("r")).select("p_partkey").join(recent, "p_partkey", "left_anti")
-    return found.withColumn("block", F.lit(1)).unionByName(recent.withColumn("block", F.lit(0)))
+    return search.after_recents(part.where(F.col("p_name").startswith("r")).select("p_partkey"), part.where("p_size = 7"), "p_partkey")
 
 
 @query("j26_stops_of_line", "select stop_id from stop_leg where route_id = 9")
@@ -229,7 +227,7 @@ def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a11_coverage", "select case when p_size > 30 then 'exact' when p_size > 10 then 'near' else 'loose' end as tier, count(*) as n, count(*) filter (where p_partkey % 2 = 0) as named from part group by tier")
 def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = F.when(F.col("p_size") > 30, "exact").when(F.col("p_size") > 10, "near").otherwise("loose")
-    return table(spark, sf_dir, "part").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if(F.col("p_partkey") % 2 == 0).alias("named"))
+    return resolve.coverage(table(spark, sf_dir, "part").withColumn("tier", tier), "tier", F.col("p_partkey") % 2 == 0)
 
 
 @query("a13_distinct", "select distinct route_id, direction from stop_leg")
@@ -239,8 +237,7 @@ def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a15_script_gate", "select lang, count(*) as n, count(*) filter (where regexp_matches(text, '[à-ÿ]')) as marked, count(*) filter (where regexp_matches(text, '[à-ÿ]')) >= 0.9*count(*) as passes from documents group by lang")
 def a15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike("[à-ÿ]")).alias("marked"))
-    return rows.withColumn("passes", F.col("marked") >= 0.9 * F.col("n"))
+    return resolve.script_gate(table(spark, sf_dir, "documents"), "lang", F.col("text"), "[à-ÿ]", 0.9)
 
 
 @query("a16_journey_totals", "select l_orderkey, sum(l_quantity) as minutes, count(*) filter (where l_returnflag = 'N') as rides, round(sum(case when l_returnflag <> 'N' then l_extendedprice else 0 end), 2) as walk, string_agg(case when l_returnflag = 'N' then l_linenumber::varchar else '~' end, '>' order by l_linenumber, l_quantity, l_returnflag, l_extendedprice) as line_key from lineitem group by l_orderkey")

@@ -115,6 +115,27 @@ def j13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.transform("rides", lambda r: r["pattern"]).alias("patterns"), F.round("cost", 4).alias("felt"))
 
 
+def rounds_sql() -> str:
+    """Least felt minutes of three rides in a row, stop by stop."""
+    on = "ps b on b.stop_id = l.stop_id and (b.turns_at is null or b.pos <= b.turns_at) join ps e on e.pattern = b.pattern and e.pos > b.pos and (e.turns_at is null or e.pos > e.turns_at)"
+    rounds = "\n".join(
+        f"""off{k} as (select l.query_id, e.stop_id, min(l.cost - b.minutes + e.minutes) as cost from on{k} l join {on} group by l.query_id, e.stop_id),
+on{k + 1} as (select query_id, to_stop as stop_id, min(cost + 1.5e0*p.walk + 5) as cost from off{k} join path p using (stop_id) group by query_id, to_stop),"""
+        for k in range(3)
+    )
+    path = ONE_CHANGE[ONE_CHANGE.index("path as (") : ONE_CHANGE.index("\nselect f.query_id")]
+    return f"""with {PATTERNS}, {TRIPS}, {BOTH}, {path}, on0 as (select query_id, stop_id, 1.5e0*walk as cost from acc),
+{rounds.rstrip(",")}
+select query_id, round(min(cost + 1.5e0*g.walk), 4) as felt from off2 join egr g using (query_id, stop_id) group by query_id"""
+
+
+@query("j13_least_of_two_changes", rounds_sql())
+def j13_least(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best journey with three rides of each trip feels like, in minutes."""
+    walk_in, egress, rows, paths = prepared(spark, sf_dir)
+    return planner.two_changes(walk_in, egress, rows, paths).select("query_id", F.round("cost", 4).alias("felt"))
+
+
 def planned(spark: SparkSession, sf_dir: str, who: str = "supplier") -> DataFrame:
     return planner.plan(trips(spark, sf_dir, who), legs(spark, sf_dir))
 

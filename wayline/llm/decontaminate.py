@@ -9,7 +9,9 @@ about as long as an item, whose latent vector is near the item's are candidates,
 space hardly holds those that share a run of words. Long items are looked for
 by their parts. The longest common subsequence of the whole item with the words
 around decides, and below a clear match the item's answer, its last third, must
-be there too.
+be there too. That is asked one candidate after the other; before, the words
+that a candidate's surroundings share with its part are counted for all at once,
+and candidates with too few are left out, which the decision would leave out too.
 
 The benchmark is taken in groups of items of bounded size; each group is
 collected and broadcast, and documents go by once for each. Null texts have no
@@ -19,6 +21,7 @@ by ``doc_id``. An empty table on either side gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -47,7 +50,24 @@ WEAK, GRAM = 0.5, 5
 #: item's weight by TF-IDF, so that words of every text don't make one.
 NEAR, CLEAR, LIKELY, ANSWER, FEW, SURE, WEIGHT = 0.45, 0.8, 0.5, 0.4, 8, 0.9, 0.4
 
+#: Candidates of which shared words are counted at a time; cells of the table of parts and words that this takes, and its least columns.
+COUNTED, CELLS, COLUMNS = 1024, 1 << 22, 256
+#: Passages of a step of the sketch, as a matrix of all their words.
+SKETCHED = 64
+
 WORD = re.compile(r"\w+")
+#: Characters that end a word: those beyond ASCII, and a blank for each ASCII byte of the kind.
+OTHER_ENDS = re.compile(r"[^\w\x00-\x7f]")
+ASCII_ENDS = bytes(x if x > 127 or WORD.match(chr(x)) else 32 for x in range(256))
+
+
+def word_numbers(text: str, number: dict[bytes, int]) -> np.ndarray:
+    """The numbers of a text's words in lower case, -1 of one without; the same words as WORD's."""
+    text = text.lower()
+    if not text.isascii():
+        text = OTHER_ENDS.sub(" ", text)
+    words = text.encode().translate(ASCII_ENDS).split()
+    return np.fromiter(map(number.get, words, itertools.repeat(-1)), np.int32, len(words))
 
 
 def common_length(masks: dict[int, int], n: int, other: list[int]) -> int:
@@ -118,11 +138,16 @@ def weighed(passage: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, id
 
 
 def gram_times(passage: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, test: np.ndarray) -> np.ndarray:
-    """Transpose of the passages' matrix times it times the test vectors."""
-    out = np.empty_like(test)
-    for j in range(test.shape[1]):
-        seen = np.bincount(passage, weight * test[term, j], n)
-        out[:, j] = np.bincount(term, weight * seen[passage], len(test))
+    """Transpose of the passages' matrix times it times the test vectors. Passages come in order; a few at a time have few different terms."""
+    out = np.zeros_like(test)
+    some = weight != 0
+    passage, term, weight = passage[some], term[some], weight[some]
+    edges = np.searchsorted(passage, np.arange(0, n + SKETCHED, SKETCHED))
+    for i, a, b in zip(range(0, n, SKETCHED), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own, column = np.unique(term[a:b], return_inverse=True)
+        matrix = np.zeros((min(SKETCHED, n - i), len(own)))
+        matrix[passage[a:b] - i, column] = weight[a:b]
+        out[own] += matrix.T @ (matrix @ test[own])
     return out
 
 
@@ -159,20 +184,33 @@ class LatentItems:
             for h in set(run_hashes(np.array(self.items.words[part]), n).tolist()):
                 self.runs.setdefault(n, {}).setdefault(h, []).append(part)
         self.run_keys = {n: np.array(sorted(x), np.uint64) for n, x in self.runs.items()}
+        self.run_marks = {n: np.zeros(1 << 16, bool) for n in self.runs}  # of the first bits of hashes
+        for n, keys in self.run_keys.items():
+            self.run_marks[n][keys >> np.uint64(48)] = True
+        sizes = np.array([len(w) for w in self.items.words], np.int64)
+        self.margins, self.least = np.maximum(STRIDE, sizes // 2), LIKELY * sizes
+        columns = min(len(self.idf), max(COLUMNS, CELLS // max(1, len(sizes))))
+        self.times = np.zeros((len(sizes), columns), np.uint8)  # of words in parts, which hold ITEM_WORDS at most; where words share a column, of all
+        np.add.at(self.times, (np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.array(w, np.int64) for w in self.items.words]) % columns), 1)
 
     def shared_runs(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """First word, number of words and part of each run that a weak part holds too."""
         out = []
         for n, keys in self.run_keys.items():
             hashes = run_hashes(ids, n)
-            hits = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
+            hits = np.flatnonzero(self.run_marks[n][hashes >> np.uint64(48)])
+            hits = hits[keys[np.minimum(np.searchsorted(keys, hashes[hits]), len(keys) - 1)] == hashes[hits]]
             out += [(at, n, part) for at in hits.tolist() for part in self.runs[n][int(hashes[at])]]
         return out
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
-        """Sums of the words' vectors up to each block, from none on."""
-        blocks = [np.add.reduceat(self.terms[ids[i : i + AT_ONCE]], np.arange(0, len(ids[i : i + AT_ONCE]), BLOCK)) for i in range(0, len(ids), AT_ONCE)]
-        return np.vstack([np.zeros((1, self.terms.shape[1])), np.cumsum(np.vstack(blocks), axis=0, dtype=np.float64)])
+        """Sums of the words' vectors up to each block, from none on. The words fill whole blocks."""
+        blocks = self.terms[ids[::BLOCK]]
+        for k in range(1, BLOCK):
+            blocks += self.terms[ids[k::BLOCK]]
+        sums = np.zeros((len(blocks) + 1, blocks.shape[1]))
+        np.cumsum(blocks, axis=0, dtype=np.float64, out=sums[1:])
+        return sums
 
     def found_in(self, docs: list[np.ndarray]) -> list[dict[int, tuple[float, float, float, int]]]:
         """Of each document the matching items: similarity, common share, answer's share, first word of the window."""
@@ -197,6 +235,14 @@ class LatentItems:
         ids[np.repeat(begin * BLOCK - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())] = np.concatenate(docs)
         sums, listed = self.windows(ids), ids.tolist()
         low, high = (begin * BLOCK).tolist(), (begin * BLOCK + sizes).tolist()
+        known = np.flatnonzero(ids >= 0)
+        rank = np.concatenate([[0], np.cumsum(ids >= 0)])  # of each place, the known words before it
+        terms = ids[known]
+        order = np.argsort(terms.astype(np.uint16) if len(self.idf) <= 1 << 16 else terms, kind="stable")
+        again = np.full(len(known), -1)  # the same word's place before, among known words
+        again[order[1:]] = np.where(terms[order[1:]] == terms[order[:-1]], order[:-1], -1)
+        terms %= self.times.shape[1]
+        edges = begin * BLOCK, begin * BLOCK + sizes
         tried: set[tuple[int, int, int]] = set()
         exact: dict[int, set[tuple[int, int]]] = {}  # of each part the documents and blocks that hold a run of it
         for at, n, part in self.shared_runs(ids):
@@ -204,6 +250,7 @@ class LatentItems:
             if at + n <= high[doc]:
                 exact.setdefault(part, set()).add((doc, at // BLOCK))
         for width, (parts, vectors) in self.scales.items():
+            parts_of = np.array(parts)
             n = np.maximum(1, n_blocks - width + 1)
             doc = np.repeat(np.arange(len(docs)), n)
             first = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n - begin, n)
@@ -212,10 +259,17 @@ class LatentItems:
                 latent = (sums[last[i : i + 4096]] - sums[first[i : i + 4096]]).astype(np.float32)
                 length = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
                 product = latent @ vectors
-                row, k = np.nonzero(product >= NEAR * length[:, None])
-                near = product[row, k] / length[row]
-                for d, b, j, x in zip(doc[i + row].tolist(), first[i + row].tolist(), k.tolist(), near.tolist(), strict=True):
-                    self.check(listed, low[d], high[d], b * BLOCK, width * BLOCK, parts[j], x, out[d], tried)
+                hits = np.flatnonzero(product >= NEAR * length[:, None])
+                for h in range(0, len(hits), COUNTED):
+                    row, k = np.divmod(hits[h : h + COUNTED], len(parts))
+                    part, d, start = parts_of[k], doc[i + row], first[i + row] * BLOCK
+                    a = rank[np.maximum(edges[0][d], start - self.margins[part])]
+                    b = rank[np.minimum(edges[1][d], start + width * BLOCK + self.margins[part])]
+                    enough = self.shared_words(terms, again, a, b, part) >= self.least[part]
+                    row, k = row[enough], k[enough]
+                    near = product[row, k] / length[row]
+                    for e, x, j, y in zip(d[enough].tolist(), start[enough].tolist(), part[enough].tolist(), near.tolist(), strict=True):
+                        self.check(listed, low[e], high[e], x, width * BLOCK, j, y, out[e], tried)
             for j, part in enumerate(parts):
                 for d, b in exact.get(part, ()):
                     end = min(b + width, int(begin[d] + n_blocks[d]))
@@ -223,6 +277,15 @@ class LatentItems:
                     own = sums[end] - sums[start]
                     self.check(listed, low[d], high[d], start * BLOCK, width * BLOCK, part, float(own @ vectors[:, j] / max(np.linalg.norm(own), 1e-9)), out[d], tried)
 
+    def shared_words(self, terms: np.ndarray, again: np.ndarray, a: np.ndarray, b: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """How many words of each part are among the known words from a to b, or more where words share a column: each word counts where it first stands."""
+        size = b - a
+        begin = np.cumsum(size) - size
+        at = np.arange(size.sum()) + np.repeat(a - begin, size)
+        counts = self.times[np.repeat(part, size), terms[at]] * (again[at] < np.repeat(a, size))
+        sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        return sums[begin + size] - sums[begin]
+
     def check(self, ids: list[int], low: int, high: int, start: int, size: int, part: int, near: float, out: dict[int, tuple[float, float, float, int]], tried: set[tuple[int, int, int]]) -> None:
         """Keeps the part's item in out if the document's words (low to high) around the window hold enough of it, and of its answer.
 
@@ -274,10 +337,10 @@ def find_group(docs: DataFrame, rows: list[tuple[int, str]], seed: int) -> DataF
     shared_items = spark.sparkContext.broadcast(items)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared_items.value.number.get
+        number = {w.encode(): i for w, i in shared_items.value.number.items()}
         for batch in batches:
             for part in slices(batch):
-                ids = [np.array([number(w, -1) for w in WORD.findall(t.lower())], np.int32).tobytes() for t in part.column("text").to_pylist()]
+                ids = [word_numbers(t, number).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     at = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"

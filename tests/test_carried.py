@@ -5,6 +5,7 @@ import random
 import pytest
 
 from wayline.operators import carried, fleet
+from wayline.plans import scalars
 
 
 @pytest.fixture
@@ -49,3 +50,11 @@ def test_tracks_over_ranges(spark, ranges):
         own = [r for r in rows if r[1] == plate]
         for r, state in zip(own, fleet.replay((r[3], r[4], r[2]) for r in own), strict=True):
             assert tuple(found[r[0]])[3:] == state
+
+
+def test_a_bearing_is_never_a_whole_turn(spark, tmp_path):
+    """A reading of 0 that is reached from just above it: the sum is a little below 0."""
+    events = [(0, 1), (2, 1), (4320, 1)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint").write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.event_id: r.degrees for r in scalars.w15(spark, str(tmp_path)).collect()}
+    assert found == {0: 0.0, 2: 1.223112, 4320: 0.0}

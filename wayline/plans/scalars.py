@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import exp
+from math import exp, fmod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,6 +197,17 @@ def w14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("turned"))
 
 
+def whole_turn(degrees: float) -> float:
+    """Degrees from 0 to less than 360; Python's own remainder makes 360 of the least below 0."""
+    return fmod(fmod(degrees, 360) + 360, 360)
+
+
+def eased(shown: float, read: float, seconds: float) -> float:
+    """The shown bearing after some seconds on the way to the one that was read, by the shorter turn."""
+    turn = whole_turn(read - shown)
+    return round(whole_turn(shown + (turn - 360 if turn > 180 else turn) * (1 - exp(-seconds / 120))), 6)
+
+
 @query("w15_bearing_average", """with recursive x as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as n, cast(event_id*37 % 360 as double) as a from events),
 run as (select user_id, n, event_id, a as shown from x where n = 1
  union all select x.user_id, x.n, x.event_id, round((((run.shown + (case when ((x.a - run.shown) % 360 + 360) % 360 > 180 then ((x.a - run.shown) % 360 + 360) % 360 - 360 else ((x.a - run.shown) % 360 + 360) % 360 end) * (1 - exp(-(x.event_id - run.event_id)/120e0))) % 360) + 360) % 360, 6) from run join x on x.user_id = run.user_id and x.n = run.n + 1)
@@ -208,8 +219,7 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
         at, a = row
         if state is None:
             return (at, a), (a,)
-        turn = (a - state[1]) % 360
-        shown = round((state[1] + (turn - 360 if turn > 180 else turn) * (1 - exp(-(at - state[0]) / 120))) % 360, 6)
+        shown = eased(state[1], a, at - state[0])
         return (at, shown), (shown,)
 
     rows = events(spark, sf_dir).select("user_id", "event_id", modulo(37, 360).cast("double").alias("a"))
